@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tsloom.llm import chat, url_filters
+from tsloom.llm import chat, decontaminate, simhash, url_filters
 from tsloom.session import ship
 
-_MODULES = {"op3_url_filters": url_filters, "op10_chat_formatting": chat}
+_MODULES = {
+    "op3_url_filters": url_filters,
+    "op5_decontamination": decontaminate,
+    "op6_simhash": simhash,
+    "op10_chat_formatting": chat,
+}
 
 
 def _query(module):
