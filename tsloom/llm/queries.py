@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tsloom.llm import chat, decontaminate, simhash, url_filters
+from tsloom.llm import chat, decontaminate, media_ts, sharding, simhash, url_filters
 from tsloom.session import ship
 
 _MODULES = {
     "op3_url_filters": url_filters,
     "op5_decontamination": decontaminate,
     "op6_simhash": simhash,
+    "op7_sharding": sharding,
+    "op9_media_ts": media_ts,
     "op10_chat_formatting": chat,
 }
 
