@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tsloom.llm import chat, decontaminate, media_ts, quality, sharding, simhash, toxicity, url_filters
+from tsloom.llm import chat, decontaminate, media_ts, quality, sentencepiece_viterbi, sharding, simhash, toxicity, url_filters
 from tsloom.session import ship
 
 _MODULES = {
     "op1_toxicity": toxicity,
     "op2_quality": quality,
     "op3_url_filters": url_filters,
+    "op4_sentencepiece": sentencepiece_viterbi,
     "op5_decontamination": decontaminate,
     "op6_simhash": simhash,
     "op7_sharding": sharding,
