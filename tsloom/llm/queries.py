@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tsloom.llm import chat, decontaminate, media_ts, quality, sentencepiece_viterbi, sharding, simhash, toxicity, url_filters
+from tsloom.llm import chat, decontaminate, html_layout, media_ts, quality, sentencepiece_viterbi, sharding, simhash, toxicity, url_filters
 from tsloom.session import ship
 
 _MODULES = {
@@ -13,6 +13,7 @@ _MODULES = {
     "op5_decontamination": decontaminate,
     "op6_simhash": simhash,
     "op7_sharding": sharding,
+    "op8_html_layout": html_layout,
     "op9_media_ts": media_ts,
     "op10_chat_formatting": chat,
 }
