@@ -1 +1 @@
-
+"""Where packets come from: files, raw tables, chunks of a live feed, generators."""
