@@ -15,8 +15,13 @@ from tsloom.functions.wire import NULL_PID, PAT_PID, PCR_HZ, WRAP33
 
 PCR_JUMP, PCR_LIMIT, PTS_LIMIT, TABLE_LIMIT = PCR_HZ // 10, PCR_HZ * 40 // 1000, PCR_HZ * 700 // 1000, PCR_HZ * 500 // 1000
 
-_PID = W.partitionBy("stream_id", "pid").orderBy("packet_no")
-_SO_FAR = _PID.rowsBetween(W.unboundedPreceding, 0)
+
+def _pid():
+    return W.partitionBy("stream_id", "pid").orderBy("packet_no")
+
+
+def _so_far():
+    return _pid().rowsBetween(W.unboundedPreceding, 0)
 
 
 def marked(packets: DataFrame) -> DataFrame:
@@ -28,7 +33,7 @@ def marked(packets: DataFrame) -> DataFrame:
     p = packets.filter(F.col("pid") != NULL_PID).select("stream_id", "packet_no", "tei", "pid", "scrambling_control", "afc", "cc", "discontinuity", "random_access", "pcr", "payload_len")
     announced = F.coalesce("discontinuity", F.lit(False))
     flag = F.col("afc").bitwiseAND(1) == 1
-    p = p.withColumns({"announced": announced, "prev_cc": F.lag("cc").over(_PID), "prev_tei": F.lag("tei").over(_PID), "rai": F.coalesce("random_access", F.lit(False)) & ~F.col("tei")})
+    p = p.withColumns({"announced": announced, "prev_cc": F.lag("cc").over(_pid()), "prev_tei": F.lag("tei").over(_pid()), "rai": F.coalesce("random_access", F.lit(False)) & ~F.col("tei")})
     expected = F.when(flag, (F.col("prev_cc") + 1) % 16).otherwise(F.col("prev_cc"))
     compared = ~F.col("tei") & F.col("prev_cc").isNotNull() & ~F.coalesce("prev_tei", F.lit(False))
     off = compared & (F.col("cc") != expected) & ~announced
@@ -37,7 +42,7 @@ def marked(packets: DataFrame) -> DataFrame:
     return p.withColumns(
         {
             "expected": expected, "duplicate": F.coalesce(off & twice, F.lit(False)), "cc_error": F.coalesce(off & ~twice, F.lit(False)), "lost": F.pmod(F.col("cc") - expected, F.lit(16)), "scrambled": scrambled,
-            "gop": F.sum(F.col("rai").cast("long")).over(_SO_FAR),
+            "gop": F.sum(F.col("rai").cast("long")).over(_so_far()),
         }
     )
 
@@ -45,7 +50,7 @@ def marked(packets: DataFrame) -> DataFrame:
 def pcr_rows(packets: DataFrame) -> DataFrame:
     """Clock references with their interval, what it breaches, and the clock's count of seconds seen so far."""
     q = packets.filter((F.col("pid") != NULL_PID) & ~F.col("tei") & F.col("pcr").isNotNull()).select("stream_id", "packet_no", "pid", "pcr", F.coalesce("discontinuity", F.lit(False)).alias("announced"))
-    prev, second = F.lag("pcr").over(_PID), F.floor(F.col("pcr") / F.lit(PCR_HZ))
+    prev, second = F.lag("pcr").over(_pid()), F.floor(F.col("pcr") / F.lit(PCR_HZ))
     raw = F.col("pcr") - F.col("prev_pcr")
     wrap = WRAP33 * 300
     q = q.withColumns({"prev_pcr": prev, "second": second})
@@ -53,8 +58,8 @@ def pcr_rows(packets: DataFrame) -> DataFrame:
     jump = ~F.col("announced") & ((F.col("delta") < 0) | (F.col("delta") > PCR_JUMP))
     q = q.withColumn("jump", F.coalesce(jump, F.lit(False)))
     steady = ~F.col("announced") & ~F.col("jump") & (F.col("delta") > 0)
-    q = q.withColumns({"interval": F.when(steady, F.col("delta")), "late": F.coalesce(steady & (F.col("delta") > PCR_LIMIT), F.lit(False)), "turn": (F.lag("second").over(_PID).isNull() | (F.col("second") != F.lag("second").over(_PID))).cast("long")})
-    return q.withColumn("seconds", F.sum("turn").over(_SO_FAR))
+    q = q.withColumns({"interval": F.when(steady, F.col("delta")), "late": F.coalesce(steady & (F.col("delta") > PCR_LIMIT), F.lit(False)), "turn": (F.lag("second").over(_pid()).isNull() | (F.col("second") != F.lag("second").over(_pid()))).cast("long")})
+    return q.withColumn("seconds", F.sum("turn").over(_so_far()))
 
 
 def bindings(maps: DataFrame) -> DataFrame:
