@@ -39,7 +39,7 @@ from tsloom.llm.textbytes import _SALT, hashes, ragged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG, UNKNOWN_PENALTY = 96, 10.0
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -323,6 +323,7 @@ def encode_texts(docs: DataFrame, model: Model, text_col: str = "text", ids_col:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield encode(sent.value, texts)
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn(ids_col, ids(F.col(text_col).cast("string")))
 
@@ -339,9 +340,28 @@ def decode_ids(encoded: DataFrame, model: Model, ids_col: str = "ids", text_col:
     return encoded.withColumn(text_col, text(F.col(ids_col).cast("array<int>")))
 
 
+def encode_checked(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with ids and exact: whether decoding the ids gives the text back.  The decoded text stays in the worker."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("ids array<int>, exact boolean")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for a, b in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 8 * RUN_BYTES):
+                some = texts.slice(a, b - a)
+                ids = encode(sent.value, some)
+                same = pc.equal(decode(sent.value, ids), pc.replace_substring(some, MARK, " "))
+                parts.append(pa.StructArray.from_arrays([ids, pc.fill_null(same, True)], names=["ids", "exact"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("exact", pa.bool_())]))
+            del parts, texts
+            pa.default_memory_pool().release_unused()
+
+    return docs.drop("ids", "exact").withColumn("coded", both(F.col(text_col).cast("string"))).withColumns({"ids": F.col("coded.ids"), "exact": F.col("coded.exact")}).drop("coded")
+
+
 def query(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
     """Rows (doc_id, n_tokens, ids, exact): exact tells that decoding gives the text back."""
     model = load(path)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode_ids(encode_texts(docs, model), model)
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" "))).alias("exact"))
+    return encode_checked(docs, model).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "exact")
