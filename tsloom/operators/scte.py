@@ -165,6 +165,12 @@ class _SectionFold:
         return []
 
 
+def assembled_sections(packets: DataFrame) -> DataFrame:
+    """Sections of each PID, whatever they hold: (stream_id, pid, packet_no, ordinal, body)."""
+    rows = packets.select("stream_id", "pid", "packet_no", "tei", "scrambling_control", "pusi", "payload")
+    return ordered_fold(rows, ["stream_id", "pid"], "packet_no", _SectionFold, "stream_id string, pid int, packet_no long, ordinal int, body binary")
+
+
 def splice_tracks(maps: DataFrame) -> DataFrame:
     """Splice tracks by map version with the first video track of their program."""
     t = track_intervals(maps)
@@ -176,9 +182,8 @@ def splice_sections(packets: DataFrame, maps: DataFrame) -> DataFrame:
     """Sections on splice tracks, read or not: (.., video_pid, body, section)."""
     t = splice_tracks(maps).withColumnsRenamed({"stream_id": "t_stream", "pid": "t_pid"})
     inside = (F.col("stream_id") == F.col("t_stream")) & (F.col("pid") == F.col("t_pid")) & (F.col("packet_no") >= F.col("from_packet")) & (F.col("packet_no") < F.col("to_packet"))
-    own = packets.join(t.select("t_stream", "t_pid", "from_packet", "to_packet").distinct(), inside, "left_semi").select("stream_id", "pid", "packet_no", "tei", "scrambling_control", "pusi", "payload")
-    found = ordered_fold(own, ["stream_id", "pid"], "packet_no", _SectionFold, "stream_id string, pid int, packet_no long, ordinal int, body binary")
-    return parse_sections(found.join(t, inside, "left").drop("t_stream", "t_pid", "from_packet", "to_packet"))
+    own = packets.join(t.select("t_stream", "t_pid", "from_packet", "to_packet").distinct(), inside, "left_semi")
+    return parse_sections(assembled_sections(own).join(t, inside, "left").drop("t_stream", "t_pid", "from_packet", "to_packet"))
 
 
 def splice_events(packets: DataFrame, maps: DataFrame, pes: DataFrame) -> DataFrame:

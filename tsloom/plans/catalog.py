@@ -1,12 +1,390 @@
-"""Registry of the engine's own queries and their SQL oracles."""
+"""Registry of the engine's queries and the SQL that gives the same rows from the events table."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tsloom.functions import dims, text
+from tsloom.functions.mp4 import Sample, fragment
+from tsloom.operators import events, fmp4, health, psi, scte, units
+from tsloom.plans.wire import DUCK, Stream
+from tsloom.session import ship, table
+from tsloom.sources import synth as S
+from tsloom.sources.packets import packets_from_raw
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: CTEs of the oracles behind `wire`: marks (continuity and random access), clocks (PCR rows), errors.
+_MARKS = """
+m0 AS (SELECT *, lag(cc) OVER p AS pc, lag(tei) OVER p AS pt, rai AND NOT tei AS rap FROM wire WINDOW p AS (PARTITION BY stream_id, pid ORDER BY packet_no)),
+m1 AS (SELECT *, NOT tei AND pc IS NOT NULL AND NOT pt AS cmp, CASE WHEN flag THEN (pc + 1) % 16 ELSE pc END AS expected FROM m0),
+marks AS (SELECT *, coalesce(cmp AND cc <> expected AND NOT disc AND flag AND cc = pc, false) AS dup, coalesce(cmp AND cc <> expected AND NOT disc AND NOT (flag AND cc = pc), false) AS bad, (cc - expected + 16) % 16 AS lost,
+  sum(CASE WHEN rap THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS gop FROM m1),
+c0 AS (SELECT *, lag(pcr) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) AS prev FROM wire WHERE pcr IS NOT NULL AND NOT tei),
+c1 AS (SELECT *, pcr - prev AS delta, pcr // 27000000 AS sec FROM c0),
+c2 AS (SELECT *, coalesce(NOT disc AND (delta < 0 OR delta > 2700000), false) AS jump, CASE WHEN sec = lag(sec) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) THEN 0 ELSE 1 END AS turn FROM c1),
+clocks AS (SELECT *, CASE WHEN NOT disc AND NOT jump AND delta > 0 THEN delta END AS gap, CAST(sum(turn) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seconds FROM c2),
+bad AS (SELECT stream_id, packet_no, pid FROM marks WHERE tei OR bad UNION ALL SELECT stream_id, packet_no, pid FROM clocks WHERE jump)
+"""
+_STARTS = """
+, pes0 AS (SELECT w.stream_id, w.pid, w.packet_no, w.pts, c.pcr AS clock FROM wire w ASOF JOIN (SELECT stream_id, pid AS cpid, packet_no, pcr FROM clocks) c
+    ON w.stream_id = c.stream_id AND (CASE WHEN w.pid < 258 THEN 256 ELSE 258 END) = c.cpid AND w.packet_no >= c.packet_no WHERE w.pts IS NOT NULL AND NOT w.tei),
+pes1 AS (SELECT *, clock - lag(clock) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) AS gap, pts - clock // 300 AS raw FROM pes0),
+pes AS (SELECT *, CASE WHEN raw < -4294967296 THEN raw + 8589934592 WHEN raw > 4294967296 THEN raw - 8589934592 ELSE raw END AS skew FROM pes1)
+"""
+_UNITS = """
+, a0 AS (SELECT *, CASE WHEN tei THEN -1 WHEN flag THEN cc END AS state FROM wire),
+a1 AS (SELECT *, last_value(state IGNORE NULLS) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a0),
+a2 AS (SELECT *, coalesce(flag AND NOT tei AND prev >= 0, false) AS known FROM a1),
+a3 AS (SELECT *, known AND cc <> (prev + 1) % 16 AS gap, pts IS NOT NULL AND NOT tei AS start FROM a2 WHERE NOT (known AND cc = prev)),
+a4 AS (SELECT *, CAST(sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unit_no, lead(start AND gap) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) AS next_gap FROM a3),
+units AS (SELECT stream_id, pid, unit_no, min(packet_no) AS first_packet, CAST(sum(CASE WHEN flag AND NOT tei THEN size ELSE 0 END) AS BIGINT) AS size, bool_or((NOT start AND (gap OR tei)) OR coalesce(next_gap, false)) AS damaged, max(pts) FILTER (WHERE start) AS pts
+  FROM a4 WHERE unit_no > 0 GROUP BY ALL)
+"""
+_ES = "pid BETWEEN 256 AND 259"
+
+
+def query(name: str, sql: str | None = None, extra: str = ""):
+    def register(make):
+        QUERIES[name] = make
+        if sql:
+            ORACLES[name] = f"WITH {DUCK.strip()}, {_MARKS.strip()} {extra.strip()} {sql.strip()}"
+        return make
+
+    return register
+
+
+def plain(name: str, sql: str | None = None):
+    def register(make):
+        QUERIES[name] = make
+        if sql:
+            ORACLES[name] = sql
+        return make
+
+    return register
+
+
+@query("pid_packet_counts", "SELECT stream_id, pid, count(*) AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) AS BIGINT) AS payload_bytes, min(packet_no) AS first_packet FROM wire GROUP BY stream_id, pid")
+def pid_packet_counts(spark, d):
+    return health.pid_counters(Stream(spark, d).packets).filter(_ES).select("stream_id", "pid", "packets", "payload_bytes", "first_packet")
+
+
+@query("stream_totals", "SELECT stream_id, count(*) + 6 AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) + 6 * 184 AS BIGINT) AS payload_bytes, CAST(0 AS BIGINT) AS null_packets FROM wire GROUP BY stream_id")
+def stream_totals(spark, d):
+    return Stream(spark, d).packets.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if(F.col("pid") == 8191).alias("null_packets"))
+
+
+@query("continuity_summary", "SELECT stream_id, pid, count(*) FILTER (WHERE bad) AS continuity_errors, CAST(coalesce(sum(lost) FILTER (WHERE bad), 0) AS BIGINT) AS packets_lost, count(*) FILTER (WHERE dup) AS duplicates FROM marks GROUP BY stream_id, pid")
+def continuity_summary(spark, d):
+    return health.pid_counters(Stream(spark, d).packets).filter(_ES).select("stream_id", "pid", "continuity_errors", "packets_lost", "duplicates")
+
+
+@query("continuity_errors", "SELECT stream_id, packet_no, pid, CAST(expected AS BIGINT) AS expected, CAST(cc AS BIGINT) AS actual, CAST(lost AS BIGINT) AS lost FROM marks WHERE bad")
+def continuity_errors(spark, d):
+    e = events.stream_events(Stream(spark, d).packets).filter("event = 'continuity_error'")
+    return e.select("stream_id", "packet_no", "pid", F.col("a").alias("expected"), F.col("b").alias("actual"), F.col("c").alias("lost"))
+
+
+@query("loss_rate", "SELECT stream_id, pid, coalesce(sum(lost) FILTER (WHERE bad), 0) / (count(*) + coalesce(sum(lost) FILTER (WHERE bad), 0)) AS loss_rate FROM marks GROUP BY stream_id, pid")
+def loss_rate(spark, d):
+    c = health.pid_counters(Stream(spark, d).packets).filter(_ES)
+    return c.select("stream_id", "pid", health.ratio(F.col("packets_lost"), F.col("packets") + F.col("packets_lost")).alias("loss_rate"))
+
+
+@query("transport_errors", "SELECT stream_id, pid, count(*) AS transport_errors FROM wire WHERE tei GROUP BY stream_id, pid")
+def transport_errors(spark, d):
+    return health.pid_counters(Stream(spark, d).packets).filter(_ES + " AND transport_errors > 0").select("stream_id", "pid", "transport_errors")
+
+
+@query("random_access", "SELECT stream_id, pid, count(*) FILTER (WHERE rap) AS random_access_points, CASE WHEN max(top) > 0 THEN count(*) FILTER (WHERE NOT tei AND gop = top) - 1 END AS packets_since_random_access, count(DISTINCT gop - rap::INT) FILTER (WHERE (tei OR bad) AND gop - rap::INT > 0) AS damaged_gops FROM (SELECT *, max(gop) OVER (PARTITION BY stream_id, pid) AS top FROM marks) GROUP BY stream_id, pid")
+def random_access(spark, d):
+    return health.pid_counters(Stream(spark, d).packets).filter(_ES).select("stream_id", "pid", "random_access_points", "packets_since_random_access", "damaged_gops")
+
+
+@query("gop_sessions", "SELECT stream_id, pid, CAST(gop AS BIGINT) AS gop, count(*) AS packets, min(packet_no) AS first_packet, max(packet_no) AS last_packet FROM marks GROUP BY stream_id, pid, gop")
+def gop_sessions(spark, d):
+    m = health.marked(Stream(spark, d).packets).filter(_ES)
+    return m.groupBy("stream_id", "pid", "gop").agg(F.count(F.lit(1)).alias("packets"), F.min("packet_no").alias("first_packet"), F.max("packet_no").alias("last_packet"))
+
+
+@query("scrambling_changes", "SELECT stream_id, packet_no, pid, now AS scrambled FROM (SELECT *, scr <> 0 AS now, coalesce(lag(scr <> 0) OVER (PARTITION BY stream_id, pid ORDER BY packet_no), false) AS was FROM wire WHERE NOT tei) WHERE now <> was")
+def scrambling_changes(spark, d):
+    e = events.stream_events(Stream(spark, d).packets).filter("event = 'scrambling_changed'")
+    return e.select("stream_id", "packet_no", "pid", (F.col("a") == 1).alias("scrambled"))
+
+
+@query("pcr_discontinuities", "SELECT stream_id, packet_no, pid, prev AS previous, pcr AS current FROM clocks WHERE jump")
+def pcr_discontinuities(spark, d):
+    return health.pcr_rows(Stream(spark, d).packets).filter("jump").select("stream_id", "packet_no", "pid", F.col("prev_pcr").alias("previous"), F.col("pcr").alias("current"))
+
+
+@query("pcr_summary", "SELECT stream_id, pid, count(*) AS pcr_count, arg_max(pcr, packet_no) AS last_pcr, count(*) FILTER (WHERE jump) AS pcr_discontinuities, count(*) FILTER (WHERE gap > 1080000) AS pcr_repetition_errors, coalesce(max(gap), 0) AS max_pcr_interval, max(seconds) AS observed_seconds FROM clocks GROUP BY stream_id, pid")
+def pcr_summary(spark, d):
+    return health.clock_counters(Stream(spark, d).packets)
+
+
+@query("errored_seconds", """
+SELECT stream_id, pid, count(*) FILTER (WHERE seconds IS DISTINCT FROM before) AS errored_seconds FROM (
+  SELECT b.stream_id, b.pid, c.seconds, lag(c.seconds) OVER (PARTITION BY b.stream_id, b.pid ORDER BY b.packet_no) AS before FROM bad b ASOF JOIN (SELECT stream_id, pid AS cpid, packet_no, seconds FROM clocks) c
+  ON b.stream_id = c.stream_id AND (CASE WHEN b.pid < 258 THEN 256 ELSE 258 END) = c.cpid AND b.packet_no > c.packet_no) GROUP BY stream_id, pid""")
+def errored_seconds(spark, d):
+    s = Stream(spark, d)
+    return health.errored_seconds(s.packets, s.maps)[0]
+
+
+@query("stream_errored_seconds", """
+SELECT stream_id, count(*) FILTER (WHERE seconds IS DISTINCT FROM before) AS errored_seconds FROM (
+  SELECT b.stream_id, c.seconds, lag(c.seconds) OVER (PARTITION BY b.stream_id ORDER BY b.packet_no) AS before FROM bad b ASOF JOIN (SELECT stream_id, packet_no, seconds FROM clocks WHERE pid = 256) c
+  ON b.stream_id = c.stream_id AND b.packet_no > c.packet_no) GROUP BY stream_id""")
+def stream_errored_seconds(spark, d):
+    s = Stream(spark, d)
+    return health.errored_seconds(s.packets, s.maps)[1]
+
+
+@query("pts_timing", "SELECT stream_id, pid, count(*) AS timestamps, count(*) FILTER (WHERE gap > 18900000) AS pts_repetition_errors, coalesce(max(CASE WHEN gap > 0 THEN gap END), 0) AS max_pts_interval, arg_max(skew, packet_no) AS pts_skew, min(skew) AS min_pts_skew, count(*) FILTER (WHERE skew <= 0) AS late_timestamps FROM pes GROUP BY stream_id, pid", _STARTS)
+def pts_timing(spark, d):
+    s = Stream(spark, d)
+    t = health.pes_timing(s.pes, s.packets, s.maps)
+    return t.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("timestamps"), F.count_if("breach").alias("pts_repetition_errors"), F.coalesce(F.max("interval"), F.lit(0)).alias("max_pts_interval"), F.max_by("skew", "packet_no").alias("pts_skew"), F.min("skew").alias("min_pts_skew"), F.count_if("is_late").alias("late_timestamps"))
+
+
+@query("late_timestamps", "SELECT stream_id, packet_no, pid, skew FROM pes WHERE skew <= 0", _STARTS)
+def late_timestamps(spark, d):
+    s = Stream(spark, d)
+    return health.pes_timing(s.pes, s.packets, s.maps).filter("is_late").select("stream_id", "packet_no", "pid", "skew")
+
+
+@query("pes_packets", "SELECT stream_id, pid, count(*) AS pes_packets, arg_max(pts, packet_no) AS last_pts FROM wire WHERE pts IS NOT NULL AND NOT tei GROUP BY stream_id, pid")
+def pes_packets(spark, d):
+    return Stream(spark, d).pes.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("pes_packets"), F.max_by("pts", "packet_no").alias("last_pts"))
+
+
+@query("access_units", "SELECT stream_id, pid, unit_no, first_packet, pts, size, CASE WHEN damaged THEN 'loss' ELSE 'ok' END AS status FROM units", _UNITS)
+def access_units(spark, d):
+    return units.access_units(Stream(spark, d).packets.filter(_ES)).select("stream_id", "pid", "unit_no", "first_packet", "pts", "size", "status")
+
+
+@query("access_unit_counters", "SELECT stream_id, pid, count(*) FILTER (WHERE NOT damaged AND NOT tail) AS completed, count(*) FILTER (WHERE damaged AND NOT tail) AS discarded_for_loss, CAST(0 AS BIGINT) AS discarded_for_size, true AS is_assembling FROM (SELECT *, unit_no = max(unit_no) OVER (PARTITION BY stream_id, pid) AS tail FROM units) GROUP BY stream_id, pid", _UNITS)
+def access_unit_counters(spark, d):
+    return units.unit_counters(units.access_units(Stream(spark, d).packets.filter(_ES)))
+
+
+_TRACKS = "(SELECT * FROM (VALUES (1, 256, 256, 'H.264 / AVC', NULL), (1, 256, 257, 'AAC (ADTS)', 'eng'), (30, 258, 258, 'H.265 / HEVC', NULL), (30, 258, 259, 'AC-3', NULL), (30, 258, 300, 'SCTE-35 splice', NULL)) t(program, pcr_pid, pid, label, language)) tracks"
+
+
+@query("tracks", f"SELECT stream_id, program, pcr_pid, pid, label, language FROM (SELECT DISTINCT stream_id FROM wire) CROSS JOIN {_TRACKS}")
+def tracks(spark, d):
+    return psi.tracks(psi.latest_map(Stream(spark, d).log)).select("stream_id", "program", "pcr_pid", "pid", "label", "language")
+
+
+@query("pid_describe", f"""
+SELECT p.stream_id, p.pid, CASE p.pid WHEN 0 THEN 'PAT' WHEN 17 THEN 'SDT' WHEN 4096 THEN 'PMT for ' || n_name WHEN 4097 THEN 'PMT for program 30' ELSE (CASE program WHEN 1 THEN n_name ELSE 'program 30' END) || ' ' || label || coalesce(' [' || language || ']', '') END AS description
+FROM (SELECT DISTINCT stream_id, pid FROM wire UNION SELECT stream_id, unnest([0, 17, 4096, 4097]) FROM (SELECT DISTINCT stream_id FROM wire)) p CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey = 1) LEFT JOIN {_TRACKS} ON p.pid = tracks.pid""")
+def pid_describe(spark, d):
+    s = Stream(spark, d)
+    return psi.describe_pids(s.packets.select("stream_id", "pid").distinct(), psi.latest_map(s.log))
+
+
+@query("service_names", "SELECT stream_id, program, CASE program WHEN 1 THEN n_name ELSE 'program 30' END AS described FROM (SELECT DISTINCT stream_id FROM wire) CROSS JOIN (VALUES (1), (30)) p(program) CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey = 1)")
+def service_names(spark, d):
+    m = psi.latest_map(Stream(spark, d).log)
+    programs = m.select("stream_id", F.explode("programs.program").alias("program"))
+    return psi.described_programs(programs, psi.services(m)).select("stream_id", "program", "described")
+
+
+@query("missing_pids", "SELECT DISTINCT stream_id, 30 AS program, 300 AS pid FROM wire")
+def missing_pids(spark, d):
+    s = Stream(spark, d)
+    return psi.missing_pids(psi.latest_map(s.log), s.packets).select("stream_id", "program", "pid")
+
+
+@query("event_counts", """
+SELECT stream_id, event, count(*) AS n FROM (
+  SELECT stream_id, 'continuity_error' AS event FROM marks WHERE bad UNION ALL SELECT stream_id, 'pcr_discontinuity' FROM clocks WHERE jump UNION ALL SELECT stream_id, 'pcr_repetition_error' FROM clocks WHERE gap > 1080000
+  UNION ALL SELECT stream_id, 'late_timestamp' FROM pes WHERE skew <= 0 UNION ALL SELECT stream_id, 'pts_repetition_error' FROM pes WHERE gap > 18900000
+  UNION ALL SELECT stream_id, 'pid_discovered' FROM (SELECT DISTINCT stream_id, pid FROM wire) UNION ALL SELECT stream_id, unnest(['pid_discovered', 'pid_discovered', 'pid_discovered', 'pid_discovered', 'programs_changed', 'programs_changed', 'programs_changed', 'service_information_changed']) FROM (SELECT DISTINCT stream_id FROM wire)
+) GROUP BY stream_id, event""", _STARTS)
+def event_counts(spark, d):
+    s = Stream(spark, d)
+    log = s.log
+    maps = psi.map_versions(log)
+    found = events.stream_events(s.packets, log, maps, units.mapped(units.pes_headers(s.packets), maps))
+    return found.filter("event <> 'scrambling_changed'").groupBy("stream_id", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_health", """
+SELECT m.stream_id, m.bad AS continuity_errors, m.tei AS transport_errors, c.jump AS pcr_discontinuities, m.bad + m.tei + c.jump = 0 AS is_healthy, o.seconds AS observed_seconds FROM
+ (SELECT stream_id, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE tei) AS tei FROM marks GROUP BY 1) m JOIN (SELECT stream_id, count(*) FILTER (WHERE jump) AS jump FROM clocks GROUP BY 1) c USING (stream_id)
+ JOIN (SELECT stream_id, max(seconds) AS seconds FROM clocks WHERE pid = 256 GROUP BY 1) o USING (stream_id)""")
+def stream_health(spark, d):
+    s = Stream(spark, d)
+    log = s.log
+    return health.stream_stats(s.packets, psi.map_versions(log), log).select("stream_id", "continuity_errors", "transport_errors", "pcr_discontinuities", "is_healthy", "observed_seconds")
+
+
+@plain("bcd_dates", """
+SELECT o_orderkey AS id, o_orderdate AS start_ts, CAST(o_orderkey % 86400 AS INT) AS duration_s FROM orders""")
+def bcd_dates(spark, d):
+    """Order dates as broadcast dates (day number and BCD) and back."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("t"))
+    digits = lambda c: (F.floor(c / 10) * 16 + c % 10).cast("int")
+    mjd = (F.datediff(F.to_date("t"), F.lit("1970-01-01")) + 40587).cast("int")
+    length = F.col("o_orderkey") % 86400
+    back = text.start_time_col(mjd, digits(F.hour("t")), digits(F.minute("t")), digits(F.second("t")))
+    span = text.duration_col(digits(F.floor(length / 3600)), digits(F.floor(length / 60) % 60), digits(length % 60))
+    return o.select(F.col("o_orderkey").alias("id"), back.cast("timestamp_ntz").alias("start_ts"), span.cast("int").alias("duration_s"))
+
+
+@plain("running_status_labels", "SELECT n_nationkey AS id, CASE n_nationkey % 8 WHEN 0 THEN 'UNDEFINED' WHEN 1 THEN 'NOT_RUNNING' WHEN 2 THEN 'STARTS_IN_A_FEW_SECONDS' WHEN 3 THEN 'PAUSING' WHEN 4 THEN 'RUNNING' WHEN 5 THEN 'SERVICE_OFF_AIR' ELSE 'RESERVED' END AS status FROM nation")
+def running_status_labels(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), dims.running_status(F.col("n_nationkey") % 8).alias("status"))
+
+
+@plain("stream_type_labels", "SELECT p_partkey AS id, CASE p_partkey % 256 " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in dims.DESCRIPTION.items()) + " ELSE 'type 0x' || upper(to_hex(p_partkey % 256)) END AS label, CASE " + " ".join(f"WHEN p_partkey % 256 IN ({', '.join(str(c) for c, k in dims.KIND.items() if k == kind)}) THEN '{kind}'" for kind in ("VIDEO", "AUDIO", "DATA")) + " ELSE 'UNKNOWN' END AS kind FROM part")
+def stream_type_labels(spark, d):
+    code = F.col("p_partkey") % 256
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), dims.stream_label(code).alias("label"), dims.stream_kind(code).alias("kind"))
+
+
+@plain("segmentation_labels", "SELECT p_partkey AS id, CASE p_partkey % 96 " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in dims.SEGMENTATION.items()) + " ELSE 'Unknown' END AS label, p_partkey % 96 > 1 AND p_partkey % 2 = 0 AS is_start, p_partkey % 96 BETWEEN 52 AND 59 AS is_placement FROM part")
+def segmentation_labels(spark, d):
+    code = F.col("p_partkey") % 96
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), dims.segmentation_label(code).alias("label"), dims.is_segmentation_start(code).alias("is_start"), dims.is_placement_opportunity(code).alias("is_placement"))
+
+
+@plain("codec_strings_avc", "SELECT o_orderkey AS id, 'avc1.' || lower(lpad(to_hex(o_orderkey % 16777216), 6, '0')) AS codec FROM orders")
+def codec_strings_avc(spark, d):
+    sps = F.unhex(F.concat(F.lit("67"), F.lpad(F.hex(F.col("o_orderkey") % 16777216), 6, "0")))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.avc_codec_col(sps).alias("codec"))
+
+
+@plain("dvb_text", "SELECT doc_id, text AS decoded FROM documents")
+def dvb_text(spark, d):
+    """Texts as UTF-8 broadcast strings and back."""
+    return table(spark, d, "documents").select("doc_id", text.dvb_text_col(F.concat(F.unhex(F.lit("15")), F.col("text").cast("binary"))).alias("decoded"))
+
+
+@plain("crc32_mpeg", "SELECT p_partkey AS id, true AS valid FROM part")
+def crc32_mpeg(spark, d):
+    """The checksum behind its own data leaves no remainder."""
+    p = table(spark, d, "part").withColumn("raw", F.col("p_name").cast("binary"))
+    p = p.withColumn("crc", text.crc32_mpeg_col(F.col("raw")))
+    whole = F.concat("raw", F.unhex(F.lpad(F.hex("crc"), 8, "0")))
+    return p.select(F.col("p_partkey").alias("id"), (text.crc32_mpeg_col(whole) == 0).alias("valid"))
+
+
+@plain("section_round_trip", "SELECT doc_id, CAST(greatest(1, ceil(length(text) / 900.0)) AS BIGINT) AS n_sections, CAST(strlen(text) AS BIGINT) AS n_bytes, text AS body FROM documents")
+def section_round_trip(spark, d):
+    """Each whole text as numbered private sections cut into packets, reassembled and joined."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                parts = [r["text"][i : i + 900].encode() for i in range(0, max(1, len(r["text"])), 900)]
+                bodies = [p for k, x in enumerate(parts) for p in enumerate(S.section_payloads(S.section(0x80, 1, x, number=k % 256, last=(len(parts) - 1) % 256), r["doc_id"] % 5))]
+                out += [{"stream_id": str(r["doc_id"]), "packet_no": i, "raw": S.packet(500, i, p, pusi=k == 0)} for i, (k, p) in enumerate(bodies)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("stream_id", pa.string()), ("packet_no", pa.int64()), ("raw", pa.binary())]))
+
+    p = packets_from_raw(docs.mapInArrow(cut, "stream_id string, packet_no long, raw binary"))
+    found = scte.assembled_sections(p).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sort_array(F.collect_list(F.struct("packet_no", "ordinal", "body"))).alias("parts"))
+    body = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["body"])), ""))
+    return found.select(F.col("stream_id").cast("long").alias("doc_id"), "n_sections", F.octet_length(body).cast("long").alias("n_bytes"), F.decode(body, "UTF-8").alias("body"))
+
+
+@plain("splice_pre_roll", """
+WITH s AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 8589934592 AS raw, (o_custkey * 1000003) % 8589934592 AS adjust, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey * 7919 + 90000 * (o_custkey % 7) + o_custkey * 1000003) % 8589934592 END AS video, (o_orderkey * 104729) % 2576980377600 AS pcr FROM orders),
+t AS (SELECT *, (raw + adjust) % 8589934592 AS splice_time, coalesce(video, (pcr // 300) % 8589934592) AS now FROM s),
+u AS (SELECT *, (splice_time - now + 8589934592) % 8589934592 AS ahead FROM t)
+SELECT id, splice_time, CASE WHEN ahead >= 4294967296 THEN ahead - 8589934592 ELSE ahead END AS pre_roll_ticks, CASE WHEN video IS NULL THEN 'PCR' ELSE 'VIDEO_PTS' END AS pre_roll_basis, CASE WHEN id % 2 = 0 THEN 'event ' || id || ' out' ELSE 'time_signal' END AS description FROM u""")
+def splice_pre_roll(spark, d):
+    """Cues written as sections and read back."""
+    o = table(spark, d, "orders").selectExpr(
+        "o_orderkey AS id", "(o_orderkey * 7919) % 8589934592 AS raw", "(o_custkey * 1000003) % 8589934592 AS adjust", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey * 7919 + 90000 * (o_custkey % 7) + o_custkey * 1000003) % 8589934592 END AS arrival_video_pts", "(o_orderkey * 104729) % 2576980377600 AS arrival_pcr"
+    )
+
+    def write(batches):
+        for batch in batches:
+            bodies = []
+            for r in batch.to_pylist():
+                time = (0xFE << 32 | r["raw"]).to_bytes(5, "big")
+                insert = r["id"].to_bytes(4, "big") + b"\x7f\xcf" + time + bytes(4)
+                bodies.append(S.splice_info(5, insert, adjust=r["adjust"]) if r["id"] % 2 == 0 else S.splice_info(6, time, adjust=r["adjust"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(bodies, pa.binary())], names=["id", "arrival_video_pts", "arrival_pcr", "body"])
+
+    rows = o.mapInArrow(write, "id long, arrival_video_pts long, arrival_pcr long, body binary")
+    return scte.with_pre_roll(scte.parse_sections(rows)).select("id", "splice_time", "pre_roll_ticks", "pre_roll_basis", "description")
+
+
+@plain("epg_merge", "SELECT n_nationkey AS service_id, CAST(i AS INT) AS position, n_nationkey * 10 + i AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * i AS start_ts, CAST(1800 AS INT) AS duration_s, n_name || ' ' || i AS name FROM nation CROSS JOIN (SELECT unnest([0, 1]) AS i)")
+def epg_merge(spark, d):
+    """Present and following events of each service, sent as two sections out of order, twice."""
+    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect()]  # 25 rows
+    raw, cc = [], 0
+    for again in range(2):
+        for key, name in rows:
+            for i in (1, 0):
+                title = f"{name} {i}".encode() if again else b"old"
+                d1 = S.descriptor(0x4D, b"eng" + bytes([len(title) + 1]) + b"\x15" + title + b"\0")
+                body = bytes([0, 1, 0, 1, 0, 0x4E]) + (key * 10 + i).to_bytes(2, "big") + (60310).to_bytes(2, "big") + bytes([i, 0, 0, 0, 0x30, 0]) + (4 << 13 | len(d1)).to_bytes(2, "big") + d1
+                for k, p in enumerate(S.section_payloads(S.section(0x4E, key, body, number=i, last=1))):
+                    raw.append(("s", cc, bytearray(S.packet(18, cc, p, pusi=k == 0))))
+                    cc += 1
+    g = psi.guide(psi.table_log(packets_from_raw(spark.createDataFrame(raw, "stream_id string, packet_no long, raw binary"))))
+    return g.select("service_id", "position", "event_id", F.col("start").alias("start_ts"), "duration_s", "name")
+
+
+SPS = bytes.fromhex("6764000cacd941419f9f016a02020280000003008000001e078a14cb")
+
+
+def _video(n: int = 50, gop: int = 10) -> list[bytes]:
+    """A made H.264 stream in packets: a delimiter, parameter sets and a key picture every `gop` units."""
+    out, cc = [S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True), S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256)]))[0], pusi=True)], 0
+    for k in range(n):
+        key = k % gop == 0
+        nals = [b"\x09\xf0", *([SPS, b"\x68\xeb\xe3\xcb"] if key else []), (b"\x65" if key else b"\x41") + bytes([k + 1]) * (700 if key else 90)]
+        unit = S.pes_packets(256, cc, S.pes(0xE0, b"".join(b"\0\0\0\1" + x for x in nals), 90000 + 3600 * k, 86400 + 3600 * k), random_access=key, pcr=(80000 + 3600 * k) * 300)
+        out += unit
+        cc += len(unit)
+    return out
+
+
+def _made(spark: SparkSession) -> Stream:
+    ship(spark)
+    s = Stream.__new__(Stream)
+    s.packets = packets_from_raw(spark.createDataFrame([("v", i, bytearray(p)) for i, p in enumerate(_video())], "stream_id string, packet_no long, raw binary"))
+    return s
+
+
+@plain("keyframes", "SELECT 'v' AS stream_id, 256 AS pid, 90000 + 36000 * k AS pts, 'avc1.64000c' AS codec_string, CAST(4 + 28 + 4 + 4 + 4 + 701 AS INT) AS size FROM (SELECT unnest(range(5)) AS k)")
+def keyframes(spark, d):
+    s = _made(spark)
+    return units.keyframes(s.packets, s.maps).select("stream_id", "pid", "pts", "codec_string", "size")
+
+
+@plain("fmp4_fragments", "SELECT CAST(k AS INT) AS position, CAST(CASE WHEN k = 0 THEN 0 ELSE 10 END AS INT) AS samples, CAST(CASE WHEN k > 0 THEN 86400 + 36000 * (k - 1) ELSE 0 END AS BIGINT) AS base_time FROM (SELECT unnest(range(6)) AS k)")
+def fmp4_fragments(spark, d):
+    """The stream as fragmented MP4, read back from the boxes' bytes."""
+    s = _made(spark)
+    segments = fmp4.remux(s.packets, s.log)
+    number = lambda at, n: F.conv(F.hex(F.substring("data", at + 1, n)), 16, 10)
+    is_fragment = F.col("position") > 0
+    return segments.select(F.col("position").cast("int").alias("position"), F.when(is_fragment, number(80, 4).cast("int")).otherwise(0).alias("samples"), F.when(is_fragment, number(60, 8).cast("long")).otherwise(0).alias("base_time"))
+
+
+@plain("fmp4_boxes")
+def fmp4_boxes(spark, d):
+    """A fragment of each customer's orders as samples: sizes of the boxes."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    build = F.pandas_udf(lambda s: s.map(lambda keys: fragment(1, 1, [Sample(str(k).encode(), 1000 * i, 1000 * i, i == 0) for i, k in enumerate(keys)])), "binary")
+    return o.select("o_custkey", F.size("keys").alias("samples"), F.octet_length(build("keys")).alias("n_bytes"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Per-PID health of the streams that the events table encodes."""
+    s = Stream(spark, sf_dir)
+    return health.derived_pid(health.pid_stats(s.packets, s.maps)).filter(_ES)
+
