@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of the sample are at most so long; longer ones are scored but not learned from.
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 15
 
 
 def remainder(doc_id: Column, folds: int) -> Column:

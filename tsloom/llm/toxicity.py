@@ -37,12 +37,14 @@ from tsloom.llm.textbytes import ALNUM, LOWER, hashes, ragged, runs, words
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: Labelled rows learned from, at most: not toxic, toxic.
-SAMPLE = (4500, 1500)
+SAMPLE = (3000, 1200)
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.02, 1e-4
 #: Labelled texts of each class that a language needs for a threshold of its own.
 SUPPORT = 20
 PADS = max(WIDTHS)
+#: Bytes of text tokenised at once; a word takes some hundred bytes of products meanwhile.
+RUN = 1 << 19
 #: Bytes of a word that each hash sees; words shorter than a prefix have none.
 PREFIXES = (None, 4, 6, 8)
 
@@ -52,21 +54,30 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low = LOWER[data]
     starts, ends, rows = words(low, offsets, ALNUM)
     counts = np.diff(rows)
-    code = np.full((len(PREFIXES), len(starts) + PADS * len(counts)), BUCKETS, np.int64)
+    code = np.full((len(PREFIXES), len(starts) + PADS * len(counts)), BUCKETS, np.int32)
     place = np.arange(len(starts)) + np.repeat(np.arange(len(counts)) * PADS, counts)
     for row, size in zip(code, PREFIXES, strict=True):
         some = slice(None) if size is None else ends - starts >= size
         h = hashes(low, starts[some], ends[some] if size is None else starts[some] + size)
-        row[place[some]] = (h >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        row[place[some]] = (h >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int32)
     used = np.maximum(counts, 1)
     at = ragged(np.cumsum(counts + PADS) - counts - PADS, used)
     return code, at, np.cumsum(used) - used
 
 
+def _batch(texts: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(texts, pa.large_string())], names=["text"])
+
+
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    return tokens(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    """tokens() of all texts, made run by run."""
+    parts, words_before, at_before = [], 0, 0
+    for _, data, offsets in runs(_batch(texts), limit=RUN):
+        code, at, first = tokens(data, offsets)
+        parts.append((code, at + words_before, first + at_before))
+        words_before, at_before = words_before + code.shape[1], at_before + len(at)
+    codes, ats, firsts = zip(*parts, strict=True)
+    return np.concatenate(codes, axis=1), np.concatenate(ats), np.concatenate(firsts)
 
 
 class Network:
@@ -114,7 +125,7 @@ def _log_odds(code, texts: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """By hash: smoothed log-odds of each bucket, small for rare ones."""
     out = []
     for h in range(len(PREFIXES)):
-        seen = np.unique(texts * (BUCKETS + 1) + code[h])
+        seen = np.unique(texts.astype(np.int64) * (BUCKETS + 1) + code[h])
         bucket, doc = seen % (BUCKETS + 1), seen // (BUCKETS + 1)
         pos = np.bincount(bucket[y[doc] == 1], minlength=BUCKETS + 1)
         neg = np.bincount(bucket[y[doc] == 0], minlength=BUCKETS + 1)
@@ -240,7 +251,9 @@ def fit(rows: list[tuple[str, str | None, int]], counts: tuple[int, int]) -> Cla
     for c in (0, 1):  # every fourth of each class calibrates
         kept[np.flatnonzero(y == c)[::4]] = True
     net = train([r[0] for r, k in zip(rows, kept, strict=True) if not k], y[~kept])
-    z = net.logits(*tokens_of([r[0] for r, k in zip(rows, kept, strict=True) if k]), net.tables())
+    tables = net.tables()
+    z = np.concatenate([net.logits(*tokens(data, offsets), tables) for _, data, offsets in runs(_batch([r[0] for r, k in zip(rows, kept, strict=True) if k]), limit=RUN)])
+    del tables
     lang = np.array([r[1] or "" for r in rows])[kept]
     y = y[kept]
     share = np.array([counts[c] / max(1, (y == c).sum()) for c in (0, 1)])
@@ -262,7 +275,7 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             batch = pa.record_batch([pa.array(s, pa.large_string(), from_pandas=True)], names=["text"])
-            out = [sent.value.score(data, offsets) for _, data, offsets in runs(batch)]
+            out = [sent.value.score(data, offsets) for _, data, offsets in runs(batch, limit=RUN)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     threshold = F.lit(model.default)
