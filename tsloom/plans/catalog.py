@@ -68,61 +68,61 @@ def plain(name: str, sql: str | None = None):
 
 @query("pid_packet_counts", "SELECT stream_id, pid, count(*) AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) AS BIGINT) AS payload_bytes, min(packet_no) AS first_packet FROM wire GROUP BY stream_id, pid")
 def pid_packet_counts(spark, d):
-    return health.pid_counters(Stream(spark, d).packets).filter(_ES).select("stream_id", "pid", "packets", "payload_bytes", "first_packet")
+    return health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES).select("stream_id", "pid", "packets", "payload_bytes", "first_packet")
 
 
 @query("stream_totals", "SELECT stream_id, count(*) + 6 AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) + 6 * 184 AS BIGINT) AS payload_bytes, CAST(0 AS BIGINT) AS null_packets FROM wire GROUP BY stream_id")
 def stream_totals(spark, d):
-    return Stream(spark, d).packets.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if(F.col("pid") == 8191).alias("null_packets"))
+    return Stream.of_events(spark, d).packets.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if(F.col("pid") == 8191).alias("null_packets"))
 
 
 @query("continuity_summary", "SELECT stream_id, pid, count(*) FILTER (WHERE bad) AS continuity_errors, CAST(coalesce(sum(lost) FILTER (WHERE bad), 0) AS BIGINT) AS packets_lost, count(*) FILTER (WHERE dup) AS duplicates FROM marks GROUP BY stream_id, pid")
 def continuity_summary(spark, d):
-    return health.pid_counters(Stream(spark, d).packets).filter(_ES).select("stream_id", "pid", "continuity_errors", "packets_lost", "duplicates")
+    return health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES).select("stream_id", "pid", "continuity_errors", "packets_lost", "duplicates")
 
 
 @query("continuity_errors", "SELECT stream_id, packet_no, pid, CAST(expected AS BIGINT) AS expected, CAST(cc AS BIGINT) AS actual, CAST(lost AS BIGINT) AS lost FROM marks WHERE bad")
 def continuity_errors(spark, d):
-    e = events.stream_events(Stream(spark, d).packets).filter("event = 'continuity_error'")
+    e = events.stream_events(Stream.of_events(spark, d, ingest=True).packets).filter("event = 'continuity_error'")
     return e.select("stream_id", "packet_no", "pid", F.col("a").alias("expected"), F.col("b").alias("actual"), F.col("c").alias("lost"))
 
 
 @query("loss_rate", "SELECT stream_id, pid, coalesce(sum(lost) FILTER (WHERE bad), 0) / (count(*) + coalesce(sum(lost) FILTER (WHERE bad), 0)) AS loss_rate FROM marks GROUP BY stream_id, pid")
 def loss_rate(spark, d):
-    c = health.pid_counters(Stream(spark, d).packets).filter(_ES)
+    c = health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES)
     return c.select("stream_id", "pid", health.ratio(F.col("packets_lost"), F.col("packets") + F.col("packets_lost")).alias("loss_rate"))
 
 
 @query("transport_errors", "SELECT stream_id, pid, count(*) AS transport_errors FROM wire WHERE tei GROUP BY stream_id, pid")
 def transport_errors(spark, d):
-    return health.pid_counters(Stream(spark, d).packets).filter(_ES + " AND transport_errors > 0").select("stream_id", "pid", "transport_errors")
+    return health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES + " AND transport_errors > 0").select("stream_id", "pid", "transport_errors")
 
 
 @query("random_access", "SELECT stream_id, pid, count(*) FILTER (WHERE rap) AS random_access_points, CASE WHEN max(top) > 0 THEN count(*) FILTER (WHERE NOT tei AND gop = top) - 1 END AS packets_since_random_access, count(DISTINCT gop - rap::INT) FILTER (WHERE (tei OR bad) AND gop - rap::INT > 0) AS damaged_gops FROM (SELECT *, max(gop) OVER (PARTITION BY stream_id, pid) AS top FROM marks) GROUP BY stream_id, pid")
 def random_access(spark, d):
-    return health.pid_counters(Stream(spark, d).packets).filter(_ES).select("stream_id", "pid", "random_access_points", "packets_since_random_access", "damaged_gops")
+    return health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES).select("stream_id", "pid", "random_access_points", "packets_since_random_access", "damaged_gops")
 
 
 @query("gop_sessions", "SELECT stream_id, pid, CAST(gop AS BIGINT) AS gop, count(*) AS packets, min(packet_no) AS first_packet, max(packet_no) AS last_packet FROM marks GROUP BY stream_id, pid, gop")
 def gop_sessions(spark, d):
-    m = health.marked(Stream(spark, d).packets).filter(_ES)
+    m = health.marked(Stream.of_events(spark, d).packets).filter(_ES)
     return m.groupBy("stream_id", "pid", "gop").agg(F.count(F.lit(1)).alias("packets"), F.min("packet_no").alias("first_packet"), F.max("packet_no").alias("last_packet"))
 
 
 @query("scrambling_changes", "SELECT stream_id, packet_no, pid, now AS scrambled FROM (SELECT *, scr <> 0 AS now, coalesce(lag(scr <> 0) OVER (PARTITION BY stream_id, pid ORDER BY packet_no), false) AS was FROM wire WHERE NOT tei) WHERE now <> was")
 def scrambling_changes(spark, d):
-    e = events.stream_events(Stream(spark, d).packets).filter("event = 'scrambling_changed'")
+    e = events.stream_events(Stream.of_events(spark, d, ingest=True).packets).filter("event = 'scrambling_changed'")
     return e.select("stream_id", "packet_no", "pid", (F.col("a") == 1).alias("scrambled"))
 
 
 @query("pcr_discontinuities", "SELECT stream_id, packet_no, pid, prev AS previous, pcr AS current FROM clocks WHERE jump")
 def pcr_discontinuities(spark, d):
-    return health.pcr_rows(Stream(spark, d).packets).filter("jump").select("stream_id", "packet_no", "pid", F.col("prev_pcr").alias("previous"), F.col("pcr").alias("current"))
+    return health.pcr_rows(Stream.of_events(spark, d).packets).filter("jump").select("stream_id", "packet_no", "pid", F.col("prev_pcr").alias("previous"), F.col("pcr").alias("current"))
 
 
 @query("pcr_summary", "SELECT stream_id, pid, count(*) AS pcr_count, arg_max(pcr, packet_no) AS last_pcr, count(*) FILTER (WHERE jump) AS pcr_discontinuities, count(*) FILTER (WHERE gap > 1080000) AS pcr_repetition_errors, coalesce(max(gap), 0) AS max_pcr_interval, max(seconds) AS observed_seconds FROM clocks GROUP BY stream_id, pid")
 def pcr_summary(spark, d):
-    return health.clock_counters(Stream(spark, d).packets)
+    return health.clock_counters(Stream.of_events(spark, d).packets)
 
 
 @query("errored_seconds", """
@@ -130,7 +130,7 @@ SELECT stream_id, pid, count(*) FILTER (WHERE seconds IS DISTINCT FROM before) A
   SELECT b.stream_id, b.pid, c.seconds, lag(c.seconds) OVER (PARTITION BY b.stream_id, b.pid ORDER BY b.packet_no) AS before FROM bad b ASOF JOIN (SELECT stream_id, pid AS cpid, packet_no, seconds FROM clocks) c
   ON b.stream_id = c.stream_id AND (CASE WHEN b.pid < 258 THEN 256 ELSE 258 END) = c.cpid AND b.packet_no > c.packet_no) GROUP BY stream_id, pid""")
 def errored_seconds(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     return health.errored_seconds(s.packets, s.maps)[0]
 
 
@@ -139,36 +139,36 @@ SELECT stream_id, count(*) FILTER (WHERE seconds IS DISTINCT FROM before) AS err
   SELECT b.stream_id, c.seconds, lag(c.seconds) OVER (PARTITION BY b.stream_id ORDER BY b.packet_no) AS before FROM bad b ASOF JOIN (SELECT stream_id, packet_no, seconds FROM clocks WHERE pid = 256) c
   ON b.stream_id = c.stream_id AND b.packet_no > c.packet_no) GROUP BY stream_id""")
 def stream_errored_seconds(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     return health.errored_seconds(s.packets, s.maps)[1]
 
 
 @query("pts_timing", "SELECT stream_id, pid, count(*) AS timestamps, count(*) FILTER (WHERE gap > 18900000) AS pts_repetition_errors, coalesce(max(CASE WHEN gap > 0 THEN gap END), 0) AS max_pts_interval, arg_max(skew, packet_no) AS pts_skew, min(skew) AS min_pts_skew, count(*) FILTER (WHERE skew <= 0) AS late_timestamps FROM pes GROUP BY stream_id, pid", _STARTS)
 def pts_timing(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     t = health.pes_timing(s.pes, s.packets, s.maps)
     return t.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("timestamps"), F.count_if("breach").alias("pts_repetition_errors"), F.coalesce(F.max("interval"), F.lit(0)).alias("max_pts_interval"), F.max_by("skew", "packet_no").alias("pts_skew"), F.min("skew").alias("min_pts_skew"), F.count_if("is_late").alias("late_timestamps"))
 
 
 @query("late_timestamps", "SELECT stream_id, packet_no, pid, skew FROM pes WHERE skew <= 0", _STARTS)
 def late_timestamps(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     return health.pes_timing(s.pes, s.packets, s.maps).filter("is_late").select("stream_id", "packet_no", "pid", "skew")
 
 
 @query("pes_packets", "SELECT stream_id, pid, count(*) AS pes_packets, arg_max(pts, packet_no) AS last_pts FROM wire WHERE pts IS NOT NULL AND NOT tei GROUP BY stream_id, pid")
 def pes_packets(spark, d):
-    return Stream(spark, d).pes.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("pes_packets"), F.max_by("pts", "packet_no").alias("last_pts"))
+    return Stream.of_events(spark, d, ingest=True).pes.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("pes_packets"), F.max_by("pts", "packet_no").alias("last_pts"))
 
 
 @query("access_units", "SELECT stream_id, pid, unit_no, first_packet, pts, size, CASE WHEN damaged THEN 'loss' ELSE 'ok' END AS status FROM units", _UNITS)
 def access_units(spark, d):
-    return units.access_units(Stream(spark, d).packets.filter(_ES)).select("stream_id", "pid", "unit_no", "first_packet", "pts", "size", "status")
+    return units.access_units(Stream.of_events(spark, d).packets.filter(_ES)).select("stream_id", "pid", "unit_no", "first_packet", "pts", "size", "status")
 
 
 @query("access_unit_counters", "SELECT stream_id, pid, count(*) FILTER (WHERE NOT damaged AND NOT tail) AS completed, count(*) FILTER (WHERE damaged AND NOT tail) AS discarded_for_loss, CAST(0 AS BIGINT) AS discarded_for_size, true AS is_assembling FROM (SELECT *, unit_no = max(unit_no) OVER (PARTITION BY stream_id, pid) AS tail FROM units) GROUP BY stream_id, pid", _UNITS)
 def access_unit_counters(spark, d):
-    return units.unit_counters(units.access_units(Stream(spark, d).packets.filter(_ES)))
+    return units.unit_counters(units.access_units(Stream.of_events(spark, d).packets.filter(_ES)))
 
 
 _TRACKS = "(SELECT * FROM (VALUES (1, 256, 256, 'H.264 / AVC', NULL), (1, 256, 257, 'AAC (ADTS)', 'eng'), (30, 258, 258, 'H.265 / HEVC', NULL), (30, 258, 259, 'AC-3', NULL), (30, 258, 300, 'SCTE-35 splice', NULL)) t(program, pcr_pid, pid, label, language)) tracks"
@@ -176,27 +176,27 @@ _TRACKS = "(SELECT * FROM (VALUES (1, 256, 256, 'H.264 / AVC', NULL), (1, 256, 2
 
 @query("tracks", f"SELECT stream_id, program, pcr_pid, pid, label, language FROM (SELECT DISTINCT stream_id FROM wire) CROSS JOIN {_TRACKS}")
 def tracks(spark, d):
-    return psi.tracks(psi.latest_map(Stream(spark, d).log)).select("stream_id", "program", "pcr_pid", "pid", "label", "language")
+    return psi.tracks(psi.latest_map(Stream.of_events(spark, d, ingest=True).log)).select("stream_id", "program", "pcr_pid", "pid", "label", "language")
 
 
 @query("pid_describe", f"""
 SELECT p.stream_id, p.pid, CASE p.pid WHEN 0 THEN 'PAT' WHEN 17 THEN 'SDT' WHEN 4096 THEN 'PMT for ' || n_name WHEN 4097 THEN 'PMT for program 30' ELSE (CASE program WHEN 1 THEN n_name ELSE 'program 30' END) || ' ' || label || coalesce(' [' || language || ']', '') END AS description
 FROM (SELECT DISTINCT stream_id, pid FROM wire UNION SELECT stream_id, unnest([0, 17, 4096, 4097]) FROM (SELECT DISTINCT stream_id FROM wire)) p CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey = 1) LEFT JOIN {_TRACKS} ON p.pid = tracks.pid""")
 def pid_describe(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     return psi.describe_pids(s.packets.select("stream_id", "pid").distinct(), psi.latest_map(s.log))
 
 
 @query("service_names", "SELECT stream_id, program, CASE program WHEN 1 THEN n_name ELSE 'program 30' END AS described FROM (SELECT DISTINCT stream_id FROM wire) CROSS JOIN (VALUES (1), (30)) p(program) CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey = 1)")
 def service_names(spark, d):
-    m = psi.latest_map(Stream(spark, d).log)
+    m = psi.latest_map(Stream.of_events(spark, d, ingest=True).log)
     programs = m.select("stream_id", F.explode("programs.program").alias("program"))
     return psi.described_programs(programs, psi.services(m)).select("stream_id", "program", "described")
 
 
 @query("missing_pids", "SELECT DISTINCT stream_id, 30 AS program, 300 AS pid FROM wire")
 def missing_pids(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     return psi.missing_pids(psi.latest_map(s.log), s.packets).select("stream_id", "program", "pid")
 
 
@@ -207,7 +207,7 @@ SELECT stream_id, event, count(*) AS n FROM (
   UNION ALL SELECT stream_id, 'pid_discovered' FROM (SELECT DISTINCT stream_id, pid FROM wire) UNION ALL SELECT stream_id, unnest(['pid_discovered', 'pid_discovered', 'pid_discovered', 'pid_discovered', 'programs_changed', 'programs_changed', 'programs_changed', 'service_information_changed']) FROM (SELECT DISTINCT stream_id FROM wire)
 ) GROUP BY stream_id, event""", _STARTS)
 def event_counts(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     log = s.log
     maps = psi.map_versions(log)
     found = events.stream_events(s.packets, log, maps, units.mapped(units.pes_headers(s.packets), maps))
@@ -219,7 +219,7 @@ SELECT m.stream_id, m.bad AS continuity_errors, m.tei AS transport_errors, c.jum
  (SELECT stream_id, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE tei) AS tei FROM marks GROUP BY 1) m JOIN (SELECT stream_id, count(*) FILTER (WHERE jump) AS jump FROM clocks GROUP BY 1) c USING (stream_id)
  JOIN (SELECT stream_id, max(seconds) AS seconds FROM clocks WHERE pid = 256 GROUP BY 1) o USING (stream_id)""")
 def stream_health(spark, d):
-    s = Stream(spark, d)
+    s = Stream.of_events(spark, d, ingest=True)
     log = s.log
     return health.stream_stats(s.packets, psi.map_versions(log), log).select("stream_id", "continuity_errors", "transport_errors", "pcr_discontinuities", "is_healthy", "observed_seconds")
 
@@ -354,9 +354,7 @@ def _video(n: int = 50, gop: int = 10) -> list[bytes]:
 
 def _made(spark: SparkSession) -> Stream:
     ship(spark)
-    s = Stream.__new__(Stream)
-    s.packets = packets_from_raw(spark.createDataFrame([("v", i, bytearray(p)) for i, p in enumerate(_video())], "stream_id string, packet_no long, raw binary"))
-    return s
+    return Stream(packets_from_raw(spark.createDataFrame([("v", i, bytearray(p)) for i, p in enumerate(_video())], "stream_id string, packet_no long, raw binary")))
 
 
 @plain("keyframes", "SELECT 'v' AS stream_id, 256 AS pid, 90000 + 36000 * k AS pts, 'avc1.64000c' AS codec_string, CAST(4 + 28 + 4 + 4 + 4 + 701 AS INT) AS size FROM (SELECT unnest(range(5)) AS k)")
@@ -385,6 +383,6 @@ def fmp4_boxes(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-PID health of the streams that the events table encodes."""
-    s = Stream(spark, sf_dir)
+    s = Stream.of_events(spark, sf_dir, ingest=True)
     return health.derived_pid(health.pid_stats(s.packets, s.maps)).filter(_ES)
 

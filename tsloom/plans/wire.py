@@ -8,12 +8,13 @@ real source, so every query runs the real engine on real packets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tsloom.operators import psi, units
-from tsloom.session import ship
+from tsloom.session import ship, staged
 from tsloom.sources import synth as S
 from tsloom.sources.packets import packets_from_raw
 
@@ -65,19 +66,29 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Stream:
-    """The packets and what the engine derives from them, lazily."""
+    """Packets and what the engine derives from them, lazily and once.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.packets = packets(spark, sf_dir)
+    The table log is a sliver of the packets that most operators join with, so
+    it is persisted.  Queries of several passes ingest the packets first: as a
+    columnar table each pass reads only the header columns that it needs.
+    """
 
-    @property
+    def __init__(self, packets: DataFrame):
+        self.packets = packets
+
+    @classmethod
+    def of_events(cls, spark: SparkSession, sf_dir: str, ingest: bool = False) -> Stream:
+        p = packets(spark, sf_dir)
+        return cls(staged(p, "packets") if ingest else p)
+
+    @cached_property
     def log(self) -> DataFrame:
-        return psi.table_log(self.packets)
+        return psi.table_log(self.packets).persist()
 
-    @property
+    @cached_property
     def maps(self) -> DataFrame:
         return psi.map_versions(self.log)
 
-    @property
+    @cached_property
     def pes(self) -> DataFrame:
         return units.mapped(units.pes_headers(self.packets), self.maps)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +21,21 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a columnar table in the folder that spark.checkpoint.dir names and reads it back; it goes when the driver ends."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tsloom-shared"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended; its folder goes with it
+        return
