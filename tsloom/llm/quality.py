@@ -31,6 +31,8 @@ FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 SAMPLE = (3000, 5000)
 TREES, DEPTH, SHRINK, BINS, LEAF = 24, 3, 0.3, 32, 8
 PENALTY = 2e-3
+#: Bytes of text counted at once.
+RUN = 1 << 20
 
 #: Byte classes: 0 others, then as in SHARES.
 _CLASS = np.zeros(256, np.uint8)
@@ -78,7 +80,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _of_texts(texts: list[str]) -> np.ndarray:
     batch = pa.record_batch([pa.array(texts, pa.large_string())], names=["text"])
-    return np.concatenate([statistics(d, o) for _, d, o in runs(batch)])
+    return np.concatenate([statistics(d, o) for _, d, o in runs(batch, limit=RUN)])
 
 
 Rule = tuple[tuple[int, bool, float], ...]  #: (statistic, above, limit), all of which hold
@@ -220,7 +222,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     def stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             batch = pa.record_batch([pa.array(s, pa.large_string(), from_pandas=True)], names=["text"])
-            out = [statistics(data, offsets) for _, data, offsets in runs(batch)]
+            out = [statistics(data, offsets) for _, data, offsets in runs(batch, limit=RUN)]
             yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, len(STATS))), columns=list(STATS))
 
     return docs.drop("stats").withColumn("stats", stats(F.col("text").cast("string")))
