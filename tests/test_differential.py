@@ -74,7 +74,8 @@ def analyzed(packets):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_batch_agrees_with_the_analyzer(spark, seed):
+def test_batch_agrees_with_the_analyzer(spark, seed, monkeypatch):
+    monkeypatch.setattr(health, "CHUNK", (37, 250, 1 << 20)[seed])
     raw = damaged(seed)
     a, said = analyzed(raw)
     table = spark.createDataFrame([("s", i, bytearray(p)) for i, p in enumerate(raw)], "stream_id string, packet_no long, raw binary").repartition(5)

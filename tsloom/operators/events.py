@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsloom.operators.health import marked, pcr_rows, pes_timing, table_repetition
@@ -20,9 +19,8 @@ def _rows(df: DataFrame, event: str, a=None, b=None, c=None) -> DataFrame:
 def stream_events(packets: DataFrame, log: DataFrame | None = None, maps: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
     m, q = marked(packets), pcr_rows(packets)
     first = m.groupBy("stream_id", "pid").agg(F.min("packet_no").alias("packet_no"))
-    live = m.filter(~F.col("tei")).withColumn("was", F.coalesce(F.lag("scrambled").over(W.partitionBy("stream_id", "pid").orderBy("packet_no")), F.lit(False)))
     parts = [
-        _rows(first, "pid_discovered"), _rows(live.filter("scrambled <> was"), "scrambling_changed", F.col("scrambled").cast("int")), _rows(m.filter("cc_error"), "continuity_error", F.col("expected"), F.col("cc"), F.col("lost")),
+        _rows(first, "pid_discovered"), _rows(m.filter("NOT tei AND scrambled <> was_scrambled"), "scrambling_changed", F.col("scrambled").cast("int")), _rows(m.filter("cc_error"), "continuity_error", F.col("expected"), F.col("cc"), F.col("lost")),
         _rows(q.filter("jump"), "pcr_discontinuity", F.col("prev_pcr"), F.col("pcr")), _rows(q.filter("late"), "pcr_repetition_error", F.col("interval")),
     ]
     if sync_losses is not None:

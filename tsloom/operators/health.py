@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tsloom.functions.wire import NULL_PID, PAT_PID, PCR_HZ, WRAP33
 
+#: Packets of a stream that a window runs over.
+CHUNK = 1 << 20
 PCR_JUMP, PCR_LIMIT, PTS_LIMIT, TABLE_LIMIT = PCR_HZ // 10, PCR_HZ * 40 // 1000, PCR_HZ * 700 // 1000, PCR_HZ * 500 // 1000
 
 
@@ -29,22 +31,40 @@ def marked(packets: DataFrame) -> DataFrame:
 
     The counter moves with the payload flag, not with payload bytes; a packet
     after a corrupt one only seeds the comparison.
+
+    A prefix scan of two levels: windows run over CHUNK packets of a stream, and
+    what a chunk's first packets must know of those before (last counter, last
+    scrambling, random-access points so far) is carried over a table with a row
+    for each PID and chunk.  A PID of any length is thus spread over many tasks.
     """
     p = packets.filter(F.col("pid") != NULL_PID).select("stream_id", "packet_no", "tei", "pid", "scrambling_control", "afc", "cc", "discontinuity", "random_access", "pcr", "payload_len")
-    announced = F.coalesce("discontinuity", F.lit(False))
-    flag = F.col("afc").bitwiseAND(1) == 1
-    p = p.withColumns({"announced": announced, "prev_cc": F.lag("cc").over(_pid()), "prev_tei": F.lag("tei").over(_pid()), "rai": F.coalesce("random_access", F.lit(False)) & ~F.col("tei")})
-    expected = F.when(flag, (F.col("prev_cc") + 1) % 16).otherwise(F.col("prev_cc"))
-    compared = ~F.col("tei") & F.col("prev_cc").isNotNull() & ~F.coalesce("prev_tei", F.lit(False))
-    off = compared & (F.col("cc") != expected) & ~announced
-    twice = flag & (F.col("cc") == F.col("prev_cc"))
-    scrambled = (F.col("scrambling_control") != 0) & ~F.col("tei")
-    return p.withColumns(
+    p = p.withColumns(
         {
-            "expected": expected, "duplicate": F.coalesce(off & twice, F.lit(False)), "cc_error": F.coalesce(off & ~twice, F.lit(False)), "lost": F.pmod(F.col("cc") - expected, F.lit(16)), "scrambled": scrambled,
-            "gop": F.sum(F.col("rai").cast("long")).over(_so_far()),
+            "chunk": F.floor(F.col("packet_no") / F.lit(CHUNK)), "announced": F.coalesce("discontinuity", F.lit(False)), "rai": F.coalesce("random_access", F.lit(False)) & ~F.col("tei"), "scrambled": (F.col("scrambling_control") != 0) & ~F.col("tei"),
         }
     )
+    sound = F.when(~F.col("tei"), F.col("scrambled"))
+    keys = ["stream_id", "pid", "chunk"]
+    ends = p.groupBy(*keys).agg(F.max_by(F.struct("cc", "tei"), "packet_no").alias("end"), F.max_by("scrambled", F.when(~F.col("tei"), F.col("packet_no"))).alias("end_scrambled"), F.sum(F.col("rai").cast("long")).alias("points"))
+    chunks = W.partitionBy("stream_id", "pid").orderBy("chunk")
+    earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*keys, F.lag("end").over(chunks).alias("end"), F.last("end_scrambled", ignorenulls=True).over(earlier).alias("end_scrambled"), F.coalesce(F.sum("points").over(earlier), F.lit(0)).alias("points"))
+    p = p.join(carried, keys)
+    order = W.partitionBy(*keys).orderBy("packet_no")
+    before = F.coalesce(F.lag(F.struct("cc", "tei")).over(order), F.col("end"))
+    p = p.withColumns(
+        {
+            "before": before, "was_scrambled": F.coalesce(F.last(sound, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("end_scrambled"), F.lit(False)),
+            "gop": F.col("points") + F.sum(F.col("rai").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)),
+        }
+    )
+    prev, flag = F.col("before.cc"), F.col("afc").bitwiseAND(1) == 1
+    expected = F.when(flag, (prev + 1) % 16).otherwise(prev)
+    compared = ~F.col("tei") & prev.isNotNull() & ~F.coalesce("before.tei", F.lit(False))
+    off = compared & (F.col("cc") != expected) & ~F.col("announced")
+    twice = flag & (F.col("cc") == prev)
+    p = p.withColumns({"expected": expected, "duplicate": F.coalesce(off & twice, F.lit(False)), "cc_error": F.coalesce(off & ~twice, F.lit(False)), "lost": F.pmod(F.col("cc") - expected, F.lit(16))})
+    return p.drop("before", "end", "end_scrambled", "points", "chunk", "discontinuity", "random_access", "scrambling_control")
 
 
 def pcr_rows(packets: DataFrame) -> DataFrame:
@@ -177,16 +197,19 @@ def damaged_gops(m: DataFrame) -> DataFrame:
 
 
 def pid_counters(packets: DataFrame) -> DataFrame:
-    """Counters of each PID that need no tables."""
+    """Counters of each PID that need no tables: per interval between random-access points first, then per PID."""
     m = marked(packets)
-    top = W.partitionBy("stream_id", "pid")
-    m = m.withColumn("last_gop", F.max("gop").over(top))
-    out = m.groupBy("stream_id", "pid").agg(
+    live = F.when(~F.col("tei"), F.col("packet_no"))
+    g = m.groupBy("stream_id", "pid", "gop").agg(
         F.min("packet_no").alias("first_packet"), F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if("cc_error").alias("continuity_errors"),
         F.coalesce(F.sum(F.when(F.col("cc_error"), F.col("lost"))), F.lit(0)).cast("long").alias("packets_lost"), F.count_if("tei").alias("transport_errors"), F.count_if("duplicate").alias("duplicates"),
-        F.coalesce(F.max_by("scrambled", F.when(~F.col("tei"), F.col("packet_no"))), F.lit(False)).alias("scrambled"), F.count_if("rai").alias("random_access_points"),
-        F.when(F.max("last_gop") > 0, F.count_if(~F.col("tei") & (F.col("gop") == F.col("last_gop"))) - 1).alias("packets_since_random_access"),
+        F.max(F.struct(live.alias("at"), "scrambled")).alias("last"), F.count_if("rai").alias("random_access_points"), F.count_if(~F.col("tei")).alias("sound"),
+    )
+    sums = ["packets", "payload_bytes", "continuity_errors", "packets_lost", "transport_errors", "duplicates", "random_access_points"]
+    out = g.groupBy("stream_id", "pid").agg(
+        F.min("first_packet").alias("first_packet"), *[F.sum(c).cast("long").alias(c) for c in sums], F.max("last").alias("last"), F.when(F.max("gop") > 0, F.max_by("sound", "gop") - 1).alias("packets_since_random_access"),
     )
+    out = out.withColumn("scrambled", F.when(F.col("last.at").isNotNull(), F.col("last.scrambled")).otherwise(False)).drop("last")
     return out.join(damaged_gops(m), ["stream_id", "pid"], "left").fillna(0, ["damaged_gops"])
 
 
