@@ -275,9 +275,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(distinct.select("fp")))
-    classed = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    ids = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classed.select("fp", "root").join(ids, "root")
+    members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    # Tables of their own on the small side: Spark can then split a hot root or fingerprint on the large one.
+    ids = staged(members.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
+    known = distinct.join(members.join(ids, "root"), "fp", "left")
+    classes = staged(known.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
