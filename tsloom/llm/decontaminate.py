@@ -38,6 +38,8 @@ from tsloom.llm.textbytes import ALNUM, LOWER, hashes, ragged, runs, words
 
 WINDOW, SHARE = 13, 20
 BLOCK_WINDOWS = 200_000
+#: Bytes of text in a segment; a longer text is a segment of its own.
+SEGMENT_BYTES = 2 << 20
 SEGMENT = "segment string, ids binary, counts binary, terms binary, starts binary, positions binary"
 FOUND = pa.schema([("segment", pa.string()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("near", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 FOUND_SQL = "segment string, row int, doc_id long, n_words long, hits array<struct<start:long,stop:long>>, near array<long>, items array<long>"
@@ -55,7 +57,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     task, made = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for part, data, offsets in runs(batch):
+        for part, data, offsets in runs(batch, limit=SEGMENT_BYTES):
             terms, rows = _tokens(data, offsets)
             counts = np.diff(rows)
             place = (np.arange(len(terms)) + np.repeat(np.arange(len(counts)) * WINDOW, counts)).astype(np.int32)

@@ -6,6 +6,7 @@ texts end to end and the n + 1 offsets of the rows.  Null texts are empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,17 @@ def runs(batch: pa.RecordBatch, column: str = "text", limit: int = RUN_BYTES) ->
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and so would be the peak of each task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
