@@ -1,0 +1,56 @@
+import random
+import re
+
+import corpus_pipeline as P
+import pytest
+
+from tsloom.llm import jaccard
+
+
+def shingles(text):
+    words = [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
+def brute(rows):
+    """The smallest id of each document's component, from all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    low = {r: min(d for (d, _), x in zip(rows, root, strict=True) if x == r) for r in root}
+    return {d: low[r] for (d, _), r in zip(rows, root, strict=True)}
+
+
+def copies(seed):
+    """Texts, copies of them with some words changed, a passage that many share, and chains of such copies."""
+    rng = random.Random(seed)
+    word = lambda: "w" + str(rng.randrange(4000))
+    common = [word() for _ in range(30)]
+    texts = []
+    for n in range(45):
+        words = [word() for _ in range(rng.choice([3, 6, 20, 60, 150]))]
+        if n % 3 == 0:
+            words = common + words
+        for _ in range(rng.choice([1, 2, 12]) if n else 60):
+            texts.append(" ".join(words))
+            base = words
+            words = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = word()
+            if n % 2:
+                words, base = base, words
+    texts += [None, "", " \n ", "A b  c", "a B c"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stage_equal_to_all_pairs(spark, seed):
+    rows = copies(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+    assert sorted(r.doc_id for r in P.keep_one_of_each(spark, docs, "").collect()) == sorted(set(want.values()))

@@ -1,0 +1,224 @@
+"""Near-duplicates by the exact similarity of word shingles.
+
+Sets.  A text is the set of its SHINGLE-word shingles (words and hashes as in
+simhash).  Two texts link where the shared part of their sets' union is at
+least SIMILAR.  Equal sets are collapsed first.
+
+Candidates.  In one fixed order of all shingles, two sets of a and b shingles
+that link share one among the first a - ceil(SIMILAR * a) + 1 of the one and
+the like of the other, so each such shingle is a key and no pair is lost.  Any
+order gives the same links.  The one used puts shingles that are frequent in a
+sample of texts last: it only keeps common passages from being keys.
+
+Links.  The texts of a key are compared with a few of them at a time, first
+with one, then with ever more; texts that are in one component by then are not
+compared again.  Sizes and places in the order rule out pairs that cannot
+link; all others are verified on the whole sets.
+
+Defined results: null texts and such without words have the empty set and link
+to each other; fewer than SHINGLE words are one shingle; null ids are kept, a
+component's id is its smallest non-null id, or null; repeated rows are repeated
+in the result; an empty table gives no rows.  Shingles are compared by 64-bit
+hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tsloom.llm.shared import staged
+from tsloom.llm.simhash import components, grouped, shingles_of
+from tsloom.llm.textbytes import ragged, runs
+
+SHINGLE = 5
+#: The least similarity, as a fraction.
+SIMILAR = (4, 5)
+#: Texts and shingles that the order is made of.
+SAMPLE, COMMON = 20_000, 200_000
+#: Each round compares with so many times the texts of the one before.
+GROWTH = 8
+CELLS = 1 << 24
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' sets end to end, each in ascending order, their sizes and one hash of each set."""
+    h, counts = shingles_of(data, offsets, SHINGLE)
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[fresh], row[fresh]
+    sizes = np.bincount(row, minlength=len(counts))
+    out = np.zeros(len(counts), np.uint64)
+    with np.errstate(over="ignore"):
+        m = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        m = (m ^ (m >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(m ^ (m >> np.uint64(29)), (np.cumsum(sizes) - sizes)[full])
+    return h, sizes, out.view(np.int64)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offsets in runs(batch):
+            yield pa.record_batch([part.column(0), pa.array(sets_of(data, offsets)[2])], names=["doc_id", "fp"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, data, offsets in runs(batch):
+            h, n = np.unique(sets_of(data, offsets)[0], return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _order(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, ascending, and their levels; all others have level 0."""
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0)
+    counted = some.mapInArrow(_shingles, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 4")
+    top = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, level = top.column("h").to_numpy().view(np.uint64), np.log2(top.column("n").to_numpy()).astype(np.int64)
+    order = np.argsort(h)
+    return h[order], level[order]
+
+
+def _keys(common: tuple[np.ndarray, np.ndarray]):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, levels = common
+        for batch in batches:
+            for _, data, offsets in runs(batch):
+                h, sizes, fp = sets_of(data, offsets)
+                level = np.zeros(len(h), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    level = np.where(hashes[at] == h, levels[at], 0)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                h = h[np.lexsort((h, level, row))]
+                need = -(-sizes * SIMILAR[0] // SIMILAR[1])
+                many = np.where(sizes > 0, sizes - need + 1, 0)
+                first = np.cumsum(sizes) - sizes
+                at, row = ragged(first, many), np.repeat(np.arange(len(sizes)), many)
+                columns = [h[at].view(np.int64), fp[row], sizes[row].astype(np.int32), (at - first[row]).astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "fp", "size", "place"])
+
+    return keys
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, fp) without repeats, of keys that two or more sets have, numbered within their key."""
+    key = fp = None  # of the last row
+    last, nth, lone = None, 0, None
+    for batch in batches:
+        keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(keys):
+            continue
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])
+        fresh[0] = key is None or keys[0] != key or fps[0] != fp
+        key, fp = keys[-1], fps[-1]
+        rows = pa.Table.from_batches([batch]).filter(pa.array(fresh))
+        if not len(rows):
+            continue
+        keys = rows.column("key").to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        number = np.arange(len(keys)) - np.repeat(begins, np.diff([*begins, len(keys)]))
+        if keys[0] == last:
+            number[: (begins[1] if len(begins) > 1 else len(keys))] += nth
+        if lone is not None and keys[0] == last:
+            rows, number, keys = pa.concat_tables([lone, rows]), np.concatenate([[0], number]), np.concatenate([[last], keys])
+        more = number > 0
+        more[:-1] |= number[1:] > 0
+        last, nth = keys[-1], int(number[-1]) + 1
+        # The last row may yet find others of its key.
+        lone = rows.slice(len(rows) - 1) if number[-1] == 0 else None
+        rows = rows.append_column("nth", pa.array(number.astype(np.int64))).filter(pa.array(more))
+        yield from rows.combine_chunks().to_batches()
+
+
+def _pairs(low: int, high: int):
+    """Pairs of the texts numbered low <= nth < high of a key with all after them, as far as they may link and are in two components."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = None  # the first rows of the last key, which may continue
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp, size, place, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "size", "place", "root"))
+            rows, old = (key, fp, size.astype(np.int64), place.astype(np.int64), root), 0
+            if begun is not None and begun[0][0] == key[0]:
+                old = len(begun[0])
+                rows = tuple(np.concatenate(x) for x in zip(begun, rows, strict=True))
+            key, fp, size, place, root = rows
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            begin = np.repeat(begins, np.diff([*begins, len(key)]))
+            here = np.arange(old, len(key))
+            for k in range(low, high):
+                here = here[begin[here] + k < here]
+                if not len(here):
+                    break
+                c = begin[here] + k
+                p, q, a, b = place[c], place[here], size[c], size[here]
+                shared = np.minimum(p, q) + np.minimum(a - p, b - q)
+                ok = (root[c] != root[here]) & (shared * sum(SIMILAR) >= (a + b) * SIMILAR[0])
+                yield pa.record_batch([pa.array(fp[c[ok]]), pa.array(fp[here[ok]])], names=["u", "v"])
+            begun = tuple(x[begins[-1] :][:high] for x in rows)
+
+    return pairs
+
+
+def _sets(wanted: np.ndarray):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, data, offsets in runs(batch):
+                h, sizes, fp = sets_of(data, offsets)
+                want = np.zeros(len(fp), bool)
+                want[np.unique(fp, return_index=True)[1]] = True
+                want &= wanted[fp.view(np.uint64) >> np.uint64(40)] & ~np.isin(fp, seen)
+                at = np.flatnonzero(want)
+                seen = np.union1d(seen, fp[at])
+                flat = h[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])].view(np.int64)
+                yield pa.record_batch([pa.array(fp[at]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[at])]).astype(np.int32)), pa.array(flat))], names=["fp", "shingles"])
+
+    return sets
+
+
+def links(texts: DataFrame, n: int) -> DataFrame:
+    """Rows (fp, root) of the sets that have links."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = texts.mapInArrow(_keys(_order(texts, n)), "key long, fp long, size int, place int")
+    buckets = staged(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_buckets, "key long, fp long, size int, place int, nth long"), "buckets")
+    wanted = np.zeros(CELLS, bool)
+    wanted[buckets.select(F.shiftrightunsigned("fp", 40).alias("cell")).distinct().toArrow().column("cell").to_numpy()] = True
+    sets = staged(texts.mapInArrow(_sets(wanted), "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
+    edges = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "fp long, root long")
+    low, high = 0, 1
+    while True:
+        now = buckets.join(roots, "fp", "left").select("key", "fp", "size", "place", "nth", F.coalesce("root", "fp").alias("root"))
+        open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("nth").alias("top")).filter(f"a <> b AND top > {low}").select("key")
+        now = staged(now.join(open_, "key", "left_semi"), "open")
+        if now.isEmpty():
+            return roots
+        pairs = now.repartition(parts, "key").sortWithinPartitions("key", "nth").mapInArrow(_pairs(low, high), "u long, v long").distinct()
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
+        alike = F.size(F.array_intersect("x", "y")) * sum(SIMILAR) >= (F.size("x") + F.size("y")) * SIMILAR[0]
+        edges = staged(edges.unionByName(both.filter(alike).select("u", "v")), "verified")
+        roots = components(edges)
+        roots = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+        low, high = high, high + (high - low) * GROWTH
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, fp, root, component_id), one for each document; fp is a hash of its set."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = staged(texts.mapInArrow(_prints, "doc_id long, fp long"), "prints")
+    roots = links(texts.select("text"), prints.count())
+    return grouped(prints, roots.filter("fp <> root"))

@@ -106,8 +106,8 @@ def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SE
 SPREAD = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One fingerprint for each row."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `size` words, row by row, and how many each row has; fewer words are one shingle."""
     low = LOWER[data]
     starts, ends, rows = words(low, offsets, SOLID)
     keep = SOLID[low]
@@ -118,15 +118,21 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     moved = np.cumsum(keep) - keep
     text, starts, ends = low[keep], moved[starts], moved[ends - 1] + 1
     n = np.diff(rows)
-    counts = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    counts = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     first = np.cumsum(counts) - counts
     at = np.arange(int(counts.sum())) + np.repeat(rows[:-1] - first, counts)
-    last = at + np.repeat(np.minimum(n, SHINGLE) - 1, counts)
-    h = xxh64(text, starts[at], ends[last])
+    last = at + np.repeat(np.minimum(n, size) - 1, counts)
+    return xxh64(text, starts[at], ends[last]), counts
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One fingerprint for each row."""
+    h, counts = shingles_of(data, offsets)
+    first = np.cumsum(counts) - counts
     # Counts of set bits, a byte each, over runs of at most 255 shingles.
     pieces = -(-counts // 255)
     begin = np.repeat(first, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
@@ -273,8 +279,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp, root, component_id), one for each document."""
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    return grouped(prints, components(links(prints.select("fp").distinct())))
+
+
+def grouped(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp, root, component_id) for the rows (doc_id, fp) and the components of their fingerprints."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct.select("fp")))
     members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     # Tables of their own on the small side: Spark can then split a hot root or fingerprint on the large one.
     ids = staged(members.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
