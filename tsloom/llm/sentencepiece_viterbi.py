@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by batched Viterbi in numpy.
+"""SentencePiece encoding and decoding by batched Viterbi, or merges, in numpy.
 
 The model file is read directly.  Texts are escaped as the model asks (a leading
 mark, blanks as marks) and cut where no piece can cross: before a run of marks
@@ -8,9 +8,12 @@ prefix hashes, probe the sorted piece keys (behind a bitmap), and at each
 position vectorised maxima store the best score and a back-pointer.  Units over
 LONG bytes are probed at all positions at once and solved one by one.
 
-The result is the segmentation with the greatest sum of piece scores, the rule
-of unigram models; for a vocabulary whose scores are merge ranks it is the best
-sum of these ranks, not the merge order.  Equal sums prefer the longer last
+For unigram models the result is the segmentation with the greatest sum of piece
+scores.  In a model of merge kind (BPE) the scores are merge ranks, and the best
+sum of these is not its encoding: there, units of equal length are merged
+together instead, one pair a step in each, the best score first and the leftmost
+of equals; longer units use a heap.  encode alone is Viterbi for any model,
+encode_as_trained goes by the model's kind.  Equal sums prefer the longer last
 piece.  Characters that no piece covers become byte pieces, or the unknown id
 where the model has none.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +83,23 @@ class Model:
 
     def __init__(self, raw: bytes):
         pieces, scores, kinds = [], [], []
-        prefix, collapse, escape, charsmap = True, True, True, b""
+        prefix, collapse, escape, charsmap, kind = True, True, True, b"", 1
         for number, value in fields(raw):
             if number == 1:
                 f = dict(fields(value))
                 pieces.append(f.get(1, b"").decode())
                 scores.append(struct.unpack("<f", f[2])[0] if 2 in f else 0.0)
                 kinds.append(f.get(3, _NORMAL))
+            elif number == 2:
+                kind = dict(fields(value)).get(3, 1)
             elif number == 3:
                 f = dict(fields(value))
                 charsmap, prefix, collapse, escape = f.get(2, b""), bool(f.get(3, 1)), bool(f.get(4, 1)), bool(f.get(5, 1))
         if charsmap or collapse or not escape or _USER in kinds:
             raise ValueError("only models with identity normalisation and without user-defined pieces are supported")
-        self.prefix, kinds = prefix, np.array(kinds)
+        if kind not in (1, 2) or kind == 2 and _UNUSED in kinds:
+            raise ValueError("only unigram models and merge models without unused pieces are supported")
+        self.prefix, self.merges, kinds = prefix, kind == 2, np.array(kinds)
         self.unknown = int(np.flatnonzero(kinds == _UNKNOWN)[0])
         usable = [i for i in np.flatnonzero(kinds == _NORMAL).tolist() if pieces[i]]
         self.byte_id = np.full(256, -1, np.int64)
@@ -109,6 +117,7 @@ class Model:
         order = np.argsort(key)
         self.keys, self.ids, self.sizes = key[order], np.array(usable)[order], sizes[order]
         self.score = np.array(scores)[self.ids]
+        self.row_of = {coded[i]: row for row, i in enumerate(order.tolist())} if self.merges else {}
         self.unknown_score = float(self.score.min()) - UNKNOWN_PENALTY
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.keys >> np.uint64(44)] = True
@@ -136,6 +145,15 @@ class Model:
         ok = (self.keys[row] == h[may]) & (self.sizes[row] == size)
         return may[ok], row[ok]
 
+    def rows(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of the pieces of these hashes and sizes, or -1."""
+        out = np.full(len(h), -1)
+        may = np.flatnonzero(self.bitmap[h >> np.uint64(44)])
+        row = np.minimum(np.searchsorted(self.keys, h[may]), len(self.keys) - 1)
+        ok = (self.keys[row] == h[may]) & (self.sizes[row] == size[may])
+        out[may[ok]] = row[ok]
+        return out
+
 
 def load(path: str = MODEL) -> Model:
     with open(path, "rb") as file:
@@ -216,9 +234,79 @@ def _alone(model: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts[found], sizes[found], rows[found]
 
 
-def _segment(model: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged_together(model: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments by merge order of n units of one length, text (n, length): (unit, start, size, piece row or -1)."""
+    n, length = text.shape
+    prefix = np.zeros((n, length + 1), np.uint64)
+    np.cumsum(_SALT[text] * _powers(_BASE, length), axis=1, out=prefix[:, 1:])
+    inverse = model.inverse
+    sizes = _char_sizes(text)
+    # At the start of each symbol its end, at the end of each its start.
+    end, begin = np.arange(length) + sizes, np.zeros((n, length + 1), np.int64)
+    end[sizes == 0] = 0
+    unit, at = np.nonzero(sizes)
+    begin[unit, end[unit, at]] = at
+
+    def rows(u, a, b):
+        return model.rows((prefix[u, b] - prefix[u, a]) * inverse[a], b - a)
+
+    score = np.full((n, length), -np.inf)  # of the pair whose left symbol starts here
+
+    def look(u, a, b):
+        row = rows(u, a, b)
+        score[u, a] = np.where(row < 0, -np.inf, model.score[row])
+
+    more = end[unit, at] < length
+    unit, at = unit[more], at[more]
+    look(unit, at, end[unit, end[unit, at]])
+    live = np.arange(n)
+    while len(live):
+        a = score[live].argmax(axis=1)  # the leftmost of equals
+        ok = score[live, a] > -np.inf
+        live, a = live[ok], a[ok]
+        m = end[live, a]
+        b = end[live, m]
+        end[live, a], end[live, m], begin[live, b], score[live, m], score[live, a] = b, 0, a, -np.inf, -np.inf
+        right, left = b < length, a > 0
+        look(live[right], a[right], end[live[right], b[right]])
+        look(live[left], begin[live[left], a[left]], b[left])
+    unit, at = np.nonzero(end)
+    b = end[unit, at]
+    return unit, at, b - at, rows(unit, at, b)
+
+
+def _merged_alone(model: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments by merge order of one long unit: (start, size, piece row or -1)."""
+    raw, row_of, score = text.tobytes(), model.row_of, model.score
+    starts = np.flatnonzero(_char_sizes(text)).tolist()
+    ends = [*starts[1:], len(raw)]
+    end, begin = dict(zip(starts, ends, strict=True)), dict(zip(ends, starts, strict=True))
+    heap = []
+
+    def pair(a: int, m: int, b: int) -> tuple | None:
+        row = row_of.get(raw[a:b])
+        return None if row is None else (-float(score[row]), a, m, b)
+
+    heap = [x for a, m, b in zip(starts, starts[1:], ends[1:]) if (x := pair(a, m, b))]  # noqa: B905
+    heapify(heap)
+    while heap:
+        _, a, m, b = heappop(heap)
+        if end.get(a) != m or end.get(m) != b:
+            continue
+        end[a], begin[b] = b, a
+        del end[m], begin[m]
+        if b < len(raw) and (x := pair(a, b, end[b])):
+            heappush(heap, x)
+        if a > 0 and (x := pair(begin[a], a, b)):
+            heappush(heap, x)
+    found = np.array(sorted(end.items()), np.int64)
+    return found[:, 0], found[:, 1] - found[:, 0], np.array([row_of.get(raw[a:b], -1) for a, b in found.tolist()], np.int64)
+
+
+def _segment(model: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, merges: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the units, end to end, and how many each has."""
     parts = []
+    together, alone = (_merged_together, _merged_alone) if merges else (_together, _alone)
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
@@ -227,10 +315,10 @@ def _segment(model: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarr
         for lo in range(a, b, step):
             which = order[lo : min(b, lo + step)]
             if size <= LONG:
-                unit, start, width, row = _together(model, data[starts[which][:, None] + np.arange(size)])
+                unit, start, width, row = together(model, data[starts[which][:, None] + np.arange(size)])
                 parts.append((which[unit], start, width, row))
             else:
-                start, width, row = _alone(model, data[starts[which[0]] : starts[which[0]] + size])
+                start, width, row = alone(model, data[starts[which[0]] : starts[which[0]] + size])
                 parts.append((np.full(len(start), which[0]), start, width, row))
     unit, start, width, row = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((start, unit))
@@ -244,7 +332,7 @@ def _segment(model: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return ids, np.bincount(unit, weights=many, minlength=len(starts)).astype(np.int64)
 
 
-def _encode_run(model: Model, texts: pa.Array) -> pa.Array:
+def _encode_run(model: Model, texts: pa.Array, merges: bool) -> pa.Array:
     texts = pc.replace_substring(texts, " ", MARK)
     if model.prefix:
         texts = pc.if_else(pc.greater(pc.binary_length(texts), 0), pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
@@ -270,7 +358,7 @@ def _encode_run(model: Model, texts: pa.Array) -> pa.Array:
     here, there = ragged(starts, sizes), ragged(starts[first[same]], np.minimum(sizes, sizes[first[same]]))
     if (sizes != sizes[first[same]]).any() or (data[here] != data[there]).any():  # equal hashes of unlike units
         first = same = np.arange(len(starts))
-    ids, many = _segment(model, data, starts[first], sizes[first])
+    ids, many = _segment(model, data, starts[first], sizes[first], merges)
     at = np.cumsum(many) - many
     flat = ids[ragged(at[same], many[same])]
     total = np.concatenate([[0], np.cumsum(many[same])])
@@ -285,14 +373,19 @@ def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def encode(model: Model, texts: pa.Array) -> pa.Array:
-    """Lists of int32 ids."""
+def encode(model: Model, texts: pa.Array, merges: bool = False) -> pa.Array:
+    """Lists of int32 ids, by the greatest sum of scores or else by merge order."""
     nulls, texts = pc.is_null(texts), texts.cast(pa.large_string()).fill_null("")
-    parts = [_encode_run(model, texts.slice(a, b - a)) for a, b in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), RUN_BYTES)]
+    parts = [_encode_run(model, texts.slice(a, b - a), merges) for a, b in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), RUN_BYTES)]
     ids = pa.concat_arrays(parts) if parts else pa.array([], pa.large_list(pa.int32()))
     return pc.if_else(nulls, pa.scalar(None, ids.type), ids).cast(pa.list_(pa.int32()))
 
 
+def encode_as_trained(model: Model, texts: pa.Array) -> pa.Array:
+    """Lists of int32 ids as the model's own kind gives them."""
+    return encode(model, texts, model.merges)
+
+
 def _decode_run(model: Model, lists: pa.Array) -> list[str]:
     flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -322,7 +415,7 @@ def encode_texts(docs: DataFrame, model: Model, text_col: str = "text", ids_col:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield encode(sent.value, texts)
+            yield encode_as_trained(sent.value, texts)
             pa.default_memory_pool().release_unused()
 
     return docs.withColumn(ids_col, ids(F.col(text_col).cast("string")))
@@ -350,7 +443,7 @@ def encode_checked(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             parts = []
             for a, b in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 8 * RUN_BYTES):
                 some = texts.slice(a, b - a)
-                ids = encode(sent.value, some)
+                ids = encode_as_trained(sent.value, some)
                 same = pc.equal(decode(sent.value, ids), pc.replace_substring(some, MARK, " "))
                 parts.append(pa.StructArray.from_arrays([ids, pc.fill_null(same, True)], names=["ids", "exact"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("exact", pa.bool_())]))
