@@ -20,7 +20,8 @@ same stored index and the blocks' matches are merged by document.
 
 Defined results: null and empty texts have no words and are not contaminated;
 items without words match nothing; repeated documents are repeated in the
-result; repeated items each count; an empty benchmark or corpus gives clean
+result; repeated items each count; items without an id count as hits and, all
+together, as one null among a document's items; an empty benchmark or corpus gives clean
 rows or none; further columns are not read.
 """
 
@@ -167,7 +168,7 @@ def _search(sent, slop: int):
                 yield pa.record_batch(
                     [
                         pa.array([row["segment"]] * len(ids)), pa.array(range(len(ids)), pa.int32()), pa.array(ids, mask=ids == NO_ID), pa.array(counts),
-                        pa.array(merged, FOUND.field("hits").type), pa.array([sorted(near.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64())),
+                        pa.array(merged, FOUND.field("hits").type), pa.array([_listed(near.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64())), pa.array([_listed(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.int64())),
                     ],
                     schema=FOUND,
                 )
@@ -175,6 +176,11 @@ def _search(sent, slop: int):
     return search
 
 
+def _listed(items) -> list[int | None]:
+    """Ids in ascending order; all items without an id are one null at the end."""
+    return sorted(i for i in items if i != NO_ID) + [None] * (NO_ID in items)
+
+
 def _union(spans: list[tuple[int, np.ndarray]]) -> list[dict]:
     """Disjoint hit ranges of a document from (length, starts)."""
     a = np.concatenate([s for _, s in spans])
@@ -189,7 +195,7 @@ def search_index(index: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     """Rows (segment, row, doc_id, n_words, hits, near, items): merged hit ranges in words, items matched exactly and, with slop, nearby."""
     spark = index.sparkSession
     found, block, size = [], [], 0
-    items = benchmark.select(F.col(item_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).filter(F.col(item_col).isNotNull())
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(int(NO_ID))), F.coalesce(F.col(text_col), F.lit("")))
 
     def send() -> None:
         found.append(index.mapInArrow(_search(spark.sparkContext.broadcast(windows_of(block)), slop), FOUND_SQL))
