@@ -142,19 +142,32 @@ def store(payload: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray) -> Iterator[bytes]:
-    """Long sections with a valid CRC from packets of one PID, whole in their packets."""
+    """Long sections with a valid CRC from packets of one PID, assembled over packets."""
+    held, last = None, -1
     for p in packets:
-        at = 4 + (1 + int(p[4]) if p[3] & 0x20 else 0)
-        raw = p[at:].tobytes()
-        if not p[1] & 0x40 or not raw:
+        if not p[3] & 0x10:
             continue
-        at = 1 + raw[0]
-        while at + 3 <= len(raw) and raw[at] != 0xFF:
-            size = 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0xFFF)
-            section = raw[at : at + size]
-            if len(section) == size >= 12 and crc32_mpeg(section) == 0:
-                yield section
-            at += size
+        raw = p[4 + (1 + int(p[4]) if p[3] & 0x20 else 0) :].tobytes()
+        cc, begins = int(p[3] & 15), bool(p[1] & 0x40)
+        if p[1] & 0x80 or not raw:
+            held = None
+            continue
+        if cc == last and not begins:
+            continue
+        if cc != (last + 1) & 15:
+            held = None
+        last = cc
+        parts = [(held, raw[1 : 1 + raw[0]]), (b"", raw[1 + raw[0] :])] if begins else [(held, raw)]
+        for before, more in parts:
+            held = None if before is None else before + more
+            while held is not None and len(held) >= 3:
+                size = 3 + (struct.unpack_from(">H", held, 1)[0] & 0xFFF)
+                if held[0] == 0xFF or len(held) < size:
+                    held = None if held[0] == 0xFF else held
+                    break
+                section, held = held[:size], held[size:]
+                if size >= 12 and crc32_mpeg(section) == 0:
+                    yield section
 
 
 def read(media: bytes) -> dict:
@@ -165,12 +178,16 @@ def read(media: bytes) -> dict:
     p = p[p[:, 0] == SYNC]
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     programs: dict[int, int] = {}
-    for s in _sections(p[pid == 0][:4]):
+    for s in _sections(p[pid == 0]):
         if s[0] == 0:
             programs |= {a: b & 0x1FFF for a, b in struct.iter_unpack(">HH", s[8:-4]) if a}
+        if programs:
+            break
     program, streams = next(iter(programs), None), []
-    for s in _sections(p[pid == programs.get(program, -1)][:4]):
-        if s[0] == 2 and not streams:
+    for s in _sections(p[pid == programs.get(program, -1)]):
+        if streams:
+            break
+        if s[0] == 2:
             at = 12 + (struct.unpack_from(">H", s, 10)[0] & 0xFFF)
             while at + 5 <= len(s) - 4:
                 kind, es, info = struct.unpack_from(">BHH", s, at)
