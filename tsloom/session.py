@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Only a session on one machine may go without and gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tsloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found.rstrip("/")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a columnar table in the folder that spark.checkpoint.dir names and reads it back; it goes when the driver ends."""
+    """Writes df as a table in the shared folder and reads it back: it cuts lineage and outlives executors.  It goes with drop() or when the driver ends."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tsloom-shared"
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    _delete(table.sparkSession, table.staged_at)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
