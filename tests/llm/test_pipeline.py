@@ -1,9 +1,11 @@
 
 import corpus_pipeline as P
 import pytest
+import test_decontaminate
+import test_simhash_sets
 from pyspark.sql import functions as F
 
-from tsloom.llm import decontaminate, simhash
+from tsloom.llm import simhash
 
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 
@@ -42,7 +44,7 @@ def test_planted_cases(spark, made):
     assert 0 in named and not {1000, 1001, 1002, 1004} & set(named)
     assert sum(i is None for i in ids) == 1  # the two nameless copies of prose(900); the one of prose(0) is in its group
     clean = {r.doc_id for r in docs.filter("doc_id < 240").collect() if r.doc_id % 6 not in (1, 2)}
-    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.filter("doc_id < 240 AND doc_id % 6 NOT IN (1, 2)")).collect()}
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.filter("doc_id < 240 AND doc_id % 6 NOT IN (1, 2)"), shingle=5, similarity=(4, 5)).collect()}
     assert {i for i in named if i < 240} == {i for i in clean if classes[i] == i}
     assert all(r.n_tokens == len(r.ids or []) for r in got)
 
@@ -56,10 +58,12 @@ def test_stages_keep_the_columns(spark, made):
     assert P.tokenize(spark, empty, made).count() == 0
 
 
-def test_each_stage_against_its_operator(spark, sf):
+def test_stages_against_brute_force(spark, sf):
+    """All pairs of shingle sets, and every window of every item in every document."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {r.doc_id for r in P.keep_one_of_each(spark, docs, sf).collect()}
-    assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    clean = {r.doc_id for r in P.drop_contaminated(spark, docs, sf).collect()}
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
-    assert clean == {r.doc_id for r in found if not r.contaminated}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = [r.doc_id for r in P.keep_one_of_each(spark, docs, sf).collect()]
+    assert sorted(kept) == sorted(set(test_simhash_sets.brute(rows).values()))
+    clean = sorted(r.doc_id for r in P.drop_contaminated(spark, docs, sf).collect())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert clean == sorted(r[0] for r in test_decontaminate.brute(rows, items) if not r[-1])

@@ -74,3 +74,49 @@ def test_no_link_is_lost(spark, seed):
     roots = {r.fp: r.root for r in simhash.components(simhash.links(df)).collect()}
     want = classes(signed, fps)
     assert [roots.get(f, f) for f in signed] == want
+
+
+def test_hot_keys_are_dealt_anew(spark, monkeypatch):
+    """50,000 fingerprints that agree in 32 bits, some of them chained, in bounded time."""
+    import time
+
+    rng = np.random.default_rng(9)
+    fps = set(map(int, rng.integers(0, 1 << 32, 50_000)))
+    for f in sorted(fps)[::500]:
+        for _ in range(5):
+            f ^= 1 << int(rng.integers(0, 32))
+            fps.add(f)
+    fps = np.array(sorted(fps), np.uint64) | np.uint64(0xABCD1234 << 32)
+    found = {}
+    for hot in (4096, 100):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(4)
+        began = time.time()
+        found[hot] = {r.fp & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in simhash.components(simhash.links(df)).collect()}
+        assert time.time() - began < 120
+    # Brute force, a fingerprint against all others at a time.
+    parent = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 3)
+        for j in near.tolist():
+            a, b = i, j
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+    want = {}
+    for i in range(len(fps)):
+        r = i
+        while parent[r] != r:
+            r = parent[r]
+        if r != i:
+            want[int(fps[i])] = int(fps[r])
+    assert found[4096] == found[100] == want and len(want) > 400
+
+
+def test_levels_leave_few_free_bits():
+    masks = {0}
+    for level in range(simhash.LEVELS):
+        masks = {n for m in sorted(masks)[:50] for n in simhash.narrower(m)}
+    assert all(64 - m.bit_count() <= 9 for m in masks)

@@ -2,9 +2,10 @@ import random
 import re
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 
-from tsloom.llm import jaccard
+from tsloom.llm import simhash, simhash_sets
 
 
 def shingles(text):
@@ -47,10 +48,23 @@ def copies(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_stage_equal_to_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_stage_equal_to_all_pairs(spark, seed, monkeypatch):
+    if seed == 2:  # keys of many parts
+        monkeypatch.setattr(simhash_sets, "PART", 3)
     rows = copies(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=(4, 5)).collect()} == want
     assert sorted(r.doc_id for r in P.keep_one_of_each(spark, docs, "").collect()) == sorted(set(want.values()))
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 900):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, max(1, n // 5), dtype=np.uint64)]))
+        x, y = simhash_sets.sketches_of(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (n < 60 or apart > 5)
+    assert simhash_sets.sketches_of(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == [[0] * simhash_sets.WORDS] * 2

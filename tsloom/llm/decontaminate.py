@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsloom.llm.shared import staged
 from tsloom.llm.textbytes import ALNUM, LOWER, hashes, ragged, runs, words
+from tsloom.session import staged
 
 WINDOW, SHARE = 13, 20
 BLOCK_WINDOWS = 200_000

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tsloom.llm.shared import staged
+from tsloom.session import staged
+
 
 SHARDS, OVERHEAD, SEED = 40, 16, 11
 CELL_ROWS = 1 << 16

@@ -1,24 +1,34 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints.  Texts are lower-cased (A-Z), cut into words at white space and
-hashed as overlapping 3-word shingles with XXH64 (seed 42), all in numpy over
+hashed as overlapping shingles (3 words, XXH64 with seed 42), all in numpy over
 batches of whole texts.  A bit is set where over half of the hashes set it.
 
-Links.  Two fingerprints link at Hamming distance <= 3.  Equal fingerprints are
-collapsed first (partial aggregation), so copies cost nothing further.  For the
-distinct ones the 64 bits are cut into six blocks; distances to the reference
-fingerprints of a block (its origin and unit vectors) fix the block's bits, and
-two fingerprints at distance <= 3 have equal distance rows in at least three of
-the six blocks.  Each of the 20 triples of blocks is one lookup table keyed by
-about 32 bits; no pair is lost and random fingerprints rarely share a key.
-
-Inside a key the fingerprints are sorted by their distance to the first of
-PIVOTS full-width references; pairs are formed in blocks of one shift at a
-time, stop where that coordinate differs by more than 3, lose those whose
-maximum coordinate difference over the table exceeds 3, and the survivors are
-verified exactly.  Only spanning stars of what is connected leave a task, never
-all pairs.  Components follow by alternating large- and small-star rounds over
-tables in the shared folder.
+Links.  Two fingerprints link at a Hamming distance of RADIUS or less.  Equal
+ones are collapsed first, in two steps, so copies cost nothing further.
+
+Blocks deal out the work: the free bits of a fingerprint, all 64 at first, are
+cut into six runs; two fingerprints at distance 3 or less agree in at least
+three of the six, so they meet under one of 20 keys of about half the bits.  A
+key that more than HOT fingerprints share isn't taken by one task: its rows come
+back with the key's bits as fixed ones and are dealt anew by the rest, at most
+LEVELS times; by then so few bits are free that distinct fingerprints run out.
+
+Pivot tables find the links inside a key: the distances of each fingerprint to
+the PIVOTS reference fingerprints are computed once a batch, rows are sorted by
+the first of them and only neighbours within RADIUS there are paired, a shift at
+a time; pairs whose largest coordinate difference exceeds RADIUS are discarded,
+the survivors verified exactly.  Spanning stars of what is connected leave a
+task, never all pairs.  (Pivots alone can't deal out rows: a random pair agrees
+within 3 in a coordinate in 47 of 100 cases, so a key of coordinates would need
+dozens of them, each with its neighbouring values as copies.)
+
+Components follow by alternating large- and small-star rounds over tables in
+the shared folder.
+
+near_duplicates(.., shingle=5, similarity=(4, 5)) links by the exact similarity
+of shingle sets instead (simhash_sets): there, too, pivot tables over
+fingerprints discard the pairs, with a bound that holds for certain.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; null ids are kept, a component's id is its smallest non-null id, or null;
@@ -29,6 +39,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -36,71 +47,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsloom.llm.shared import staged
-from tsloom.llm.textbytes import LOWER, SOLID, runs, words
+from tsloom.llm.textbytes import LOWER, SOLID, runs, words, xxh64
+from tsloom.session import drop, staged
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-WIDTHS = (11, 11, 11, 11, 10, 10)
 PIVOTS = np.random.default_rng(20).integers(0, 1 << 63, size=32, dtype=np.uint64) * np.uint64(2) ^ np.random.default_rng(21).integers(0, 1 << 63, size=32, dtype=np.uint64)
 #: Pairs held at once inside a key.
 HELD = 1 << 18
-
-#: The primes of XXH64.
-P1, P2, P3, P4, P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
-
-
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-
-def _round(acc, lane: np.ndarray) -> np.ndarray:
-    return _rotl(acc + lane * P2, 31) * P1
-
-
-def _xxh64_of(length: int, at, u64, u32, u8, seed: int) -> np.ndarray:
-    """XXH64 of the spans of one length that begin at `at`."""
-    s, done = np.uint64(seed), 0
-    with np.errstate(over="ignore"):
-        if length >= 32:
-            zero = np.zeros(len(at), np.uint64)
-            acc = [zero + (s + P1 + P2), zero + (s + P2), zero + s, zero + (s - P1)]
-            while done + 32 <= length:
-                acc = [_round(a, u64[at + (done + 8 * i)]) for i, a in enumerate(acc)]
-                done += 32
-            h = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
-            for a in acc:
-                h = (h ^ _round(np.uint64(0), a)) * P1 + P4
-        else:
-            h = np.full(len(at), s + P5)
-        h = h + np.uint64(length)
-        while done + 8 <= length:
-            h = _rotl(h ^ _round(np.uint64(0), u64[at + done]), 27) * P1 + P4
-            done += 8
-        if done + 4 <= length:
-            h = _rotl(h ^ (u32[at + done].astype(np.uint64) * P1), 23) * P2 + P3
-            done += 4
-        while done < length:
-            h = _rotl(h ^ (u8[at + done].astype(np.uint64) * P5), 11) * P1
-            done += 1
-        h = (h ^ (h >> np.uint64(33))) * P2
-        h = (h ^ (h >> np.uint64(29))) * P3
-        return h ^ (h >> np.uint64(32))
-
-
-def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    n = len(padded)
-    u64 = np.ndarray((n - 7,), "<u8", padded, strides=(1,))
-    u32 = np.ndarray((n - 3,), "<u4", padded, strides=(1,))
-    lens = ends - starts
-    order = np.argsort(lens, kind="stable")
-    out = np.empty(len(starts), np.uint64)
-    cuts = np.flatnonzero(np.diff(lens[order], prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        which = order[a:b]
-        out[which] = _xxh64_of(int(lens[which[0]]), starts[which], u64, u32, padded, seed)
-    return out
-
+#: Fingerprints of a key that one task pairs up; keys of more are dealt anew.
+HOT, LEVELS = 4096, 3
+#: Partial results of a fingerprint that its first step of collapsing spreads over.
+SALTS = 16
 
 #: Byte j of SPREAD[b] is bit j of b.
 SPREAD = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
@@ -122,12 +79,12 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> t
     first = np.cumsum(counts) - counts
     at = np.arange(int(counts.sum())) + np.repeat(rows[:-1] - first, counts)
     last = at + np.repeat(np.minimum(n, size) - 1, counts)
-    return xxh64(text, starts[at], ends[last]), counts
+    return xxh64(text, starts[at], ends[last], SEED), counts
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """One fingerprint for each row."""
-    h, counts = shingles_of(data, offsets)
+    h, counts = shingles_of(data, offsets, size)
     first = np.cumsum(counts) - counts
     # Counts of set bits, a byte each, over runs of at most 255 shingles.
     pieces = -(-counts // 255)
@@ -145,24 +102,37 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in runs(batch):
-            yield pa.record_batch([part.column(0), pa.array(fingerprints_of(data, offsets).view(np.int64))], names=["doc_id", "fp"])
+def _fingerprint(size: int):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in runs(batch):
+                yield pa.record_batch([part.column(0), pa.array(fingerprints_of(data, offsets, size).view(np.int64))], names=["doc_id", "fp"])
+
+    return prints
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp), one for each document."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+@cache
+def narrower(mask: int) -> tuple[int, ...]:
+    """The masks that fix half of the free bits, too: three of six runs of them each."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // 6 for k in range(7)]
+    blocks = [sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    return tuple(dict.fromkeys(mask | a | b | c for a, b, c in combinations(blocks, 3)))
 
 
-def _masks() -> list[int]:
-    blocks, low = [], 0
-    for w in WIDTHS:
-        blocks.append(((1 << w) - 1) << low)
-        low += w
-    masks = [a | b | c for a, b, c in combinations(blocks, 3)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, fp) under each narrower mask, with a hash of the bits it fixes as key."""
+    for batch in batches:
+        masks, fps = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        for mask in np.unique(masks).tolist():
+            own = fps[masks == mask]
+            for new in narrower(mask):
+                # A clash of keys adds candidates only, each is verified.
+                salt = np.uint64(new * 0x9E3779B97F4A7C15 >> 7 & (1 << 64) - 1)
+                with np.errstate(over="ignore"):
+                    key = ((own & np.uint64(new)) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+                    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                yield pa.record_batch([pa.array((key ^ (key >> np.uint64(29))).view(np.int64)), pa.array(np.full(len(own), new, np.uint64).view(np.int64)), pa.array(own.view(np.int64))], names=["key", "mask", "fp"])
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -190,7 +160,7 @@ def linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return fp, fp
     group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :1]).astype(np.int16)
-    order = np.lexsort((table[:, 0], group))
+    order = np.lexsort((table[:, 0], group))  # by the first pivot's distance
     group, fp = group[order], fp[order]
     table = np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS]).astype(np.int16)
     live, shift = np.arange(len(fp)), 1
@@ -202,8 +172,6 @@ def linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         live = live[near]  # sorted: a row whose neighbour is too far has none beyond it
         x, y = live, live + shift
         for coordinate in table[1:]:
-            if len(x) < 64:
-                break
             ok = np.abs(coordinate[x] - coordinate[y]) <= RADIUS
             x, y = x[ok], y[ok]
         ok = np.bitwise_count(fp[x] ^ fp[y]) <= RADIUS
@@ -221,23 +189,47 @@ def linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[inner], fp[root[inner]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Works on sorted (key, fp) rows; what may continue in the next batch is held back."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def done(k, f):
-        for a in _chunks(k):
-            u, v = linked(k[a], f[a])
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(keys) and (cut := int(np.searchsorted(keys, keys[-1]))):
-            yield from done(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
-    if len(keys):
-        yield from done(keys, fps)
+def _links(last: bool):
+    """Rows (key, mask, fp) sorted by key to star links (u, v), and rows (mask, fp) of keys with too many rows for a task, unless it is the last level."""
+
+    def pack(**columns: np.ndarray) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.record_batch([pa.array(columns[c].view(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in ("u", "v", "mask", "fp")], names=["u", "v", "mask", "fp"])
+
+    def done(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not last:
+            begins = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            sizes = np.diff([*begins, len(key)])
+            hot = np.repeat(sizes > HOT, sizes)
+            if hot.any():
+                yield pack(mask=mask[hot], fp=fp[hot])
+                key, fp = key[~hot], fp[~hot]
+        for a in _chunks(key):
+            u, v = linked(key[a], fp[a])
+            yield pack(u=u, v=v)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passed = [np.zeros(0, np.int64)] * 3, None  # rows of the last key, or the key whose rows are passed on
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            if passed is not None:
+                n = int(np.searchsorted(held[0], passed, "right"))
+                yield pack(mask=held[1][:n], fp=held[2][:n])
+                held = [h[n:] for h in held]
+            if not len(held[0]):
+                continue
+            passed, cut = None, int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from done(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+            if len(held[0]) > HOT and not last:
+                passed = held[0][0]
+                yield pack(mask=held[1], fp=held[2])
+                held = [h[:0] for h in held]
+        if len(held[0]):
+            yield from done(*held)
+
+    return links
 
 
 def _chunks(key: np.ndarray, size: int = 1 << 17) -> Iterator[slice]:
@@ -251,11 +243,25 @@ def _chunks(key: np.ndarray, size: int = 1 << 17) -> Iterator[slice]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Star links (u, v) among distinct fingerprints (column fp)."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(_masks())])
-    keyed = distinct.select("fp", F.explode(tables).alias("k")).select(F.xxhash64("k.t", "k.part").alias("key"), "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A key is a 64-bit hash of (table, distances): a clash adds candidates only, each is verified.
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    todo, found = distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), []
+    for level in range(1, LEVELS + 1):
+        keyed = todo.mapInArrow(_keyed, "key long, mask long, fp long").repartition(n, "key").sortWithinPartitions("key")
+        rows = staged(keyed.mapInArrow(_links(level == LEVELS), "u long, v long, mask long, fp long"), "pairs")
+        found.append(rows.filter("u IS NOT NULL").select("u", "v"))
+        todo = rows.filter("u IS NULL").select("mask", "fp")
+        if level == LEVELS or todo.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def collapsed(rows: DataFrame, key: str, *values) -> DataFrame:
+    """One row for each key with aggregates `values` (name, function): the parts of a hot key are gathered by several tasks first."""
+    parts = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy(key, "salt").agg(*[f(n).alias(n) for n, f in values])
+    return parts.groupBy(key).agg(*[f(n).alias(n) for n, f in values])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,22 +275,33 @@ def components(edges: DataFrame) -> DataFrame:
         large = oriented(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m", "u")
-        now = staged(oriented(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))), "links")
+        before, now = now, staged(oriented(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))), "links")
+        drop(before)
         new = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
         if new == sign:
             return now.select(F.col("u").alias("fp"), F.col("v").alias("root"))
         sign = new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, root, component_id), one for each document."""
-    prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    return grouped(prints, components(links(prints.select("fp").distinct())))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """Rows (doc_id, fp, root, component_id), one for each document.
+
+    With a similarity, a fraction (n, m), texts link where their sets of
+    shingles share n / m of their union or more, and fp is a hash of the set.
+    """
+    if similarity is not None:
+        from tsloom.llm import simhash_sets
+
+        return simhash_sets.near_duplicates(docs, id_col, text_col, shingle, similarity)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = staged(texts.mapInArrow(_fingerprint(shingle), "doc_id long, fp long"), "fingerprints")
+    distinct = staged(collapsed(prints, "fp", ("doc_id", F.min)), "distinct")
+    return grouped(prints, distinct, components(links(distinct.select("fp"))))
 
 
-def grouped(prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp, root, component_id) for the rows (doc_id, fp) and the components of their fingerprints."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+def grouped(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp, root, component_id) for the rows (doc_id, fp), each fingerprint's smallest id and the components of fingerprints."""
+    distinct = distinct.withColumnRenamed("doc_id", "low")
     members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     # Tables of their own on the small side: Spark can then split a hot root or fingerprint on the large one.
     ids = staged(members.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")

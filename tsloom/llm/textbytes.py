@@ -96,3 +96,60 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(counts) - counts
     return np.arange(int(counts.sum())) + np.repeat(starts - first, counts)
+
+
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _round(acc, lane: np.ndarray) -> np.ndarray:
+    return _rotl(acc + lane * P2, 31) * P1
+
+
+def _xxh64_of(length: int, at, u64, u32, u8, seed: int) -> np.ndarray:
+    """XXH64 of the spans of one length that begin at `at`."""
+    s, done = np.uint64(seed), 0
+    with np.errstate(over="ignore"):
+        if length >= 32:
+            zero = np.zeros(len(at), np.uint64)
+            acc = [zero + (s + P1 + P2), zero + (s + P2), zero + s, zero + (s - P1)]
+            while done + 32 <= length:
+                acc = [_round(a, u64[at + (done + 8 * i)]) for i, a in enumerate(acc)]
+                done += 32
+            h = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
+            for a in acc:
+                h = (h ^ _round(np.uint64(0), a)) * P1 + P4
+        else:
+            h = np.full(len(at), s + P5)
+        h = h + np.uint64(length)
+        while done + 8 <= length:
+            h = _rotl(h ^ _round(np.uint64(0), u64[at + done]), 27) * P1 + P4
+            done += 8
+        if done + 4 <= length:
+            h = _rotl(h ^ (u32[at + done].astype(np.uint64) * P1), 23) * P2 + P3
+            done += 4
+        while done < length:
+            h = _rotl(h ^ (u8[at + done].astype(np.uint64) * P5), 11) * P1
+            done += 1
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        return h ^ (h >> np.uint64(32))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    n = len(padded)
+    u64 = np.ndarray((n - 7,), "<u8", padded, strides=(1,))
+    u32 = np.ndarray((n - 3,), "<u4", padded, strides=(1,))
+    lens = ends - starts
+    order = np.argsort(lens, kind="stable")
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.flatnonzero(np.diff(lens[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        which = order[a:b]
+        out[which] = _xxh64_of(int(lens[which[0]]), starts[which], u64, u32, padded, seed)
+    return out
