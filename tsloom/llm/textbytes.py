@@ -141,6 +141,9 @@ def _xxh64_of(length: int, at, u64, u32, u8, seed: int) -> np.ndarray:
 
 
 def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of the spans, in numpy: those of one length together."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     n = len(padded)
     u64 = np.ndarray((n - 7,), "<u8", padded, strides=(1,))
