@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from tsloom.llm import sharding as S
@@ -14,7 +16,41 @@ def test_law_and_content(spark, sf):
     sizes = [len(by.get(s, [])) for s in range(40)]
     assert max(sizes) - min(sizes) <= 1
     texts = {d.doc_id: d.text for d in docs}
-    assert all(r.size == len((texts[r.doc_id] or "").encode()) + 16 for r in rows)
+    assert all((r.size, r.text_crc32) == (len((texts[r.doc_id] or "").encode()) + 16, zlib.crc32((texts[r.doc_id] or "").encode())) for r in rows)
+    kinds = {f.name: f.dataType.simpleString() for f in S.query(spark, sf).schema}
+    assert kinds == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Null, empty, repeated and very long texts; where each row goes is drawn anew in plain Python from the staged places."""
+    rows = [(i, "t" * i) for i in range(70)] + [(1000, None), (1001, ""), (1001, ""), (None, "x"), (1002, "é" * 300_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.query(spark, str(tmp_path)).collect()
+    want = sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=str) == want
+    places = sorted((r.shard, r.slot) for r in got)
+    sizes = [75 // 40 + (s < 75 % 40) for s in range(40)]
+    assert places == [(s, k) for s in range(40) for k in range(sizes[s])]
+
+
+def test_every_permutation_is_as_likely(spark):
+    """Four rows of two partitions into two shards: each of the 24 orders comes about as often."""
+    df = spark.createDataFrame([(i,) for i in range(4)], "x int").repartition(2).persist()
+    df.count()
+    part = [(r.p, r.x) for r in df.selectExpr("spark_partition_id() AS p", "x").collect()]
+    sizes = {p: sum(q == p for q, _ in part) for p, _ in part}
+    bounds = np.cumsum([0, *[sizes[p] for p in sorted(sizes)]])
+    seen = {}
+    for seed in range(4800):
+        places = S.cells_of(4, 2, 1)[2]
+        order = []
+        for k, n in enumerate(np.diff(bounds)):
+            cells = np.repeat(np.arange(len(places)), S.matrix_row(k, bounds, places, seed))
+            dealt = np.empty(n, int)
+            dealt[np.random.default_rng([seed, k, 1, 1]).permutation(n)] = cells
+            order += dealt.tolist()
+        seen[tuple(order)] = seen.get(tuple(order), 0) + 1
+    assert len(seen) == 24 and max(abs(v - 200) for v in seen.values()) < 75
 
 
 def test_edge_cases(spark):

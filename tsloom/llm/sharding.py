@@ -18,9 +18,11 @@ most CELL_ROWS rows with exact sizes.
 
 What the driver sees is a count for each partition.
 
-Defined results: null texts count as empty; repeated rows are placed one by one;
-an empty table gives no rows; fewer rows than shards leaves shards empty; further
-columns travel with their row inside a struct, so their names can't clash.
+Defined results: null texts count as empty, very long ones as any other (only
+digests travel in the query); ties and repeated rows are placed one by one, each
+at random; null ids are kept; an empty table gives no rows; fewer rows than
+shards leaves shards empty; further columns travel with their row inside a
+struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows:
     placed = rows.withColumn("cell", cell("part", "seq")).withColumn("place", F.row_number().over(order) - 1)
     cells = pd.DataFrame({"cell": np.arange(len(shard), dtype=np.int32), "shard": shard.astype(np.int32), "first": first.astype(np.int64)})
     # One row for each CELL_ROWS rows: it is left to Spark whether that is small enough to broadcast.
-    return placed.join(spark.createDataFrame(cells), "cell").select("row", "shard", (F.col("first") + F.col("place")).alias("slot"))
+    return placed.join(spark.createDataFrame(cells, "cell int, shard int, first long"), "cell").select("row", "shard", (F.col("first") + F.col("place")).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
