@@ -1,4 +1,5 @@
 import html as stdlib
+import random
 import re
 from html.parser import HTMLParser
 
@@ -23,7 +24,14 @@ CASES = {
     "<table><tr><td><p>a</p><p>b</p></td><td>c</td></tr></table>": "a  c\n\nb",
     "<head><title>t</title></head><body>x<script>var a='</p>';</script><style>p{}</style>y": "xy",
     "a<!-- b --> c<!-- unclosed": "a c",
-    "<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p>yes": "yes",
+    "<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>shown</p><p>yes": "shown\n\nyes",
+    "<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div><i style='backface-visibility:hidden'>d</i>": "b\nd",
+    "<details><summary>s</summary>body</details><details open><summary>t</summary>more</details>": "s\nt\nmore",
+    "<select><option>one<option selected>two</select><svg><title>no</title><text>svg</text></svg> <math><mi>x</mi></math>": "one\ntwo\nsvg x",
+    "<table><tr><td>a<caption>C</caption><tr><td>b</table>": "C\n\na\nb",
+    "<table><tr><td>日本<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>": "日本  x\nabcd  y\ne\u0301     z",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>": "a  b\n   c\n   d\ne  f",
+    "<ol reversed><li>a<li>b<li>c</ol><ol start=-1><li>m<li>n</ol>": "3. a\n2. b\n1. c\n\n-1. m\n0. n",
     "<pre>\n a\n  b</pre>c": " a\n  b\n\nc",
     "&lt;b&gt; &amp;&nbsp;&eacute; &#65; &copy;": "<b> &\xa0é A ©",
     "<img alt='pic'><input type=submit value=Go><input type=hidden value=x>": "picGo",
@@ -82,3 +90,53 @@ def test_edge_cases(spark):
     assert by[1] == by[2] == "" and by[3] == "deep" and by[4].split() == ["word"] * 200000 and by[5] == "<" * 5000 and by[6].strip() == "z"
     assert H.extract_texts(df.limit(0)).count() == 0
     assert stdlib.unescape("&amp;") == "&"
+
+
+def made(rng, depth=0, inside=""):
+    """A random block: (html, rows), where a row is a line or None for an empty line wanted."""
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6)))
+    kinds = ["p", "div", "h2", "text"] + (["ul", "ol", "quote", "table", "none"] if depth < 3 else [])
+    kind = rng.choice(kinds)
+    words = [word() for _ in range(rng.randint(1, 5))]
+    if kind in ("p", "h2", "div", "text"):
+        body = rng.choice([" ", "  ", "\n"]).join(f"<b>{w}</b>" if rng.random() < 0.2 else w for w in words)
+        tag = "div" if kind == "text" else kind
+        gap = [None] if kind in ("p", "h2") else []
+        return f"<{tag}>{body}</{tag}>", [*gap, " ".join(words), *gap]
+    if kind == "none":
+        return f"<div style='color:red; display : none'>{words[0]}</div>", []
+    if kind == "quote":
+        page, rows = blocks(rng, depth + 1)
+        return f"<blockquote>{page}</blockquote>", [None, *(r and "  " + r for r in rows), None]
+    if kind == "table":
+        cells = [[" ".join(word() for _ in range(rng.randint(1, 2))) for _ in range(3)] for _ in range(rng.randint(1, 4))]
+        widths = [max(len(r[k]) for r in cells) for k in range(3)]
+        page = "".join("<tr>" + "".join(f"<td>{c}" + rng.choice(["", "</td>"]) for c in r) + rng.choice(["", "</tr>"]) for r in cells)
+        return f"<table>{page}</table>", [None, *("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells), None]
+    page, rows, number = "", [], rng.choice([1, 1, 9])
+    for k in range(rng.randint(1, 4)):
+        mark = f"{number + k}. " if kind == "ol" else "* "
+        first = word()
+        inner, more = made(rng, 3) if rng.random() < 0.3 else ("", [])
+        page += f"<li>{first}{inner}" + rng.choice(["", "</li>"])
+        rows += [mark + first, *(r and " " * len(mark) + r for r in more)]
+    start = f" start={number}" if number > 1 else ""
+    return f"<{kind}{start}>{page}</{kind}>", [None, *rows, None]
+
+
+def blocks(rng, depth=0):
+    parts = [made(rng, depth) for _ in range(rng.randint(1, 4))]
+    return rng.choice(["", " ", "\n"]).join(p for p, _ in parts), [r for _, rows in parts for r in rows]
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_layout_of_random_pages(seed):
+    """Against rows made along with the page."""
+    page, rows = blocks(random.Random(seed))
+    lines = []
+    for r in rows:
+        if r is not None:
+            lines.append(r)
+        elif lines and lines[-1] != "":
+            lines.append("")
+    assert H.extract(page) == "\n".join(lines).strip("\n"), page

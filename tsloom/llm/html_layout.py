@@ -3,23 +3,27 @@
 A tokenizer cuts the page into tags and text; a tree builder adds what HTML
 implies (paragraphs and list items that a following block ends, table rows and
 sections, void elements, unmatched end tags); visibility rules drop what a
-browser doesn't show (head matter, scripts, templates, hidden attributes and
-inline styles); the renderer writes all visible text with block spacing, list
-markers and numbers, preformatted text as it stands, and tables whose cells are
-padded to columns.  Spans of rows and columns keep the columns in place.
+browser doesn't show (head matter, scripts, templates, hidden attributes, the
+body of closed details, and by inline style what is not displayed, or not
+visible unless something inside is again); the renderer writes all visible text
+with block spacing, list markers and numbers, preformatted text as it stands,
+and tables whose cells are padded to columns by the width they are shown with.
+Spans of rows and columns keep the columns in place.
 
-The tree is walked with stacks of its own, so deep nesting is no matter.
+The tree is walked with stacks of its own, so deep nesting is no matter.  A page
+is worked on whole, by itself: memory goes with the largest page.
 
 Defined results: null and empty pages give empty text; broken markup is read as
 far as it goes, to its end; an unclosed comment, tag or script runs to the end
-of the page; repeated rows are repeated; an empty table gives no rows; a
-clashing column of the result's name is replaced.
+of the page; null ids and repeated rows stay as they are; an empty table gives
+no rows; a clashing column of the result's name is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,11 +39,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select area param source track meta link base dialog".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist area param source track meta link base dialog desc metadata defs symbol annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr caption optgroup option search".split())
 #: Blocks with an empty line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
@@ -48,7 +50,7 @@ CLOSE_P = BLOCKS - {"body", "html", "tr", "caption", "optgroup", "option", "lege
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "caption": ({"caption"}, {"table"}), "body": ({"head"}, {"html"}),
+    "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "caption": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "body": ({"head"}, {"html"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "a": ({"a"}, {"table", "td", "li"}), "button": ({"button"}, {"form"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -149,11 +151,23 @@ def parse(page: str) -> Node:
     return root
 
 
+def _style(node: Node) -> dict[str, str]:
+    """Inline declarations; of repeated ones the last."""
+    pairs = (d.partition(":") for d in node.attrs.get("style", "").split(";"))
+    return {name.strip().lower(): value.replace("!important", "").strip().lower() for name, _, value in pairs}
+
+
 def hidden(node: Node) -> bool:
+    """Whether a browser leaves out the element and all that it holds."""
     if node.name in UNSEEN and not (node.name == "dialog" and "open" in node.attrs):
         return True
     a = node.attrs
-    return bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.name == "input" and a.get("type", "").lower() == "hidden") or bool(_HIDDEN_STYLE.search(a.get("style", ""))))
+    return bool(a) and ("hidden" in a or (node.name == "input" and a.get("type", "").lower() == "hidden") or _style(node).get("display") == "none")
+
+
+def visible(node: Node, inherited: bool) -> bool:
+    said = _style(node).get("visibility") if "style" in node.attrs else None
+    return said not in ("hidden", "collapse") if said in ("hidden", "collapse", "visible") else inherited
 
 
 class _Page:
@@ -211,28 +225,41 @@ class _Page:
         return "\n".join(lines)
 
 
-def _number(value: str, default: int, most: int = 1000) -> int:
-    try:
-        return max(0, min(most, int(value)))
-    except ValueError:
-        return default
+def _number(value: str, default: int) -> int:
+    """An integer as HTML reads it: blanks and a sign in front, anything behind."""
+    found = re.match(r"[ \t\n\f\r]*([+-]?[0-9]+)", value)
+    return int(found[1]) if found else default
+
 
+def _spans(cell: Node, rows_left: int) -> tuple[int, int]:
+    """Columns and rows that a cell takes, within the bounds that HTML sets: 1 to 1000 columns; 0 rows are all that are left of the section."""
+    columns, rows = _number(cell.attrs.get("colspan", ""), 1), _number(cell.attrs.get("rowspan", ""), 1)
+    rows = rows if rows >= 0 else 1
+    return min(columns, 1000) if columns > 0 else 1, min(rows or rows_left, rows_left)
 
-def _table(node: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions, and rows of cells, header rows first and footer rows last."""
+
+def _table(node: Node) -> tuple[list[Node], list[list[tuple[Node, int, int]]]]:
+    """Captions, and rows of cells (cell, columns, rows), header rows first and footer rows last."""
     captions, parts = [], {"thead": [], "tbody": [], "tfoot": []}
-    todo = [(c, "tbody") for c in node.children if isinstance(c, Node)]
-    for child, part in todo:
-        if hidden(child):
+    loose: list[Node] = []
+
+    def add(part: str, rows: list[Node]) -> None:
+        for k, row in enumerate(rows):
+            parts[part].append([(c, *_spans(c, len(rows) - k)) for c in row.children if isinstance(c, Node) and c.name in ("td", "th") and not hidden(c)])
+
+    for child in node.children:
+        if not isinstance(child, Node) or hidden(child):
             continue
-        if child.name == "caption":
+        if child.name == "tr":
+            loose.append(child)
+            continue
+        if child.name in parts:
+            add("tbody", loose)
+            loose = []
+            add(child.name, [r for r in child.children if isinstance(r, Node) and r.name == "tr" and not hidden(r)])
+        elif child.name == "caption":
             captions.append(child)
-        elif child.name in parts:
-            for row in child.children:
-                if isinstance(row, Node) and row.name == "tr" and not hidden(row):
-                    parts[child.name].append([c for c in row.children if isinstance(c, Node) and c.name in ("td", "th") and not hidden(c)])
-        elif child.name == "tr":
-            parts[part].append([c for c in child.children if isinstance(c, Node) and c.name in ("td", "th") and not hidden(c)])
+    add("tbody", loose)
     return captions, parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
@@ -250,6 +277,13 @@ def _stray(node: Node) -> list:
     return out
 
 
+def _width(line: str) -> int:
+    """Columns that a terminal or fixed font shows the line with."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Cf", "Me", "Mn") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
 def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Aligned lines of a table's cells (lines, colspan, rowspan)."""
     grid: list[dict[int, list[str]]] = []
@@ -263,7 +297,7 @@ def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 col += 1
             row[col] = lines
             if colspan > 1:
-                wide.append((col, colspan, max(map(len, lines), default=0)))
+                wide.append((col, colspan, max(map(_width, lines), default=0)))
             for c in range(col, col + colspan):
                 if rowspan > 1:
                     spans[c] = rowspan - 1
@@ -273,7 +307,7 @@ def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     widths: dict[int, int] = {}
     for row in grid:
         for c, lines in row.items():
-            w = max(map(len, lines), default=0)
+            w = max(map(_width, lines), default=0)
             if (c, w) not in spanning:
                 widths[c] = max(widths.get(c, 0), w)
     columns = sorted(set(widths) | {c for row in grid for c in row})
@@ -288,7 +322,8 @@ def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             for c, lines in sorted(row.items()):
                 cell = lines[k] if k < len(lines) else ""
                 if cell:
-                    line = line.ljust(offset[c]) if len(line) <= offset[c] else line + "  "
+                    now = _width(line)
+                    line += " " * (offset[c] - now) if now <= offset[c] else "  "
                     line += cell
             out.append(line)
     return out
@@ -298,13 +333,14 @@ def render(root: Node) -> str:
     """All visible text of the tree.  A stack holds what is still to be written; tables wait for their cells."""
     page = _Page()
     pages = [page]
-    todo: list[tuple] = [("node", root, False)]
+    todo: list[tuple] = [("node", root, False, True)]
     ordered: list[list] = []
     while todo:
         kind, *rest = todo.pop()
         page = pages[-1]
         if kind == "text":
-            (page.exact if rest[1] else page.text)(rest[0])
+            if rest[2]:
+                (page.exact if rest[1] else page.text)(rest[0])
         elif kind == "line":
             page.end()
         elif kind == "space":
@@ -327,9 +363,10 @@ def render(root: Node) -> str:
                 page.end(True)
             page.space()
         else:
-            node, exact = rest
+            node, exact, seen = rest
             if hidden(node):
                 continue
+            seen = visible(node, seen)
             name, after = node.name, []
             if name == "br":
                 page.end(True)
@@ -338,11 +375,11 @@ def render(root: Node) -> str:
                 page.space()
                 continue
             if name == "img":
-                if alt := node.attrs.get("alt"):
+                if seen and (alt := node.attrs.get("alt")):
                     page.text(alt)
                 continue
             if name == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
+                if seen and node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
                     page.text(node.attrs["value"])
                 continue
             if name == "wbr":
@@ -351,30 +388,31 @@ def render(root: Node) -> str:
                 captions, rows = _table(node)
                 page.space()
                 table: list[list] = []
-                steps: list[tuple] = [("node", c, False) for c in captions] + [("text", c, False) if isinstance(c, str) else ("node", c, False) for c in _stray(node)]
+                steps: list[tuple] = [("node", c, False, seen) for c in captions] + [("text" if isinstance(c, str) else "node", c, False, seen) for c in _stray(node)]
                 for row in rows:
                     table.append([])
-                    for cell in row:
-                        inner = Node("div")
+                    for cell, columns, taken in row:
+                        inner = Node("div", {k: v for k, v in cell.attrs.items() if k == "style"})
                         inner.children = cell.children
-                        steps += [("newcell",), ("node", inner, False), ("cell", table[-1], max(1, _number(cell.attrs.get("colspan", ""), 1)), max(1, _number(cell.attrs.get("rowspan", ""), 1)))]
+                        steps += [("newcell",), ("node", inner, False, seen), ("cell", table[-1], columns, taken)]
                 todo += reversed([*steps, ("grid", table)])
                 continue
             if name in ("ul", "ol", "menu"):
                 (page.end if ordered else page.space)()
-                start = _number(node.attrs.get("start", ""), 1, 10**9)
-                ordered.append([name == "ol", start])
+                down = name == "ol" and "reversed" in node.attrs
+                items = sum(isinstance(c, Node) and c.name == "li" and not hidden(c) for c in node.children)
+                ordered.append([name == "ol", _number(node.attrs.get("start", ""), items if down else 1), -1 if down else 1])
                 after = [("endlist",), ("line",) if len(ordered) > 1 else ("space",)]
             elif name == "li":
                 page.end()
                 if ordered and ordered[-1][0]:
-                    value = _number(node.attrs.get("value", ""), ordered[-1][1], 10**9)
-                    ordered[-1][1] = value + 1
+                    value = _number(node.attrs.get("value", ""), ordered[-1][1])
+                    ordered[-1][1] = value + ordered[-1][2]
                     mark = f"{value}. "
                 else:
                     mark = "* "
                 page.indent.append(" " * len(mark))
-                page.lead = mark
+                page.lead = mark if seen else ""
                 after = [("outdent",)]
             elif name in ("dd", "blockquote"):
                 (page.space if name in SPACED else page.end)()
@@ -389,16 +427,18 @@ def render(root: Node) -> str:
                 if not (page.lead and not page.now):
                     page.end()
                 after = [("line",)]
-            elif name == "q":
+            elif name == "q" and seen:
                 page.text("")
-                todo.append(("text", "”", True))
+                todo.append(("text", "”", True, True))
                 page.now.append(" “" if page.blank and page.now else "“")
                 page.blank = False
             inner = exact or name in ("pre", "textarea", "xmp", "plaintext")
             children = node.children
+            if name == "details" and "open" not in node.attrs:
+                children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
             if name in ("pre", "textarea") and children and isinstance(children[0], str):
                 children = [re.sub(r"^\r?\n", "", children[0]), *children[1:]]
-            todo += reversed([*(("text", c, inner) if isinstance(c, str) else ("node", c, inner) for c in children), *after])
+            todo += reversed([*(("text" if isinstance(c, str) else "node", c, inner, seen) for c in children), *after])
     return pages[0].done()
 
 
