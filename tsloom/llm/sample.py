@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Texts of the sample are at most so long; longer ones are scored but not learned from.
-SAMPLE_BYTES = 1 << 15
+#: Bytes of text that a sample holds at most: rows are taken whole, in their order, until the next would not fit.
+SAMPLE_BYTES = 1 << 26
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
@@ -15,8 +16,10 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bounds: tuple[int, int]) -> tuple[list, tuple[int, int]]:
-    """Rows (text, lang, y) in a fixed order, at most bounds[y] of each class, and the class counts over all learnable labels.
+    """Rows (text, lang, y) in a fixed order, at most bounds[y] of each class and SAMPLE_BYTES in all, and the class counts over all learnable labels.
 
+    Rows go by the hash of their id, then id, text and label, so equal ones tie
+    without effect.
     Labels of held-out ids, null labels and null ids are never read into it; of
     repeated ids each row may come, the bound still holds.
     """
@@ -26,6 +29,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
     some = [learn.filter(F.col("y") == y).orderBy(*order).limit(bounds[y]) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most sum(bounds) ids
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(chosen, "doc_id").orderBy(*order, "text", "y").limit(sum(bounds)).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    some = texts.join(chosen, "doc_id").orderBy(*order, "text", "y").limit(sum(bounds))
+    # One window over the bounded sample.
+    so_far = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(*order, "text", "y").rowsBetween(W.unboundedPreceding, 0))
+    rows = some.withColumn("bytes so far", so_far).filter(F.col("bytes so far") <= SAMPLE_BYTES).orderBy("bytes so far", *order, "text", "y").collect()
     return [(r["text"], r["lang"], r["y"]) for r in rows], (counts.get(0, 0), counts.get(1, 0))
