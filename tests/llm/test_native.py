@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tsloom.llm import chat, url_filters
 
 
@@ -59,3 +61,53 @@ def test_events_fold(spark):
     df = spark.createDataFrame(log, "conv_id long, seq long, turn long, part int, kind string, role string, text string")
     got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(df).collect()), key=str)
     assert got == sorted([(1, 0, "user", "hi"), (1, 1, "assistant", "newer"), (1, 2, "user", "again!"), (3, 0, "user", "kept"), (None, 0, "user", "")], key=str)
+
+
+def replayed(log):
+    """The log one event after the other: {(conversation, turn, part): (role, text)}."""
+    state = {}
+    for conv, _, turn, part, kind, role, text in sorted(log, key=lambda e: (str(e[0]), e[1])):
+        if kind == "regenerate":
+            for key in [k for k in state if k[0] == conv and k[1] > turn]:
+                del state[key]
+        m = state.setdefault((conv, turn, part), {"gone": True, "role": "", "text": ""})
+        if kind == "message":
+            m |= {"gone": False, "role": role or "", "text": text or ""}
+            continue
+        m["role"] = m["role"] or role or ""
+        if kind == "delta":
+            m |= {"gone": False, "text": m["text"] + (text or "")}
+        elif kind == "edit":
+            m["text"] = text or ""
+        elif kind == "regenerate":
+            m |= {"gone": False, "text": ""}
+        else:
+            m |= {"gone": True, "text": ""}
+    return {k: (m["role"], m["text"]) for k, m in state.items() if not m["gone"]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_logs_against_replay(spark, seed):
+    rng, log = random.Random(seed), []
+    for conv in [*range(25), None]:
+        for seq in range(rng.randint(1, 60)):
+            kind = rng.choice(["message", "message", "delta", "delta", "delta", "edit", "regenerate", "delete"])
+            log.append((conv, seq, rng.randint(0, 6), rng.choice([1, 1, 2]), kind, rng.choice([None, "user", "assistant"]), rng.choice([*ODD, None])))
+    rng.shuffle(log)
+    df = spark.createDataFrame(log, "conv_id long, seq long, turn long, part int, kind string, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn, r.part): (r.role, r.text) for r in chat.fold(df).collect()}
+    want = replayed(log)
+    assert got == want and len(want) > 50
+    turns = {r.conv_id: [(t.role, t.text, t.loss) for t in r.turns] for r in chat.parse(chat.format_chats(df)).collect()}
+    for conv in {k[0] for k in want}:
+        assert turns[conv] == [(*want[k], want[k][0] == "assistant") for k in sorted((k for k in want if k[0] == conv), key=lambda k: k[1:])]
+
+
+def test_very_long_texts_and_urls(spark):
+    text = "<|" * 200_000
+    df = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "")], "conv_id long, turn long, role string, text string")
+    r = chat.parse(chat.format_chats(chat.events_of(df))).first()
+    assert [(t.role, t.text) for t in r.turns] == [("assistant", text), ("user", "")]
+    urls = [(1, "http://" + "a." * 500 + "net/" + "x" * 100_000), (2, "http://example.com/de/" + "y" * 100_000)]
+    got = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in url_filters.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), url_filters.rule_table(spark)).collect()}
+    assert got == {1: ("net/", "block", 100_001), 2: ("example.com/de/", "block", 100_004)}

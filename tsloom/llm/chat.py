@@ -23,7 +23,8 @@ and newline.  The loss mask covers the texts of assistant messages.
 Defined results: null text, role or seq count as empty, empty and 0; null
 conv_id is one conversation of its own; events that tie on seq go by kind and
 text; repeated message events at one (turn, part) restart it, repeated deltas
-append twice; an empty log gives no rows; other columns are not read.
+append twice; very long texts are kept whole, a conversation's in one row; an
+empty log gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,7 +91,6 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Rows (conv_id, formatted, loss): the text, and for each message whether the loss mask covers its text."""
-    order = W.partitionBy("conv_id").orderBy("turn", "part")
     line = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
     lines = messages.select("conv_id", "turn", "part", line.alias("line"), (F.col("role") == loss_role).alias("loss"), F.floor((F.coalesce("turn", F.lit(0))) / RUN).alias("run"))
     runs = lines.groupBy("conv_id", "run").agg(F.sort_array(F.collect_list(F.struct("turn", "part", "line", "loss"))).alias("ms"))
