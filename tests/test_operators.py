@@ -10,7 +10,7 @@ from tsloom.functions.wire import decode_packets, pes_header
 from tsloom.operators import fmp4, psi, scte, units
 from tsloom.plans import catalog
 from tsloom.sources import synth as S
-from tsloom.sources.packets import packets_from_raw, read_ts, register
+from tsloom.sources.packets import Realigner, packets_from_raw, read_ts, write_ts
 
 
 def frame(spark, raw):
@@ -18,7 +18,8 @@ def frame(spark, raw):
 
 
 def rows_of(raw):
-    return decode_packets(np.frombuffer(b"".join(raw), np.uint8), np.arange(len(raw)), pa.array(["s"] * len(raw))).to_pylist()
+    data = b"".join(raw)
+    return decode_packets(np.frombuffer(data, np.uint8), np.arange(len(data) // 188), pa.array(["s"] * (len(data) // 188))).to_pylist()
 
 
 def test_sources_agree(spark, tmp_path):
@@ -27,19 +28,45 @@ def test_sources_agree(spark, tmp_path):
     path.write_bytes(b"".join(raw) + b"tail")
     want = [(r["packet_no"], r["pid"], r["cc"], r["pcr"], bytes(r["payload"])) for r in rows_of(raw)]
     key = lambda df: sorted((r.packet_no, r.pid, r.cc, r.pcr, bytes(r.payload)) for r in df.collect())
-    (tmp_path / "whole.ts").write_bytes(b"".join(raw))
-    assert key(read_ts(spark, str(tmp_path / "whole.ts"), "s")) == want
-    register(spark)
+    assert key(read_ts(spark, str(path), "s")) == key(read_ts(spark, f"file://{path}", "s", bytes_per_task=188 * 5)) == want
+    assert {r.stream_id for r in read_ts(spark, str(path)).select("stream_id").distinct().collect()} == {str(path)}
     load = lambda **o: spark.read.format("transport_stream").options(**o).load(str(path))
     assert key(load(bytes_per_task=188 * 7)) == want
     assert {r.payload for r in load(payload="false").select("payload").collect()} == {None}
-    (tmp_path / "broken.ts").write_bytes(b"xx" + b"".join(raw[:30]) + b"?" * 50 + b"".join(raw[30:]))
-    p, losses = read_ts(spark, str(tmp_path / "broken.ts"), "s", realign=True)
-    assert key(p) == want and sorted((r.before_packet_no, r.bytes_discarded) for r in losses.collect()) == [(0, 2), (30, 50)]
+    (tmp_path / "broken.ts").write_bytes(b"xx" + b"".join(raw[:30]) + b"?" * 50 + b"".join(raw[30:]) + b"G")
+    for step in (1 << 20, 188 * 5, 188 * 31):
+        p, losses = read_ts(spark, str(tmp_path / "broken.ts"), "s", realign=True, bytes_per_task=step)
+        assert key(p) == want and sorted((r.before_packet_no, r.bytes_discarded) for r in losses.collect()) == [(0, 2), (30, 50)]
+    chunks = spark.createDataFrame([("s", 0, bytearray(b"".join(raw)))], "stream_id string, packet_no long, raw binary")
+    write_ts(chunks.select("stream_id", "packet_no", "raw"), str(tmp_path / "out"), b"tail")
+    assert (tmp_path / "out" / "s.ts").read_bytes() == b"".join(raw) + b"tail"
     bad = [raw[0], b"\0" + raw[1][1:], raw[2][:3] + b"\x20\xff" + raw[2][5:]]
     assert [r["packet_no"] for r in rows_of(bad)] == [0]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_realigned_ranges_against_one_pass(spark, tmp_path, seed):
+    """Junk with false sync bytes, cut packets and long gaps: ranges of any size give what one pass over the bytes gives."""
+    rng, data = random.Random(seed), b""
+    for k in range(160):
+        data += S.packet(256, k, bytes([0x47 if rng.random() < 0.02 else k % 256]) * 184)
+        if rng.random() < 0.12:
+            data += bytes(rng.choice([0x47, 0, 1]) for _ in range(rng.choice([1, 3, 187, 188, 600])))
+        if rng.random() < 0.05:
+            data = data[: -rng.randint(1, 187)]
+    (tmp_path / "a.ts").write_bytes(data)
+    one = Realigner()
+    runs, gaps = one.feed(data)
+    want = [bytes(r["payload"]) for r in rows_of([b"".join(runs)])] if runs else []
+    losses = {}
+    for n, k in gaps:
+        losses[n] = losses.get(n, 0) + k
+    for step in (188 * 4, 188 * 9 + 5, 188 * 50, 1 << 20):
+        p, lost = read_ts(spark, str(tmp_path / "a.ts"), "s", realign=True, bytes_per_task=step)
+        assert [bytes(r.payload) for r in p.orderBy("packet_no").collect()] == want
+        assert {r.before_packet_no: r.bytes_discarded for r in lost.collect()} == losses
+
+
 def assembled(rows):
     """Plain assembly: (status, data) of each unit that a start begins."""
     out, prev, unit = [], None, None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Stream types of ISO/IEC 13818-1 and ATSC/SCTE (code, name, kind, description).
+# Stream types of ISO/IEC 13818-1 and ATSC/SCTE (code, name, kind), and the descriptions that labels are made of.
 STREAM_TYPES = [
     (0x01, "MPEG1_VIDEO", "VIDEO", "MPEG-1 Video"), (0x02, "MPEG2_VIDEO", "VIDEO", "MPEG-2 Video"), (0x03, "MPEG1_AUDIO", "AUDIO", "MPEG-1 Audio"), (0x04, "MPEG2_AUDIO", "AUDIO", "MPEG-2 Audio"),
     (0x05, "PRIVATE_SECTIONS", "DATA", "Private sections"), (0x06, "PRIVATE_PES", "DATA", "Private PES"), (0x0F, "ADTS_AAC", "AUDIO", "AAC (ADTS)"), (0x10, "MPEG4_VIDEO", "VIDEO", "MPEG-4 Video"), (0x11, "LATM_AAC", "AUDIO", "AAC (LATM)"),

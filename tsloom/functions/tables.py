@@ -2,76 +2,74 @@
 
 from __future__ import annotations
 
+import struct
+
 from tsloom.functions.text import duration, dvb_text, start_time
 from tsloom.functions.wire import crc_ok, descriptors, first, u16
 
 PAT, PMT, NIT, SDT, EIT = 0x00, 0x02, 0x40, 0x42, 0x4E
 REGISTRATION, LANGUAGE, NETWORK_NAME, SERVICE_LIST, SERVICE, SHORT_EVENT = 0x05, 0x0A, 0x40, 0x41, 0x48, 0x4D
-LONGEST = 4096 + 3
+STUFFING = b"\xff"
 
 
 class Sections:
-    """Reassembles the sections of one PID from its packets in order."""
+    """Sections of one PID, cut out of its payloads by their own lengths."""
 
     def __init__(self) -> None:
-        self.held = bytearray()
+        self.open = b""  #: the section that the next payload goes on with
         self.crc_errors = self.completed = 0
 
-    def _need(self) -> int | None:
-        """Whole length of the section being held, once its header tells."""
-        return 3 + (u16(self.held, 1) & 0xFFF) if len(self.held) >= 3 else None
-
     def feed(self, payload: bytes, pusi: bool, unusable: bool) -> list[dict]:
         """Sections that the packet completes.  unusable: corrupt, scrambled or without payload."""
-        if unusable or not payload:
-            self.held.clear()
+        if unusable or not payload or not (pusi or self.open):
+            self.open = b""
             return []
-        out: list[dict] = []
-        at = 0
+        whole: list[bytes] = []
         if pusi:
-            at = 1 + payload[0]
-            if payload[0] and self.held:
-                self._take(payload[1:at], out)
-            elif not payload[0] and len(self.held) >= 3:
-                self.held.clear()  # the old section should have ended here
-        elif not self.held:
-            return out  # joined in the middle
-        while at < len(payload):
-            if len(self.held) < 3 and payload[at] == 0xFF:
-                break
-            at += self._take(payload[at:], out)
-        return out
-
-    def _take(self, data: bytes, out: list[dict]) -> int:
-        used = 0
-        if len(self.held) < 3:
-            used = min(3 - len(self.held), len(data))
-            self.held += data[:used]
-            if len(self.held) < 3:
-                return used
-            if self._need() > LONGEST:
-                self.held.clear()
-                return len(data)
-        more = min(self._need() - len(self.held), len(data) - used)
-        self.held += data[used : used + more]
-        if len(self.held) == self._need():
-            section = self._finish(bytes(self.held))
-            self.held.clear()
-            if section:
-                out.append(section)
-        return used + more
-
-    def _finish(self, raw: bytes) -> dict | None:
-        if not raw[1] & 0x80:
-            self.completed += 1
-            return {"table_id": raw[0], "ext": 0, "version": 0, "is_current": True, "section_no": 0, "last_section_no": 0, "is_long": False, "body": raw}
-        if not crc_ok(raw):
-            self.crc_errors += 1
-            return None
-        if len(raw) < 12:
-            return None
+            tail, payload = payload[1 : 1 + payload[0]], payload[1 + payload[0] :]
+            if tail and self.open:
+                # The tail ends the open section, and nothing else; where it is too short, what follows goes on with it.
+                joined = self.open + tail
+                size = _size(joined, 0)
+                done = size is not None and size <= len(joined)
+                whole, self.open = ([joined[:size]], b"") if done else ([], joined)
+            elif _size(self.open, 0):
+                self.open = b""  # cut off by a new section; one without a length yet goes on
+        whole += self._cut(payload)
+        return [t for t in map(self._table, whole) if t]
+
+    def _cut(self, payload: bytes) -> list[bytes]:
+        """Whole sections at the offsets that their lengths lead to; the rest stays open, stuffing goes."""
+        if len(self.open) < 3 and payload[:1] == STUFFING:
+            return []
+        run, at, whole = self.open + payload, 0, []
+        while at < len(run) and (not at or run[at : at + 1] != STUFFING):
+            size = _size(run, at)
+            if size is None or at + size > len(run):
+                self.open = run[at:]
+                return whole
+            whole.append(run[at : at + size])
+            at += size
+        self.open = b""
+        return whole
+
+    def _table(self, raw: bytes) -> dict | None:
+        """Header fields and body; a short section is kept whole and has no checksum of its own."""
+        fields = dict.fromkeys(("ext", "version", "section_no", "last_section_no"), 0) | {"is_current": True, "is_long": bool(raw[1] & 0x80), "body": raw}
+        if fields["is_long"]:
+            sound = crc_ok(raw)
+            self.crc_errors += not sound
+            if not sound or len(raw) < 12:
+                return None
+            ext, flags, number, last = struct.unpack_from(">HBBB", raw, 3)
+            fields |= {"ext": ext, "version": flags >> 1 & 31, "is_current": flags % 2 == 1, "section_no": number, "last_section_no": last, "body": raw[8:-4]}
         self.completed += 1
-        return {"table_id": raw[0], "ext": u16(raw, 3), "version": raw[5] >> 1 & 31, "is_current": bool(raw[5] & 1), "section_no": raw[6], "last_section_no": raw[7], "is_long": True, "body": raw[8:-4]}
+        return {"table_id": raw[0]} | fields
+
+
+def _size(run: bytes, at: int) -> int | None:
+    """Length of the section that begins there, once its header tells."""
+    return 3 + (u16(run, at + 1) & 0xFFF) if at + 3 <= len(run) else None
 
 
 def _entries(body: bytes, at: int, end: int, fixed: int) -> list[tuple[int, list[dict]]] | None:
