@@ -158,7 +158,7 @@ def test_splice_events(spark):
             raw.append(S.packet(256, 0, S.pes(0xE0, b"v", 2**33 - 100), pusi=True))
     p = frame(spark, raw)
     maps = psi.map_versions(psi.table_log(p))
-    e = scte.splice_events(p, maps, units.pes_headers(p)).orderBy("sequence")
+    e = scte.splice_events(p, maps).orderBy("sequence")
     got = [(r.sequence, r.splice_time, r.pre_roll_basis, r.pre_roll_ticks, r.description) for r in e.collect()]
     assert got == [
         (1, 403200, "NONE", None, "event 1001 out for 2.0s"), (2, 403200, "PCR", 203200, "event 1001 out for 2.0s"), (3, 500000, "VIDEO_PTS", 500100, "Provider Placement Opportunity Start [ABCD0123456H] for 2.0s"),

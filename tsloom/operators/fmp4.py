@@ -13,6 +13,7 @@ from tsloom.functions.mp4 import AacTimeline, AvcSettings, Sample, adts, fragmen
 from tsloom.operators.ordered import ordered_fold
 from tsloom.operators.psi import latest_map, tracks
 from tsloom.operators.units import access_units
+from tsloom.session import staged
 
 H264, ADTS_AAC = 0x1B, 0x0F
 _END = 1 << 62
@@ -94,32 +95,25 @@ def audio_fragments(units: DataFrame, track: int = 2) -> DataFrame:
     return ordered_fold(rows, ["stream_id", "pid"], "unit_no", lambda key: _AudioFold(key, track), "stream_id string, pid int, sequence int, emitted_by long, phase int, data binary")
 
 
-def _distinct(sets: list[bytes]) -> list[bytes]:
-    return list(dict.fromkeys(bytes(s) for s in sets))
-
-
-def _inits(codec):
-    def build(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for video, audio in batches:
-            out = []
-            for units, frame in zip(video, audio, strict=True):
-                sets = [codec.sets(u["data"]) for u in units]
-                found = (_distinct([s for a, _ in sets for s in a]), _distinct([s for _, b in sets for s in b]))
-                out.append(init_segment(found, adts(frame) if frame is not None else None) if found[0] and found[1] else None)
-            yield pd.Series(out, dtype=object)
-
-    return build
+def _inits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for sequence, picture, frame in batches:
+        out = [init_segment(([bytes(x) for x in a], [bytes(x) for x in b]), adts(f) if f is not None else None) for a, b, f in zip(sequence, picture, frame, strict=True)]
+        yield pd.Series(out, dtype=object)
 
 
 def init_segments(video: DataFrame, audio: DataFrame | None, codec=AvcSettings) -> DataFrame:
-    """(stream_id, data): only units that carry parameter sets travel."""
-    carries = F.pandas_udf(lambda s: s.map(lambda d: any(codec.sets(d))), "boolean")("data")
-    v = video.filter("status = 'ok'").filter(carries).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "data"))).alias("units"))
+    """(stream_id, data): the parameter sets in order of appearance, each once, are all that travels of the video."""
+    found = F.pandas_udf(lambda s: pd.DataFrame([dict(zip(("sps", "pps"), codec.sets(d), strict=True)) for d in s], columns=["sps", "pps"]), "sps array<binary>, pps array<binary>")("data")
+    v = video.filter("status = 'ok'").select("stream_id", "unit_no", found.alias("n"))
+    each = [v.select("stream_id", "unit_no", F.lit(kind).alias("kind"), F.posexplode(f"n.{kind}").alias("place", "set")) for kind in ("sps", "pps")]
+    once = each[0].unionByName(each[1]).groupBy("stream_id", "kind", "set").agg(F.min(F.struct("unit_no", "place")).alias("first"))
+    lists = [F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("first", "set")))), lambda x: x["set"]).alias(kind) for kind in ("sps", "pps")]
+    v = once.groupBy("stream_id").agg(*lists).filter("size(sps) > 0 AND size(pps) > 0")
     if audio is None:
         v = v.withColumn("frame", F.lit(None).cast("binary"))
     else:
-        v = v.join(audio.filter("status = 'ok'").groupBy("stream_id").agg(F.min_by("data", "unit_no").alias("frame")), "stream_id", "left")
-    return v.select("stream_id", F.pandas_udf(_inits(codec), "binary")("units", "frame").alias("data")).filter("data IS NOT NULL")
+        v = v.join(audio.filter("status = 'ok'").groupBy("stream_id").agg(F.min_by(F.substring("data", 1, 16), "unit_no").alias("frame")), "stream_id", "left")
+    return v.select("stream_id", F.pandas_udf(_inits, "binary")("sps", "pps", "frame").alias("data"))
 
 
 def remux(packets: DataFrame, log: DataFrame) -> DataFrame:
@@ -127,11 +121,15 @@ def remux(packets: DataFrame, log: DataFrame) -> DataFrame:
     t = chosen_tracks(log)
     video = access_units(packets.join(t.select("stream_id", F.col("video_pid").alias("pid")), ["stream_id", "pid"], "left_semi"))
     audio = access_units(packets.join(t.select("stream_id", F.col("audio_pid").alias("pid")), ["stream_id", "pid"], "left_semi"))
-    media = video_fragments(video).select("stream_id", "emitted_by", "phase", "sequence", "data").unionByName(audio_fragments(audio).select("stream_id", "emitted_by", "phase", "sequence", "data"))
+    # Assembled once: the init segment and the fragments both read it.
+    video = staged(video, "video-units")
+    columns = ["stream_id", "emitted_by", "phase", "sequence", "data"]
+    media = staged(video_fragments(video).select(*columns).unionByName(audio_fragments(audio).select(*columns)), "fragments")
+    # Fragments are numbered without their bytes.
     order = W.partitionBy("stream_id").orderBy("emitted_by", "phase", "sequence")
-    media = media.withColumn("position", F.row_number().over(order))
+    numbered = media.drop("data").withColumn("position", F.row_number().over(order))
     number = F.unhex(F.lpad(F.hex(F.col("position").cast("long")), 8, "0"))
-    media = media.select("stream_id", "position", F.concat(F.substring("data", 1, 20), number, F.expr("substring(data, 25)")).alias("data"))
+    media = media.join(numbered, columns[:-1]).select("stream_id", "position", F.concat(F.substring("data", 1, 20), number, F.expr("substring(data, 25)")).alias("data"))
     return init_segments(video, audio).select("stream_id", F.lit(0).alias("position"), "data").unionByName(media)
 
 

@@ -259,6 +259,17 @@ def stream_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFra
     return derived_stream(out.fillna(0, zero))
 
 
+# How a packet's text names what it carries, by adaptation field control.
+CARRIES = ("RESERVED", "PAYLOAD_ONLY", "ADAPTATION_ONLY", "ADAPTATION_AND_PAYLOAD")
+
+
+def packet_text() -> Column:
+    """One line for a packet; its form is fixed."""
+    carries = F.element_at(F.array(*map(F.lit, CARRIES)), F.col("afc") + 1)
+    scrambled = F.when(F.col("scrambling_control") != 0, ", scrambled").otherwise("")
+    return F.concat(F.lit("TsPacket[pid=0x"), F.lower(F.hex("pid")), F.lit(", cc="), F.col("cc"), F.lit(", "), carries, F.lit(", payload="), F.col("payload_len"), F.lit(" bytes"), scrambled, F.lit("]"))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 

@@ -203,6 +203,11 @@ def first_video(maps: DataFrame) -> DataFrame:
     return tracks(maps).filter("kind_of_stream = 'VIDEO'").groupBy("stream_id", "program").agg(F.min_by("pid", "track_pos").alias("pid"))
 
 
+def is_known(maps: DataFrame) -> DataFrame:
+    """Whether a stream's PAT has been seen."""
+    return maps.select("stream_id", F.col("ts_id").isNotNull().alias("is_known"))
+
+
 def missing_pids(maps: DataFrame, packets: DataFrame) -> DataFrame:
     """Tracks that a program map lists and no packet carries."""
     return tracks(maps).select("stream_id", "program", "pid").join(packets.select("stream_id", "pid").distinct(), ["stream_id", "pid"], "left_anti")

@@ -14,7 +14,7 @@ from tsloom.functions.tables import Sections
 from tsloom.functions.wire import PCR_HZ, PTS_HZ, WRAP33, crc_ok
 from tsloom.operators.health import as_of
 from tsloom.operators.ordered import ordered_fold
-from tsloom.operators.units import track_intervals
+from tsloom.operators.units import pes_headers, track_intervals
 
 TABLE, SCTE35, CUEI = 0xFC, 0x86, b"CUEI"
 INSERT, SIGNAL = 5, 6
@@ -175,26 +175,35 @@ def splice_tracks(maps: DataFrame) -> DataFrame:
     """Splice tracks by map version with the first video track of their program."""
     t = track_intervals(maps)
     video = t.filter("kind_of_stream = 'VIDEO'").groupBy("stream_id", "version_no", "program").agg(F.min_by("pid", "track_pos").alias("video_pid"))
-    return t.filter(F.col("raw_type") == SCTE35).join(video, ["stream_id", "version_no", "program"], "left").select("stream_id", "pid", "video_pid", "from_packet", F.coalesce("to_packet", F.lit(1 << 62)).alias("to_packet"))
+    return t.filter(F.col("raw_type") == SCTE35).join(video, ["stream_id", "version_no", "program"], "left").select("stream_id", "version_no", "pid", "video_pid", "from_packet", F.coalesce("to_packet", F.lit(1 << 62)).alias("to_packet"))
+
+
+def video_spans(maps: DataFrame) -> DataFrame:
+    """Spans (stream_id, video_pid, span, from_packet, to_packet) of map versions over which a splice track's video stays listed: its time is kept that long."""
+    listed = splice_tracks(maps).filter("video_pid IS NOT NULL").select("stream_id", "version_no", "video_pid", "from_packet", "to_packet").distinct()
+    run = F.col("version_no") - F.row_number().over(W.partitionBy("stream_id", "video_pid").orderBy("version_no"))
+    return listed.withColumn("run", run).groupBy("stream_id", "video_pid", "run").agg(F.min("from_packet").alias("from_packet"), F.max("to_packet").alias("to_packet")).withColumn("span", F.col("from_packet")).drop("run")
 
 
 def splice_sections(packets: DataFrame, maps: DataFrame) -> DataFrame:
     """Sections on splice tracks, read or not: (.., video_pid, body, section)."""
-    t = splice_tracks(maps).withColumnsRenamed({"stream_id": "t_stream", "pid": "t_pid"})
+    t = splice_tracks(maps).drop("version_no").withColumnsRenamed({"stream_id": "t_stream", "pid": "t_pid"})
     inside = (F.col("stream_id") == F.col("t_stream")) & (F.col("pid") == F.col("t_pid")) & (F.col("packet_no") >= F.col("from_packet")) & (F.col("packet_no") < F.col("to_packet"))
     own = packets.join(t.select("t_stream", "t_pid", "from_packet", "to_packet").distinct(), inside, "left_semi")
     return parse_sections(assembled_sections(own).join(t, inside, "left").drop("t_stream", "t_pid", "from_packet", "to_packet"))
 
 
-def splice_events(packets: DataFrame, maps: DataFrame, pes: DataFrame) -> DataFrame:
-    """Readable splice sections in order with arrival clock (any PID's), arrival video time and pre-roll."""
+def splice_events(packets: DataFrame, maps: DataFrame) -> DataFrame:
+    """Readable splice sections in order with arrival clock (any PID's), arrival video time (of corrupt packets, too) and pre-roll."""
     rows = splice_sections(packets, maps).filter("section IS NOT NULL")
     clock = packets.filter("pcr IS NOT NULL").select("stream_id", "packet_no", F.col("pcr").alias("arrival_pcr"))
     rows = as_of(rows, clock, ["stream_id"], F.col("packet_no"), ["arrival_pcr"], same=True)
-    v = splice_tracks(maps).select(F.col("stream_id").alias("v_stream"), F.col("video_pid").alias("v_pid"), "from_packet", "to_packet").filter("v_pid IS NOT NULL").distinct()
-    inside = (F.col("stream_id") == F.col("v_stream")) & (F.col("pid") == F.col("v_pid")) & (F.col("packet_no") >= F.col("from_packet")) & (F.col("packet_no") < F.col("to_packet"))
-    times = pes.filter("pts IS NOT NULL").join(v, inside, "left_semi").select("stream_id", F.col("pid").alias("video_pid"), "packet_no", F.col("pts").alias("arrival_video_pts"))
-    rows = as_of(rows, times, ["stream_id", "video_pid"], F.col("packet_no"), ["arrival_video_pts"], same=True)
+    v = video_spans(maps).withColumnsRenamed({"stream_id": "v_stream", "video_pid": "v_pid"})
+    inside = lambda pid: (F.col("stream_id") == F.col("v_stream")) & (F.col(pid) == F.col("v_pid")) & (F.col("packet_no") >= F.col("from_packet")) & (F.col("packet_no") < F.col("to_packet"))
+    heads = pes_headers(packets.join(v.select("v_stream", "v_pid").distinct(), (F.col("stream_id") == F.col("v_stream")) & (F.col("pid") == F.col("v_pid")), "left_semi"), corrupt=True)
+    times = heads.filter("pts IS NOT NULL").join(v, inside("pid")).select("stream_id", F.col("pid").alias("video_pid"), "span", "packet_no", F.col("pts").alias("arrival_video_pts"))
+    rows = rows.join(v, inside("video_pid"), "left").drop("v_stream", "v_pid", "from_packet", "to_packet")
+    rows = as_of(rows, times, ["stream_id", "video_pid", "span"], F.col("packet_no"), ["arrival_video_pts"], same=True).drop("span")
     order = W.partitionBy("stream_id").orderBy("packet_no", "ordinal")
     return with_pre_roll(rows.withColumn("sequence", F.row_number().over(order).cast("long")))
 

@@ -5,38 +5,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsloom.functions.text import avc_codec, hevc_codec
-from tsloom.functions.wire import NULL_PID, PTS_HZ, pes_header
+from tsloom.functions.wire import NULL_PID, PLAIN_STREAM_IDS, PTS_HZ
+from tsloom.operators import health
 from tsloom.operators.psi import tracks
 
 MAX_UNIT, MAX_KEYFRAME = 8 << 20, 2 << 20
 H264, HEVC = 0x1B, 0x24
 START_CODE = b"\0\0\0\1"
-_HEADER = "stream_id int, packet_length int, pts long, dts long, data_alignment boolean, header_length int"
 _HEADER_BYTES = 19
 
 
-def _headers(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = ["stream_id", "packet_length", "pts", "dts", "data_alignment", "header_length"]
-    for s in payloads:
-        rows = [pes_header(b or b"") or dict.fromkeys(names) for b in s]
-        out = pd.DataFrame(rows, columns=names).astype({"data_alignment": "boolean"})
-        yield out.astype(dict.fromkeys(["stream_id", "packet_length", "pts", "dts", "header_length"], "Int64"))
-
-
-def _with_header(starts: DataFrame) -> DataFrame:
-    """Only the bytes that a header needs go to Python, of the packets that may have one."""
-    return starts.withColumn("h", F.pandas_udf(_headers, _HEADER)(F.substring("payload", 1, _HEADER_BYTES)))
+def header_of(payload: Column) -> Column:
+    """The PES header that a payload begins with, as a struct; null if it begins none.  Plain expressions over its first bytes."""
+    digits = F.hex(F.substring(payload, 1, _HEADER_BYTES))
+    size = F.length(digits) / 2
+    number = lambda at, n: F.conv(F.substring(digits, 2 * at + 1, 2 * n), 16, 10).cast("long")
+    sid, which = number(3, 1), F.shiftright(number(7, 1), 6)
+    plain = sid.isin(*PLAIN_STREAM_IDS)
+    is_header = (size >= 6) & F.startswith(digits, F.lit("000001")) & (plain | (size >= 9))
+    # 40 bits: a prefix, then 3, 15 and 15 bits with a marker behind each.
+    stamp = lambda at: F.shiftleft(F.shiftright(number(at, 5), 33).bitwiseAND(7), 30) + F.shiftleft(F.shiftright(number(at, 5), 17).bitwiseAND(0x7FFF), 15) + F.shiftright(number(at, 5), 1).bitwiseAND(0x7FFF)
+    both = ~plain & (which == 3) & (size >= 19)
+    return F.when(
+        is_header,
+        F.struct(
+            sid.cast("int").alias("stream_id"), number(4, 2).cast("int").alias("packet_length"), F.when(both | (~plain & (which == 2) & (size >= 14)), stamp(9)).alias("pts"), F.when(both, stamp(14)).alias("dts"),
+            (~plain & (number(6, 1).bitwiseAND(4) > 0)).alias("data_alignment"), F.when(plain, 6).otherwise(9 + number(8, 1)).cast("int").alias("header_length"),
+        ),
+    )
 
 
-def pes_headers(packets: DataFrame) -> DataFrame:
-    """PES headers of sound packets that begin one: (stream_id, pid, packet_no, pes_stream_id, packet_length, pts, dts, ...)."""
-    starts = packets.filter(F.col("pusi") & ~F.col("tei") & (F.col("pid") != NULL_PID) & (F.col("payload_len") > 0)).select("stream_id", "pid", "packet_no", "payload")
-    found = _with_header(starts).filter("h.stream_id IS NOT NULL")
+def pes_headers(packets: DataFrame, corrupt: bool = False) -> DataFrame:
+    """PES headers of packets that begin one, corrupt packets' only if asked for: (stream_id, pid, packet_no, pes_stream_id, packet_length, pts, dts, ...)."""
+    starts = packets.filter(F.col("pusi") & (F.lit(corrupt) | ~F.col("tei")) & (F.col("pid") != NULL_PID) & (F.col("payload_len") > 0)).select("stream_id", "pid", "packet_no", "payload")
+    found = starts.withColumn("h", header_of(F.col("payload"))).filter("h IS NOT NULL")
     sid = F.col("h.stream_id")
     return found.select(
         "stream_id", "pid", "packet_no", sid.alias("pes_stream_id"), "h.packet_length", "h.pts", "h.dts", "h.data_alignment", "h.header_length",
@@ -55,42 +62,61 @@ def mapped(rows: DataFrame, maps: DataFrame) -> DataFrame:
     return rows.join(t, inside, "left_semi")
 
 
-def access_units(packets: DataFrame, epoch: str | None = None) -> DataFrame:
+def _unit_marks(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Packets with the number of the unit they belong to and what they do to it; repeated counters are left out.
+
+    Header columns only, and a scan of two levels as in health.marked: windows
+    run over CHUNK packets of a stream, and what a chunk must know of those
+    before and after it is carried over a table with a row for each.
+    """
+    p = packets.filter(F.col("pid") != NULL_PID).select(*keys, "packet_no", "tei", "pusi", "afc", "cc", "random_access", "payload_len").withColumn("chunk", F.floor(F.col("packet_no") / F.lit(health.CHUNK)))
+    inside, chunks = W.partitionBy(*keys, "chunk").orderBy("packet_no"), W.partitionBy(*keys).orderBy("chunk")
+    before, earlier = inside.rowsBetween(W.unboundedPreceding, -1), chunks.rowsBetween(W.unboundedPreceding, -1)
+    counts = (F.col("afc").bitwiseAND(1) == 1) & ~F.col("tei")
+    # The counter to compare with: of the last packet with a payload flag, unless a corrupt one came since.
+    p = p.withColumns({"counts": counts, "state": F.when(F.col("tei"), -1).when(counts, F.col("cc"))})
+    ends = p.groupBy(*keys, "chunk").agg(F.max_by("state", F.when(F.col("state").isNotNull(), F.col("packet_no"))).alias("state"))
+    ends = ends.select(*keys, "chunk", F.last("state", ignorenulls=True).over(earlier).alias("carried"))
+    p = p.join(ends, [*keys, "chunk"]).withColumn("prev", F.coalesce(F.last("state", ignorenulls=True).over(before), F.col("carried")))
+    known = F.coalesce(F.col("counts") & (F.col("prev") >= 0), F.lit(False))
+    p = p.withColumns({"repeated": known & (F.col("cc") == F.col("prev")), "gap": known & (F.col("cc") != (F.col("prev") + 1) % 16), "start": F.col("pusi") & ~F.col("tei")})
+    p = p.filter("NOT coalesce(repeated, false)").withColumn("gap", F.coalesce("gap", F.lit(False))).drop("carried", "state", "prev", "repeated")
+    sums = p.groupBy(*keys, "chunk").agg(F.sum(F.col("start").cast("long")).alias("starts"), F.min_by(F.col("start") & F.col("gap"), "packet_no").alias("opens_on_gap"))
+    sums = sums.select(*keys, "chunk", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("units_before"), F.lead("opens_on_gap").over(chunks).alias("opens_on_gap"))
+    p = p.join(sums, [*keys, "chunk"])
+    # A gap on a start belongs to the unit before.
+    next_gap = F.coalesce(F.lead(F.col("start") & F.col("gap")).over(inside), F.col("opens_on_gap"), F.lit(False))
+    unit_no = F.col("units_before") + F.sum(F.col("start").cast("long")).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    return p.select(*keys, "packet_no", unit_no.alias("unit_no"), "start", ((~F.col("start") & (F.col("gap") | F.col("tei"))) | next_gap).alias("damages"), (F.col("start") & F.coalesce("random_access", F.lit(False))).alias("random_access"), (~F.col("tei") & (F.col("payload_len") > 0)).alias("sound"), "payload_len")
+
+
+def access_units(packets: DataFrame, epoch: str | None = None, max_unit: int = MAX_UNIT) -> DataFrame:
     """Units of each PID: status ok, loss, size, empty or bad_header, and data where ok.
 
     A unit goes from one start to the next; is_tail marks the last, which only
     the end of the stream closes.  A repeated counter is skipped, a gap damages
-    the unit before it, a corrupt packet the one around it.
+    the unit before it, a corrupt packet the one around it.  Units are judged by
+    their packets' headers; only the payloads of sound ones travel, each once.
     """
     keys = ["stream_id", "pid", *([epoch] if epoch else [])]
-    p = packets.filter(F.col("pid") != NULL_PID).select(*keys, "packet_no", "tei", "pusi", "afc", "cc", "random_access", "payload_len", "payload")
-    order = W.partitionBy(*keys).orderBy("packet_no")
-    counts = (F.col("afc").bitwiseAND(1) == 1) & ~F.col("tei")
-    # The counter to compare with: of the last packet with a payload flag, unless a corrupt one came since.
-    state = F.when(F.col("tei"), -1).when(counts, F.col("cc"))
-    p = p.withColumn("prev", F.last(state, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
-    known = counts & F.col("prev").isNotNull() & (F.col("prev") >= 0)
-    p = p.filter(~F.coalesce(known & (F.col("cc") == F.col("prev")), F.lit(False)))
-    p = p.withColumns({"gap": F.coalesce(known & (F.col("cc") != (F.col("prev") + 1) % 16), F.lit(False)), "start": F.col("pusi") & ~F.col("tei")})
-    p = p.withColumn("unit_no", F.sum(F.col("start").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    head = F.when(F.col("start"), F.struct("payload"))
-    # A gap on a start belongs to the unit before.
-    p = p.withColumns({"hit": F.when(F.col("start"), F.lit(False)).otherwise(F.col("gap") | F.col("tei")), "next_gap": F.lead(F.col("start") & F.col("gap")).over(order), "head": head})
-    started = _with_header(p.filter("start").select(*keys, "unit_no", "payload")).select(*keys, "unit_no", "h")
-    sound = F.when(~F.col("tei") & (F.col("payload_len") > 0), F.col("payload"))
-    whole = W.partitionBy(*keys, "unit_no")
-    p = p.join(started, [*keys, "unit_no"]).withColumn("bytes", F.when(F.col("start"), F.expr("substring(payload, h.header_length + 1)")).otherwise(sound))
-    p = p.withColumn("size", F.sum(F.coalesce(F.octet_length("bytes"), F.lit(0)).cast("long")).over(whole))
-    part = F.when(F.col("bytes").isNotNull() & (F.col("size") <= MAX_UNIT), F.struct("packet_no", "bytes"))
-    u = p.groupBy(*keys, "unit_no").agg(
-        F.min("packet_no").alias("first_packet"), F.first("h").alias("h"), F.max("size").alias("size"), F.bool_or(F.col("hit") | F.coalesce("next_gap", F.lit(False))).alias("damaged"),
-        F.bool_or(F.col("start") & F.coalesce("random_access", F.lit(False))).alias("random_access"), F.sort_array(F.collect_list(part)).alias("parts"),
+    marks = _unit_marks(packets, keys)
+    heads = packets.filter(F.col("pusi") & ~F.col("tei")).select(*keys, "packet_no", header_of(F.col("payload")).alias("h"))
+    marks = marks.join(heads, [*keys, "packet_no"], "left")
+    # Bytes before the data; of a start without a header nothing counts.
+    size = F.when(F.col("start"), F.greatest(F.col("payload_len") - F.col("h.header_length"), F.lit(0))).when(F.col("sound"), F.col("payload_len"))
+    u = marks.groupBy(*keys, "unit_no").agg(
+        F.min("packet_no").alias("first_packet"), F.first(F.when(F.col("start"), F.col("h")), ignorenulls=True).alias("h"), F.sum(F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
+        F.bool_or("damages").alias("damaged"), F.bool_or("random_access").alias("random_access"), F.bool_or("start").alias("begun"),
     )
-    status = F.when(F.col("h.stream_id").isNull(), "bad_header").when(F.col("size") > MAX_UNIT, "size").when(F.col("size") == 0, "empty").when(F.col("damaged"), "loss").otherwise("ok")
-    data = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["bytes"])), ""))
-    last = F.max("unit_no").over(W.partitionBy(*keys))
-    u = u.withColumns({"status": status, "is_tail": F.col("unit_no") == last})
-    return u.select(*keys, "unit_no", "first_packet", "h.pts", "h.dts", F.coalesce("h.dts", "h.pts").alias("decode_timestamp"), "random_access", "size", "status", "is_tail", F.when(F.col("status") == "ok", data).alias("data"))
+    u = u.filter("begun")
+    status = F.when(F.col("h").isNull(), "bad_header").when(F.col("size") > max_unit, "size").when(F.col("size") == 0, "empty").when(F.col("damaged"), "loss").otherwise("ok")
+    last = u.groupBy(*keys).agg(F.max("unit_no").alias("last_unit"))
+    u = u.withColumn("status", status).join(last, keys).withColumn("is_tail", F.col("unit_no") == F.col("last_unit"))
+    sound = marks.filter("sound").join(u.filter("status = 'ok'").select(*keys, "unit_no"), [*keys, "unit_no"], "left_semi").select(*keys, "packet_no", "unit_no", F.when(F.col("start"), F.col("h.header_length")).otherwise(0).alias("skip"))
+    parts = sound.join(packets.select(*keys, "packet_no", "payload"), [*keys, "packet_no"]).withColumn("part", F.expr("substring(payload, skip + 1)"))
+    data = parts.groupBy(*keys, "unit_no").agg(F.expr("listagg(part, X'') WITHIN GROUP (ORDER BY packet_no)").alias("data"))
+    u = u.join(data, [*keys, "unit_no"], "left")
+    return u.select(*keys, "unit_no", "first_packet", "h.pts", "h.dts", F.coalesce("h.dts", "h.pts").alias("decode_timestamp"), "random_access", "size", "status", "is_tail", "data")
 
 
 def unit_counters(units: DataFrame, flush: bool = False) -> DataFrame:

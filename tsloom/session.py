@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers of this session import the package."""
@@ -42,7 +44,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: it cuts lineage and outlives executors.  It goes with drop() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The table outlives its shuffles: their files go at once, not at some later collection of garbage.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
