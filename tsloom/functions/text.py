@@ -161,3 +161,7 @@ def hevc_codec(sps: bytes) -> str:
     space = chr(64 + (general >> 6)) if general >> 6 else ""
     parts = [f"hev1.{space}{general & 31}", f"{flags:X}", f"{'H' if general & 32 else 'L'}{body[12]}"]
     return ".".join([*parts, *(f"{b:02X}" for b in body[6:12].rstrip(b"\0"))])
+
+
+def hevc_codec_col(sps: Column) -> Column:
+    return F.arrow_udf(lambda values: pa.array([None if v is None else hevc_codec(v) for v in values.to_pylist()], pa.string()), "string")(sps)

@@ -7,65 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsloom.functions import dims, text
-from tsloom.functions.mp4 import Sample, fragment
-from tsloom.operators import events, fmp4, health, psi, scte, units
-from tsloom.plans.wire import DUCK, Stream
-from tsloom.session import ship, table
+from tsloom.operators import events, health, psi, scte, units
+from tsloom.plans.registry import ES as _ES
+from tsloom.plans.registry import ORACLES, QUERIES, STARTS, UNITS, plain, query
+from tsloom.plans.wire import Stream
+from tsloom.session import table
 from tsloom.sources import synth as S
 from tsloom.sources.packets import packets_from_raw
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-#: CTEs of the oracles behind `wire`: marks (continuity and random access), clocks (PCR rows), errors.
-_MARKS = """
-m0 AS (SELECT *, lag(cc) OVER p AS pc, lag(tei) OVER p AS pt, rai AND NOT tei AS rap FROM wire WINDOW p AS (PARTITION BY stream_id, pid ORDER BY packet_no)),
-m1 AS (SELECT *, NOT tei AND pc IS NOT NULL AND NOT pt AS cmp, CASE WHEN flag THEN (pc + 1) % 16 ELSE pc END AS expected FROM m0),
-marks AS (SELECT *, coalesce(cmp AND cc <> expected AND NOT disc AND flag AND cc = pc, false) AS dup, coalesce(cmp AND cc <> expected AND NOT disc AND NOT (flag AND cc = pc), false) AS bad, (cc - expected + 16) % 16 AS lost,
-  sum(CASE WHEN rap THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS gop FROM m1),
-c0 AS (SELECT *, lag(pcr) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) AS prev FROM wire WHERE pcr IS NOT NULL AND NOT tei),
-c1 AS (SELECT *, pcr - prev AS delta, pcr // 27000000 AS sec FROM c0),
-c2 AS (SELECT *, coalesce(NOT disc AND (delta < 0 OR delta > 2700000), false) AS jump, CASE WHEN sec = lag(sec) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) THEN 0 ELSE 1 END AS turn FROM c1),
-clocks AS (SELECT *, CASE WHEN NOT disc AND NOT jump AND delta > 0 THEN delta END AS gap, CAST(sum(turn) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seconds FROM c2),
-bad AS (SELECT stream_id, packet_no, pid FROM marks WHERE tei OR bad UNION ALL SELECT stream_id, packet_no, pid FROM clocks WHERE jump)
-"""
-_STARTS = """
-, pes0 AS (SELECT w.stream_id, w.pid, w.packet_no, w.pts, c.pcr AS clock FROM wire w ASOF JOIN (SELECT stream_id, pid AS cpid, packet_no, pcr FROM clocks) c
-    ON w.stream_id = c.stream_id AND (CASE WHEN w.pid < 258 THEN 256 ELSE 258 END) = c.cpid AND w.packet_no >= c.packet_no WHERE w.pts IS NOT NULL AND NOT w.tei),
-pes1 AS (SELECT *, clock - lag(clock) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) AS gap, pts - clock // 300 AS raw FROM pes0),
-pes AS (SELECT *, CASE WHEN raw < -4294967296 THEN raw + 8589934592 WHEN raw > 4294967296 THEN raw - 8589934592 ELSE raw END AS skew FROM pes1)
-"""
-_UNITS = """
-, a0 AS (SELECT *, CASE WHEN tei THEN -1 WHEN flag THEN cc END AS state FROM wire),
-a1 AS (SELECT *, last_value(state IGNORE NULLS) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a0),
-a2 AS (SELECT *, coalesce(flag AND NOT tei AND prev >= 0, false) AS known FROM a1),
-a3 AS (SELECT *, known AND cc <> (prev + 1) % 16 AS gap, pts IS NOT NULL AND NOT tei AS start FROM a2 WHERE NOT (known AND cc = prev)),
-a4 AS (SELECT *, CAST(sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unit_no, lead(start AND gap) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) AS next_gap FROM a3),
-units AS (SELECT stream_id, pid, unit_no, min(packet_no) AS first_packet, CAST(sum(CASE WHEN flag AND NOT tei THEN size ELSE 0 END) AS BIGINT) AS size, bool_or((NOT start AND (gap OR tei)) OR coalesce(next_gap, false)) AS damaged, max(pts) FILTER (WHERE start) AS pts
-  FROM a4 WHERE unit_no > 0 GROUP BY ALL)
-"""
-_ES = "pid BETWEEN 256 AND 259"
-
-
-def query(name: str, sql: str | None = None, extra: str = ""):
-    def register(make):
-        QUERIES[name] = make
-        if sql:
-            ORACLES[name] = f"WITH {DUCK.strip()}, {_MARKS.strip()} {extra.strip()} {sql.strip()}"
-        return make
-
-    return register
-
-
-def plain(name: str, sql: str | None = None):
-    def register(make):
-        QUERIES[name] = make
-        if sql:
-            ORACLES[name] = sql
-        return make
-
-    return register
-
-
 @query("pid_packet_counts", "SELECT stream_id, pid, count(*) AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) AS BIGINT) AS payload_bytes, min(packet_no) AS first_packet FROM wire GROUP BY stream_id, pid")
 def pid_packet_counts(spark, d):
     return health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES).select("stream_id", "pid", "packets", "payload_bytes", "first_packet")
@@ -143,14 +92,14 @@ def stream_errored_seconds(spark, d):
     return health.errored_seconds(s.packets, s.maps)[1]
 
 
-@query("pts_timing", "SELECT stream_id, pid, count(*) AS timestamps, count(*) FILTER (WHERE gap > 18900000) AS pts_repetition_errors, coalesce(max(CASE WHEN gap > 0 THEN gap END), 0) AS max_pts_interval, arg_max(skew, packet_no) AS pts_skew, min(skew) AS min_pts_skew, count(*) FILTER (WHERE skew <= 0) AS late_timestamps FROM pes GROUP BY stream_id, pid", _STARTS)
+@query("pts_timing", "SELECT stream_id, pid, count(*) AS timestamps, count(*) FILTER (WHERE gap > 18900000) AS pts_repetition_errors, coalesce(max(CASE WHEN gap > 0 THEN gap END), 0) AS max_pts_interval, arg_max(skew, packet_no) AS pts_skew, min(skew) AS min_pts_skew, count(*) FILTER (WHERE skew <= 0) AS late_timestamps FROM pes GROUP BY stream_id, pid", STARTS)
 def pts_timing(spark, d):
     s = Stream.of_events(spark, d, ingest=True)
     t = health.pes_timing(s.pes, s.packets, s.maps)
     return t.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("timestamps"), F.count_if("breach").alias("pts_repetition_errors"), F.coalesce(F.max("interval"), F.lit(0)).alias("max_pts_interval"), F.max_by("skew", "packet_no").alias("pts_skew"), F.min("skew").alias("min_pts_skew"), F.count_if("is_late").alias("late_timestamps"))
 
 
-@query("late_timestamps", "SELECT stream_id, packet_no, pid, skew FROM pes WHERE skew <= 0", _STARTS)
+@query("late_timestamps", "SELECT stream_id, packet_no, pid, skew FROM pes WHERE skew <= 0", STARTS)
 def late_timestamps(spark, d):
     s = Stream.of_events(spark, d, ingest=True)
     return health.pes_timing(s.pes, s.packets, s.maps).filter("is_late").select("stream_id", "packet_no", "pid", "skew")
@@ -161,12 +110,12 @@ def pes_packets(spark, d):
     return Stream.of_events(spark, d, ingest=True).pes.groupBy("stream_id", "pid").agg(F.count(F.lit(1)).alias("pes_packets"), F.max_by("pts", "packet_no").alias("last_pts"))
 
 
-@query("access_units", "SELECT stream_id, pid, unit_no, first_packet, pts, size, CASE WHEN damaged THEN 'loss' ELSE 'ok' END AS status FROM units", _UNITS)
+@query("access_units", "SELECT stream_id, pid, unit_no, first_packet, pts, size, CASE WHEN damaged THEN 'loss' ELSE 'ok' END AS status FROM units", UNITS)
 def access_units(spark, d):
     return units.access_units(Stream.of_events(spark, d).packets.filter(_ES)).select("stream_id", "pid", "unit_no", "first_packet", "pts", "size", "status")
 
 
-@query("access_unit_counters", "SELECT stream_id, pid, count(*) FILTER (WHERE NOT damaged AND NOT tail) AS completed, count(*) FILTER (WHERE damaged AND NOT tail) AS discarded_for_loss, CAST(0 AS BIGINT) AS discarded_for_size, true AS is_assembling FROM (SELECT *, unit_no = max(unit_no) OVER (PARTITION BY stream_id, pid) AS tail FROM units) GROUP BY stream_id, pid", _UNITS)
+@query("access_unit_counters", "SELECT stream_id, pid, count(*) FILTER (WHERE NOT damaged AND NOT tail) AS completed, count(*) FILTER (WHERE damaged AND NOT tail) AS discarded_for_loss, CAST(0 AS BIGINT) AS discarded_for_size, true AS is_assembling FROM (SELECT *, unit_no = max(unit_no) OVER (PARTITION BY stream_id, pid) AS tail FROM units) GROUP BY stream_id, pid", UNITS)
 def access_unit_counters(spark, d):
     return units.unit_counters(units.access_units(Stream.of_events(spark, d).packets.filter(_ES)))
 
@@ -205,7 +154,7 @@ SELECT stream_id, event, count(*) AS n FROM (
   SELECT stream_id, 'continuity_error' AS event FROM marks WHERE bad UNION ALL SELECT stream_id, 'pcr_discontinuity' FROM clocks WHERE jump UNION ALL SELECT stream_id, 'pcr_repetition_error' FROM clocks WHERE gap > 1080000
   UNION ALL SELECT stream_id, 'late_timestamp' FROM pes WHERE skew <= 0 UNION ALL SELECT stream_id, 'pts_repetition_error' FROM pes WHERE gap > 18900000
   UNION ALL SELECT stream_id, 'pid_discovered' FROM (SELECT DISTINCT stream_id, pid FROM wire) UNION ALL SELECT stream_id, unnest(['pid_discovered', 'pid_discovered', 'pid_discovered', 'pid_discovered', 'programs_changed', 'programs_changed', 'programs_changed', 'service_information_changed']) FROM (SELECT DISTINCT stream_id FROM wire)
-) GROUP BY stream_id, event""", _STARTS)
+) GROUP BY stream_id, event""", STARTS)
 def event_counts(spark, d):
     s = Stream.of_events(spark, d, ingest=True)
     log = s.log
@@ -266,15 +215,6 @@ def dvb_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.dvb_text_col(F.concat(F.unhex(F.lit("15")), F.col("text").cast("binary"))).alias("decoded"))
 
 
-@plain("crc32_mpeg", "SELECT p_partkey AS id, true AS valid FROM part")
-def crc32_mpeg(spark, d):
-    """The checksum behind its own data leaves no remainder."""
-    p = table(spark, d, "part").withColumn("raw", F.col("p_name").cast("binary"))
-    p = p.withColumn("crc", text.crc32_mpeg_col(F.col("raw")))
-    whole = F.concat("raw", F.unhex(F.lpad(F.hex("crc"), 8, "0")))
-    return p.select(F.col("p_partkey").alias("id"), (text.crc32_mpeg_col(whole) == 0).alias("valid"))
-
-
 @plain("section_round_trip", "SELECT doc_id, CAST(greatest(1, ceil(length(text) / 900.0)) AS BIGINT) AS n_sections, CAST(strlen(text) AS BIGINT) AS n_bytes, text AS body FROM documents")
 def section_round_trip(spark, d):
     """Each whole text as numbered private sections cut into packets, reassembled and joined."""
@@ -319,70 +259,10 @@ def splice_pre_roll(spark, d):
     return scte.with_pre_roll(scte.parse_sections(rows)).select("id", "splice_time", "pre_roll_ticks", "pre_roll_basis", "description")
 
 
-@plain("epg_merge", "SELECT n_nationkey AS service_id, CAST(i AS INT) AS position, n_nationkey * 10 + i AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * i AS start_ts, CAST(1800 AS INT) AS duration_s, n_name || ' ' || i AS name FROM nation CROSS JOIN (SELECT unnest([0, 1]) AS i)")
-def epg_merge(spark, d):
-    """Present and following events of each service, sent as two sections out of order, twice."""
-    rows = [(r["n_nationkey"], r["n_name"]) for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect()]  # 25 rows
-    raw, cc = [], 0
-    for again in range(2):
-        for key, name in rows:
-            for i in (1, 0):
-                title = f"{name} {i}".encode() if again else b"old"
-                d1 = S.descriptor(0x4D, b"eng" + bytes([len(title) + 1]) + b"\x15" + title + b"\0")
-                body = bytes([0, 1, 0, 1, 0, 0x4E]) + (key * 10 + i).to_bytes(2, "big") + (60310).to_bytes(2, "big") + bytes([i, 0, 0, 0, 0x30, 0]) + (4 << 13 | len(d1)).to_bytes(2, "big") + d1
-                for k, p in enumerate(S.section_payloads(S.section(0x4E, key, body, number=i, last=1))):
-                    raw.append(("s", cc, bytearray(S.packet(18, cc, p, pusi=k == 0))))
-                    cc += 1
-    g = psi.guide(psi.table_log(packets_from_raw(spark.createDataFrame(raw, "stream_id string, packet_no long, raw binary"))))
-    return g.select("service_id", "position", "event_id", F.col("start").alias("start_ts"), "duration_s", "name")
-
-
-SPS = bytes.fromhex("6764000cacd941419f9f016a02020280000003008000001e078a14cb")
-
-
-def _video(n: int = 50, gop: int = 10) -> list[bytes]:
-    """A made H.264 stream in packets: a delimiter, parameter sets and a key picture every `gop` units."""
-    out, cc = [S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True), S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256)]))[0], pusi=True)], 0
-    for k in range(n):
-        key = k % gop == 0
-        nals = [b"\x09\xf0", *([SPS, b"\x68\xeb\xe3\xcb"] if key else []), (b"\x65" if key else b"\x41") + bytes([k + 1]) * (700 if key else 90)]
-        unit = S.pes_packets(256, cc, S.pes(0xE0, b"".join(b"\0\0\0\1" + x for x in nals), 90000 + 3600 * k, 86400 + 3600 * k), random_access=key, pcr=(80000 + 3600 * k) * 300)
-        out += unit
-        cc += len(unit)
-    return out
-
-
-def _made(spark: SparkSession) -> Stream:
-    ship(spark)
-    return Stream(packets_from_raw(spark.createDataFrame([("v", i, bytearray(p)) for i, p in enumerate(_video())], "stream_id string, packet_no long, raw binary")))
-
-
-@plain("keyframes", "SELECT 'v' AS stream_id, 256 AS pid, 90000 + 36000 * k AS pts, 'avc1.64000c' AS codec_string, CAST(4 + 28 + 4 + 4 + 4 + 701 AS INT) AS size FROM (SELECT unnest(range(5)) AS k)")
-def keyframes(spark, d):
-    s = _made(spark)
-    return units.keyframes(s.packets, s.maps).select("stream_id", "pid", "pts", "codec_string", "size")
-
-
-@plain("fmp4_fragments", "SELECT CAST(k AS INT) AS position, CAST(CASE WHEN k = 0 THEN 0 ELSE 10 END AS INT) AS samples, CAST(CASE WHEN k > 0 THEN 86400 + 36000 * (k - 1) ELSE 0 END AS BIGINT) AS base_time FROM (SELECT unnest(range(6)) AS k)")
-def fmp4_fragments(spark, d):
-    """The stream as fragmented MP4, read back from the boxes' bytes."""
-    s = _made(spark)
-    segments = fmp4.remux(s.packets, s.log)
-    number = lambda at, n: F.conv(F.hex(F.substring("data", at + 1, n)), 16, 10)
-    is_fragment = F.col("position") > 0
-    return segments.select(F.col("position").cast("int").alias("position"), F.when(is_fragment, number(80, 4).cast("int")).otherwise(0).alias("samples"), F.when(is_fragment, number(60, 8).cast("long")).otherwise(0).alias("base_time"))
-
-
-@plain("fmp4_boxes")
-def fmp4_boxes(spark, d):
-    """A fragment of each customer's orders as samples: sizes of the boxes."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
-    build = F.pandas_udf(lambda s: s.map(lambda keys: fragment(1, 1, [Sample(str(k).encode(), 1000 * i, 1000 * i, i == 0) for i, k in enumerate(keys)])), "binary")
-    return o.select("o_custkey", F.size("keys").alias("samples"), F.octet_length(build("keys")).alias("n_bytes"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-PID health of the streams that the events table encodes."""
     s = Stream.of_events(spark, sf_dir, ingest=True)
     return health.derived_pid(health.pid_stats(s.packets, s.maps)).filter(_ES)
 
+
+from tsloom.plans import feeds, media, programs  # noqa: E402, F401  they register themselves

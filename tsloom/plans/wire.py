@@ -55,11 +55,16 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(batch.schema.get_field_index("stream_id")), batch.column(batch.schema.get_field_index("packet_no")), pa.array(raw, pa.binary())], names=["stream_id", "packet_no", "raw"])
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as rows (stream_id, packet_no, raw), without tables."""
     ship(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     rows = spark.sql(f"WITH {SPARK} SELECT * FROM wire", events=events)
-    raw = rows.mapInArrow(_encode, "stream_id string, packet_no long, raw binary")
+    return rows.mapInArrow(_encode, "stream_id string, packet_no long, raw binary")
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_packets(spark, sf_dir)
     names = [(r["n_nationkey"], r["n_name"]) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # 25 rows
     front = [(s, n, bytearray(p)) for s in ("s0", "s1", "s2") for n, p in _tables(names)]
     return packets_from_raw(raw.unionByName(spark.createDataFrame(front, "stream_id string, packet_no long, raw binary")))
