@@ -13,6 +13,7 @@ from tsloom.functions.text import avc_codec, hevc_codec
 from tsloom.functions.wire import NULL_PID, PLAIN_STREAM_IDS, PTS_HZ
 from tsloom.operators import health
 from tsloom.operators.psi import tracks
+from tsloom.session import staged
 
 MAX_UNIT, MAX_KEYFRAME = 8 << 20, 2 << 20
 H264, HEVC = 0x1B, 0x24
@@ -101,7 +102,8 @@ def access_units(packets: DataFrame, epoch: str | None = None, max_unit: int = M
     keys = ["stream_id", "pid", *([epoch] if epoch else [])]
     marks = _unit_marks(packets, keys)
     heads = packets.filter(F.col("pusi") & ~F.col("tei")).select(*keys, "packet_no", header_of(F.col("payload")).alias("h"))
-    marks = marks.join(heads, [*keys, "packet_no"], "left")
+    # What the headers say is read thrice below, and much smaller than the packets.
+    marks = staged(marks.join(heads, [*keys, "packet_no"], "left"), "unit-marks")
     # Bytes before the data; of a start without a header nothing counts.
     size = F.when(F.col("start"), F.greatest(F.col("payload_len") - F.col("h.header_length"), F.lit(0))).when(F.col("sound"), F.col("payload_len"))
     u = marks.groupBy(*keys, "unit_no").agg(
@@ -111,7 +113,7 @@ def access_units(packets: DataFrame, epoch: str | None = None, max_unit: int = M
     u = u.filter("begun")
     status = F.when(F.col("h").isNull(), "bad_header").when(F.col("size") > max_unit, "size").when(F.col("size") == 0, "empty").when(F.col("damaged"), "loss").otherwise("ok")
     last = u.groupBy(*keys).agg(F.max("unit_no").alias("last_unit"))
-    u = u.withColumn("status", status).join(last, keys).withColumn("is_tail", F.col("unit_no") == F.col("last_unit"))
+    u = staged(u.withColumn("status", status).join(last, keys).withColumn("is_tail", F.col("unit_no") == F.col("last_unit")), "units")
     sound = marks.filter("sound").join(u.filter("status = 'ok'").select(*keys, "unit_no"), [*keys, "unit_no"], "left_semi").select(*keys, "packet_no", "unit_no", F.when(F.col("start"), F.col("h.header_length")).otherwise(0).alias("skip"))
     parts = sound.join(packets.select(*keys, "packet_no", "payload"), [*keys, "packet_no"]).withColumn("part", F.expr("substring(payload, skip + 1)"))
     data = parts.groupBy(*keys, "unit_no").agg(F.expr("listagg(part, X'') WITHIN GROUP (ORDER BY packet_no)").alias("data"))
@@ -174,11 +176,12 @@ def keyframes(packets: DataFrame, maps: DataFrame, include_tail: bool = False, m
     Parameter sets carry over from earlier units of the same track; the last,
     unfinished unit isn't looked at unless include_tail.
     """
-    e = video_epochs(maps).withColumnsRenamed({"stream_id": "e_stream", "pid": "e_pid"})
+    epochs = staged(video_epochs(maps), "epochs")
+    e = epochs.withColumnsRenamed({"stream_id": "e_stream", "pid": "e_pid"})
     inside = (F.col("stream_id") == F.col("e_stream")) & (F.col("pid") == F.col("e_pid")) & (F.col("packet_no") >= F.col("from_packet")) & (F.col("packet_no") < F.col("to_packet"))
     own = packets.join(e, inside).drop("e_stream", "e_pid", "from_packet", "to_packet")
     units = access_units(own, "epoch").filter("status = 'ok'" + ("" if include_tail else " AND NOT is_tail"))
-    units = units.join(video_epochs(maps).select("stream_id", "epoch", "codec"), ["stream_id", "epoch"])
+    units = units.join(epochs.select("stream_id", "epoch", "codec"), ["stream_id", "epoch"])
     seen = units.withColumn("n", F.pandas_udf(_pictures, "params binary, sps binary, picture binary, is_key boolean")("codec", "data")).drop("data")
     so_far = W.partitionBy("stream_id", "epoch").orderBy("unit_no").rowsBetween(W.unboundedPreceding, 0)
     seen = seen.withColumns({"params": F.last("n.params", ignorenulls=True).over(so_far), "sps": F.last("n.sps", ignorenulls=True).over(so_far)})

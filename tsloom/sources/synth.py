@@ -92,3 +92,49 @@ def splice_info(command: int, body: bytes, descriptors: bytes = b"", adjust: int
     rest = head + body + struct.pack(">H", len(descriptors)) + descriptors
     raw = struct.pack(">BH", 0xFC, 0x3000 | len(rest) + 4) + rest
     return raw + struct.pack(">I", crc32_mpeg(raw))
+
+
+class BitWriter:
+    """Bits and Exp-Golomb codes, for parameter sets."""
+
+    def __init__(self) -> None:
+        self.text = ""
+
+    def put(self, value: int, bits: int = 1) -> BitWriter:
+        self.text += f"{value:0{bits}b}" if bits else ""
+        return self
+
+    def ue(self, value: int) -> BitWriter:
+        code = f"{value + 1:b}"
+        self.text += "0" * (len(code) - 1) + code
+        return self
+
+    def bytes(self) -> bytes:
+        """With a stop bit, and emulation prevention bytes where three would read as a start code."""
+        text = self.text + "1"
+        raw = int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+        out = bytearray()
+        for b in raw:
+            if out[-2:] == b"\0\0" and b < 4:
+                out.append(3)
+            out.append(b)
+        return bytes(out)
+
+
+def avc_sps(profile: int, level: int, wide: int, high: int, crop: tuple[int, int, int, int] = (0, 0, 0, 0), fields: bool = False) -> bytes:
+    """An H.264 sequence parameter set of so many macroblocks, cropped left, right, top and bottom."""
+    w = BitWriter().ue(0)
+    if profile == 100:
+        w.ue(1).ue(0).ue(0).put(0).put(0)
+    w.ue(0).ue(2).ue(1).put(0).ue(wide - 1).ue(high - 1).put(0 if fields else 1)
+    if fields:
+        w.put(0)
+    w.put(1).put(1 if any(crop) else 0)
+    if any(crop):
+        for c in crop:
+            w.ue(c)
+    return bytes([0x67, profile, 0, level]) + w.put(0).bytes()
+
+
+def adts_frame(rate_index: int, channels: int, payload: bytes) -> bytes:
+    return (0xFFF1 << 40 | 1 << 38 | rate_index << 34 | channels << 30 | (7 + len(payload)) << 13 | 0x7FF << 2).to_bytes(7, "big") + payload
