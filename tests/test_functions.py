@@ -98,6 +98,9 @@ def test_splice_information():
     assert splice_info(S.splice_info(5, b"xx", encrypted=True))["encrypted"]
     assert splice_info(S.splice_info(5, insert[:8])) is None and splice_info(S.splice_info(0, b"")[:-1] + b"x") is None
     assert splice_info(S.splice_info(6, b"\xfe\0\0\0\1", S.descriptor(2, seg), length=0xFFF))["segmentations"] == []
+    parts = b"CUEI" + (7).to_bytes(4, "big") + b"\x7f\x7f\x02" + bytes(12) + (90000).to_bytes(5, "big") + b"\x08\x01\xff\x30\x01\x02"
+    g = splice_info(S.splice_info(6, b"\xfe\0\0\0\1", S.descriptor(2, parts)))["segmentations"][0]
+    assert (g["duration"], g["upid_text"], g["type"], g["segment_num"], g["segments_expected"]) == (90000, "FF", 0x30, 1, 2)  # components are stepped over
     assert scte.upid_text(8, b"\x01\xab") == "01AB"
 
 

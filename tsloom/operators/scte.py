@@ -99,7 +99,8 @@ def _segmentation(data: bytes, at: int, end: int) -> dict | None:
         if not flags & 0x20:
             free = {"delivery_restricted": True, "web_delivery_allowed": bool(flags & 0x10), "regional_blackout": not flags & 0x08, "archive_allowed": bool(flags & 0x04)}
         if not flags & 0x80:
-            r.at += 6 * r.number(1)
+            components = r.number(1)
+            r.at += 6 * components
         if flags & 0x40:
             out["duration"] = r.number(5)
         kind, raw = r.number(1), r.raw(r.number(1))

@@ -265,4 +265,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.derived_pid(health.pid_stats(s.packets, s.maps)).filter(_ES)
 
 
-from tsloom.plans import feeds, media, programs  # noqa: E402, F401  they register themselves
+from tsloom.plans import feeds, media, programs, splices  # noqa: E402, F401  they register themselves
