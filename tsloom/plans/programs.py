@@ -172,7 +172,7 @@ def epg_merge(spark, d):
     return psi.guide(psi.table_log(_guides(spark, d))).select("service_id", "position", "event_id", F.col("start").alias("start_ts"), "duration_s", "name")
 
 
-@plain("guide_events", "SELECT n_name AS stream_id, i AS packet_no, CAST(n_nationkey AS BIGINT) AS service_id, CAST(CASE WHEN i = 0 THEN 1 ELSE 2 END AS BIGINT) AS events FROM nation CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)")
+@plain("guide_events", "SELECT n_name AS stream_id, CAST(i AS BIGINT) AS packet_no, CAST(n_nationkey AS BIGINT) AS service_id, CAST(CASE WHEN i = 0 THEN 1 ELSE 2 END AS BIGINT) AS events FROM nation CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)")
 def guide_events(spark, d):
     """Every guide section says that the guide may have changed."""
     p = _guides(spark, d)

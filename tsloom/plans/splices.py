@@ -109,7 +109,7 @@ def _cue_packets(spark, d):
     return staged(encoded(rows, write), "cues")
 
 
-@plain("splice_events", f"""{_DUCK_CUES} SELECT stream_id, 8 * k + 4 AS packet_no, sequence, pts + 90000 AS splice_time, pcr AS arrival_pcr, CASE WHEN away THEN NULL ELSE pts END AS arrival_video_pts, CASE WHEN away THEN 'PCR' ELSE 'VIDEO_PTS' END AS pre_roll_basis, 90000 AS pre_roll_ticks,
+@plain("splice_events", f"""{_DUCK_CUES} SELECT stream_id, 8 * k + 4 AS packet_no, sequence, pts + 90000 AS splice_time, pcr AS arrival_pcr, CASE WHEN away THEN NULL ELSE pts END AS arrival_video_pts, CASE WHEN away THEN 'PCR' ELSE 'VIDEO_PTS' END AS pre_roll_basis, CAST(90000 AS BIGINT) AS pre_roll_ticks,
   'event ' || (n // 2) || CASE WHEN n % 2 = 0 THEN ' out for 2.0s' ELSE ' in' END AS description FROM e""")
 def splice_events(spark, d):
     """Cues with the clock and the video time at their arrival."""
