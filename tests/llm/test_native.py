@@ -111,3 +111,13 @@ def test_very_long_texts_and_urls(spark):
     urls = [(1, "http://" + "a." * 500 + "net/" + "x" * 100_000), (2, "http://example.com/de/" + "y" * 100_000)]
     got = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in url_filters.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), url_filters.rule_table(spark)).collect()}
     assert got == {1: ("net/", "block", 100_001), 2: ("example.com/de/", "block", 100_004)}
+
+
+def test_a_hot_host_over_many_sweeps(spark):
+    """5,000 urls of one host, 40 nested rules, a row that occurs 3,000 times."""
+    rng = random.Random(8)
+    rules = [("block" if k % 2 else "allow", rng.choice(["hot.example", "example", "a.hot.example"]), "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))) for k in range(40)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    rows = [(k, "http://" + rng.choice(["hot.example", "hot.example", "b.a.hot.example", "x.org"]) + "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))) for k in range(5000)] + [(7, "http://hot.example/a/b/c")] * 3000
+    got = sorted((tuple(r) for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(4), url_filters.rule_table(spark, rules)).collect()), key=str)
+    assert got == sorted(((i, *judged(u, rules)) for i, u in rows), key=str)

@@ -1,28 +1,28 @@
 """URL filters as a sort-merge range join, in DataFrame functions alone.
 
 A rule (host, path) covers its host and all subdomains where the url's path
-starts with the rule's path.  Reversing the host's labels and appending the
-path gives a canonical key in which a rule is a *prefix*, hence an interval of
-the sorted keys, and intervals of prefixes are either nested or disjoint.
-
-Plan: each distinct (id, url) is probed at each suffix of its host (a url has
-few labels); rules and probes are sorted together by key, and the sweep carries
-the stack of the rules that enclose the last rule start.  Every rule that
-covers a probe is on that stack: it begins at or before the last rule start,
-and whatever sorts between a prefix and one of its extensions extends it too.
-The innermost stack entry that is a prefix of the probe wins on that suffix; the
-longest rule over the suffixes wins for the url.
-
-The sweep runs in groups dealt by a hash of (id, url), each with a copy of the
-rules, so a hot host or domain never meets in one task and no row is dropped.
-The copies grow with the number of groups (a multiple of
-spark.sql.shuffle.partitions), not with the rows.
+starts with the rule's path.  Reversing the host's labels gives a canonical key:
+a url is probed at each suffix of its host (a url has few labels), and there a
+rule's path is a *prefix*, hence an interval of the sorted keys; intervals of
+prefixes are either nested or disjoint.
+
+Plan: rules and probes of a host are sorted together by key, and the sweep
+carries the stack of the rules that enclose the last rule start, itself last.
+Every rule that covers a probe is on that stack: it begins at or before the last
+rule start, and whatever sorts between a prefix and one of its extensions
+extends it too.  The innermost stack entry that is a prefix of the probe wins on
+that suffix; the longest rule over the suffixes wins for the url.
+
+Probes of hosts without rules go before the sort.  A host's probes are dealt, by
+a hash of (id, url), to groups of about ROWS or as many as it has rules, each
+with a copy of these; so a hot host is spread over many tasks, no row is dropped,
+and the copies are never more than the probes and the rules together.
 
 Defined results: a null url or one without "://" has an empty host and path and
-gets the default verdict with a null rule; repeated rows give repeated results;
-an empty url table gives no rows, no rules give the default for all; of
-duplicate rules "block" wins; other columns of the table are not read, so their
-names can't clash.
+gets the default verdict with a null rule; very long urls are judged whole;
+repeated rows give repeated results; an empty url table gives no rows, no rules
+give the default for all; of duplicate rules "block" wins; other columns of the
+table are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
-GROUPS_PER_PARTITION = 4
+#: Probes of a sweep.
+ROWS = 512
+#: Repeats of a row that are made at a time.
+REPEATS = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -50,47 +53,56 @@ def _reversed(host: Column) -> Column:
     return F.reverse(F.split(host, r"\.", -1))
 
 
-def _key(labels: Column, path: Column) -> Column:
-    """A host holds no slash, so the first one ends the host part."""
-    return F.concat(F.array_join(labels, "."), F.lit("/"), path)
-
-
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """A few rules as a table; many come as a table of their own."""
     rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]
     return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.range(0).selectExpr("'' AS verdict", "'' AS host", "'' AS path")
 
 
+def _at(labels: Column) -> Column:
+    return F.array_join(labels, ".")
+
+
 def _stacks(rules: DataFrame) -> DataFrame:
-    """Each rule's key with the array of rules that enclose it, outermost first, itself last."""
+    """Each rule (at, path) with the array of the host's rules that enclose it, outermost first, itself last."""
     keyed = (
-        rules.select(_key(_reversed(F.translate("host", UPPER, LOWER)), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
-        .groupBy("key", "rule").agg(F.max("verdict").alias("verdict"))
+        rules.select(_at(_reversed(F.translate("host", UPPER, LOWER))).alias("at"), "path", F.concat("host", "path").alias("rule"), "verdict")
+        .groupBy("at", "path", "rule").agg(F.max("verdict").alias("verdict"))
     )
-    prefixes = keyed.select(F.col("key").alias("inner"), F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n"))
-    prefixes = prefixes.select("inner", F.substring("inner", F.lit(1), F.col("n")).alias("key"))
-    entry = F.struct(F.length("key").alias("n"), "key", "rule", "verdict")
-    return prefixes.join(keyed, "key").groupBy(F.col("inner").alias("key")).agg(F.sort_array(F.collect_list(entry)).alias("stack"))
+    # Only prefixes as long as some path of the host can be rules; there are no more of these than characters in a path.
+    lengths = keyed.groupBy("at").agg(F.collect_set(F.length("path")).alias("lengths"))
+    prefixes = keyed.select("at", F.col("path").alias("inner")).join(lengths, "at").select("at", "inner", F.explode(F.filter("lengths", lambda n: n <= F.length("inner"))).alias("n"))
+    prefixes = prefixes.select("at", "inner", F.substring("inner", F.lit(1), F.col("n")).alias("path"))
+    entry = F.struct(F.length("path").alias("n"), "path", "rule", "verdict")
+    return prefixes.join(keyed, ["at", "path"]).groupBy("at", F.col("inner").alias("path")).agg(F.sort_array(F.collect_list(entry)).alias("stack"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """Rows (id, host, path, rule, verdict), one for each input row; see the module's text."""
-    spark = pages.sparkSession
-    groups = GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.select("id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.pmod(F.xxhash64("id", "url"), F.lit(groups)).cast("int").alias("grp"))
+    rows = rows.select("id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = _reversed(F.col("host"))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _key(F.slice(labels, F.lit(1), n), F.col("path")))
-    probes = rows.select("grp", F.explode(suffixes).alias("key"), F.lit(1).alias("is_probe"), "id", "url", "copies", "host", "path")
-    stacks = _stacks(rules).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "key", F.lit(0).alias("is_probe"), "stack")
-    both = probes.unionByName(stacks, allowMissingColumns=True)
-    sweep = W.partitionBy("grp").orderBy("key", "is_probe").rowsBetween(W.unboundedPreceding, 0)
-    active = F.filter(F.last("stack", ignorenulls=True).over(sweep), lambda r: F.startswith(F.col("key"), r["key"]))
-    best = both.withColumn("active", active).filter("is_probe = 1").withColumn("best", F.try_element_at("active", F.lit(-1)))
-    found = best.groupBy("grp", "id", "url").agg(F.first("copies").alias("copies"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("best").alias("best"))
-    return found.select(F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "*").select(
-        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _at(F.slice(labels, F.lit(1), n)))
+    probes = rows.select("id", "url", "path", F.explode(suffixes).alias("at"))
+    stacks = _stacks(rules)
+    # How many sweeps each host with rules takes.
+    many = stacks.groupBy("at").agg(F.count(F.lit(1)).alias("rules")).join(probes.groupBy("at").agg(F.count(F.lit(1)).alias("probes")), "at")
+    many = many.select("at", F.ceil(F.col("probes") / F.greatest(F.col("rules"), F.lit(ROWS))).cast("int").alias("sweeps"))
+    dealt = probes.join(many, "at").select("at", F.pmod(F.xxhash64("id", "url"), F.col("sweeps")).cast("int").alias("sweep"), "path", F.lit(1).alias("is_probe"), "id", "url")
+    copied = stacks.join(many, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)).alias("sweep"), "path", F.lit(0).alias("is_probe"), "stack")
+    both = dealt.unionByName(copied, allowMissingColumns=True)
+    order = W.partitionBy("at", "sweep").orderBy("path", "is_probe").rowsBetween(W.unboundedPreceding, 0)
+    active = F.filter(F.last("stack", ignorenulls=True).over(order), lambda r: F.startswith(F.col("path"), r["path"]))
+    inner = F.try_element_at(F.col("active"), F.lit(-1))
+    # The longest over all suffixes: by characters of host and path.
+    won = both.withColumn("active", active).filter("is_probe = 1").select("id", "url", inner.alias("won")).filter("won IS NOT NULL")
+    best = won.groupBy("id", "url").agg(F.max(F.struct(F.length("won.rule").alias("n"), "won.verdict", "won.rule")).alias("best"))
+    best = best.select(F.col("id").alias("best_id"), F.col("url").alias("best_url"), "best.rule", "best.verdict")
+    found = rows.join(best, rows["id"].eqNullSafe(best["best_id"]) & rows["url"].eqNullSafe(best["best_url"]), "left")
+    # Repeats in two steps: no long array, however often a row occurs.
+    blocks = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / REPEATS))).alias("block"))
+    each = blocks.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS), F.col("copies") - F.col("block") * REPEATS))).alias("repeat"))
+    return each.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = """
