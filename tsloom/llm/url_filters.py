@@ -21,7 +21,8 @@ and the copies are never more than the probes and the rules together.
 Defined results: a null url or one without "://" has an empty host and path and
 gets the default verdict with a null rule; very long urls are judged whole;
 repeated rows give repeated results; an empty url table gives no rows, no rules
-give the default for all; of duplicate rules "block" wins; other columns of the
+give the default for all; of duplicate rules "block" wins, of
+equally long ones that which sorts last; other columns of the
 table are not read, so their names can't clash.
 """
 
@@ -96,7 +97,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     inner = F.try_element_at(F.col("active"), F.lit(-1))
     # The longest over all suffixes: by characters of host and path.
     won = both.withColumn("active", active).filter("is_probe = 1").select("id", "url", inner.alias("won")).filter("won IS NOT NULL")
-    best = won.groupBy("id", "url").agg(F.max(F.struct(F.length("won.rule").alias("n"), "won.verdict", "won.rule")).alias("best"))
+    best = won.groupBy("id", "url").agg(F.max(F.struct(F.length("won.rule").alias("n"), "won.rule", "won.verdict")).alias("best"))
     best = best.select(F.col("id").alias("best_id"), F.col("url").alias("best_url"), "best.rule", "best.verdict")
     found = rows.join(best, rows["id"].eqNullSafe(best["best_id"]) & rows["url"].eqNullSafe(best["best_url"]), "left")
     # Repeats in two steps: no long array, however often a row occurs.
