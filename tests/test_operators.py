@@ -8,11 +8,23 @@ import pytest
 
 from tsloom.functions.wire import decode_packets, pes_header
 from tsloom.operators import fmp4, psi, scte, units
-from tsloom.plans import catalog
+from tsloom.plans.media import AVC_SPS as SPS
 from tsloom.sources import synth as S
 from tsloom.sources.packets import Realigner, packets_from_raw, read_ts, write_ts
 
 
+def video(n=50, gop=10):
+    """A made H.264 stream in packets: a delimiter, parameter sets and a key picture every `gop` units."""
+    out, cc = [S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True), S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256)]))[0], pusi=True)], 0
+    for k in range(n):
+        key = k % gop == 0
+        nals = [b"\x09\xf0", *([SPS, b"\x68\xeb\xe3\xcb"] if key else []), (b"\x65" if key else b"\x41") + bytes([k + 1]) * (700 if key else 90)]
+        unit = S.pes_packets(256, cc, S.pes(0xE0, b"".join(b"\0\0\0\1" + x for x in nals), 90000 + 3600 * k, 86400 + 3600 * k), random_access=key, pcr=(80000 + 3600 * k) * 300)
+        out += unit
+        cc += len(unit)
+    return out
+
+
 def frame(spark, raw):
     return packets_from_raw(spark.createDataFrame([("s", i, bytearray(p)) for i, p in enumerate(raw)], "stream_id string, packet_no long, raw binary").repartition(4))
 
@@ -23,7 +35,7 @@ def rows_of(raw):
 
 
 def test_sources_agree(spark, tmp_path):
-    raw = catalog._video(40)
+    raw = video(40)
     path = tmp_path / "a.ts"
     path.write_bytes(b"".join(raw) + b"tail")
     want = [(r["packet_no"], r["pid"], r["cc"], r["pcr"], bytes(r["payload"])) for r in rows_of(raw)]
@@ -126,7 +138,7 @@ def test_access_units_on_a_damaged_track(spark, seed):
 def test_keyframes_carry_parameter_sets(spark):
     tables = [S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True), S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x0F, 300), (0x1B, 256)]))[0], pusi=True)]
     code = b"\0\0\0\1"
-    data = [[b"\x65early"], [catalog.SPS, b"\x68p1", b"\x65one"], [b"\x41x"], [b"\x09\xf0", b"\x65two"], [b"\x68p2", b"\x65three"], [b"\x65tail"]]
+    data = [[b"\x65early"], [SPS, b"\x68p1", b"\x65one"], [b"\x41x"], [b"\x09\xf0", b"\x65two"], [b"\x68p2", b"\x65three"], [b"\x65tail"]]
     raw, cc = list(tables), 0
     for k, nals in enumerate(data):
         more = S.pes_packets(256, cc, S.pes(0xE0, b"".join(code + n for n in nals), 3600 * k))
@@ -136,7 +148,7 @@ def test_keyframes_carry_parameter_sets(spark):
     maps = psi.map_versions(psi.table_log(p))
     got = [(r.pts, bytes(r.data)) for r in units.keyframes(p, maps).orderBy("pts").collect()]
     join = lambda *n: b"".join(code + x for x in n)
-    assert got == [(3600, join(catalog.SPS, b"\x68p1", b"\x65one")), (10800, join(catalog.SPS, b"\x68p1", b"\x65two")), (14400, join(b"\x68p2", b"\x65three"))]
+    assert got == [(3600, join(SPS, b"\x68p1", b"\x65one")), (10800, join(SPS, b"\x68p1", b"\x65two")), (14400, join(b"\x68p2", b"\x65three"))]
     assert units.latest_keyframe(units.keyframes(p, maps)).first().keyframes_taken == 3
     assert units.keyframes(p, maps, include_tail=True).count() == 4
     assert units.keyframes(p, maps, max_bytes=40).filter("skipped_for_size").count() == 2
@@ -170,7 +182,7 @@ def test_splice_events(spark):
 
 
 def test_remux_writes_a_file(spark, tmp_path):
-    p = frame(spark, catalog._video(30))
+    p = frame(spark, video(30))
     segments = fmp4.remux(p, psi.table_log(p))
     size = fmp4.write_mp4(segments, "s", str(tmp_path / "a.mp4"))
     data = (tmp_path / "a.mp4").read_bytes()
@@ -184,10 +196,10 @@ def test_remux_writes_a_file(spark, tmp_path):
 
 def test_audio_and_video_are_interleaved_as_finished(spark):
     adts = lambda n: (0xFFF1 << 40 | 1 << 38 | 3 << 34 | 2 << 30 | (7 + n) << 13 | 0x7FF << 2).to_bytes(7, "big") + bytes(n)
-    video = catalog._video(30)
-    raw = [video[0], S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256), (0x0F, 257)]))[0], pusi=True)]
+    pictures = video(30)
+    raw = [pictures[0], S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256), (0x0F, 257)]))[0], pusi=True)]
     cc = 0
-    for k, p in enumerate(video[2:]):
+    for k, p in enumerate(pictures[2:]):
         raw.append(p)
         if k % 12 == 5:
             audio = S.pes_packets(257, cc, S.pes(0xC0, adts(100) * 3, 90000 + 5760 * (k // 12)))

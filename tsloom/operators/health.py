@@ -18,14 +18,6 @@ CHUNK = 1 << 20
 PCR_JUMP, PCR_LIMIT, PTS_LIMIT, TABLE_LIMIT = PCR_HZ // 10, PCR_HZ * 40 // 1000, PCR_HZ * 700 // 1000, PCR_HZ * 500 // 1000
 
 
-def _pid():
-    return W.partitionBy("stream_id", "pid").orderBy("packet_no")
-
-
-def _so_far():
-    return _pid().rowsBetween(W.unboundedPreceding, 0)
-
-
 def marked(packets: DataFrame) -> DataFrame:
     """Packets (null ones left out) with continuity, random-access and scrambling marks.
 
@@ -68,18 +60,29 @@ def marked(packets: DataFrame) -> DataFrame:
 
 
 def pcr_rows(packets: DataFrame) -> DataFrame:
-    """Clock references with their interval, what it breaches, and the clock's count of seconds seen so far."""
-    q = packets.filter((F.col("pid") != NULL_PID) & ~F.col("tei") & F.col("pcr").isNotNull()).select("stream_id", "packet_no", "pid", "pcr", F.coalesce("discontinuity", F.lit(False)).alias("announced"))
-    prev, second = F.lag("pcr").over(_pid()), F.floor(F.col("pcr") / F.lit(PCR_HZ))
-    raw = F.col("pcr") - F.col("prev_pcr")
+    """Clock references with their interval, what it breaches, and the clock's count of seconds seen so far.
+
+    Scanned in chunks like marked(): the last reference and the seconds before a
+    chunk are carried over a table with a row for each PID and chunk.
+    """
+    keys = ["stream_id", "pid", "chunk"]
+    q = packets.filter((F.col("pid") != NULL_PID) & ~F.col("tei") & F.col("pcr").isNotNull())
+    q = q.select("stream_id", "packet_no", "pid", "pcr", F.coalesce("discontinuity", F.lit(False)).alias("announced"), F.floor(F.col("packet_no") / F.lit(CHUNK)).alias("chunk"))
+    inside, chunks = W.partitionBy(*keys).orderBy("packet_no"), W.partitionBy("stream_id", "pid").orderBy("chunk")
+    ends = q.groupBy(*keys).agg(F.max_by("pcr", "packet_no").alias("end"))
+    q = q.join(ends.select(*keys, F.lag("end").over(chunks).alias("carried")), keys)
+    q = q.withColumn("prev_pcr", F.coalesce(F.lag("pcr").over(inside), F.col("carried"))).drop("carried")
+    raw, second = F.col("pcr") - F.col("prev_pcr"), lambda c: F.floor(F.col(c) / F.lit(PCR_HZ))
     wrap = WRAP33 * 300
-    q = q.withColumns({"prev_pcr": prev, "second": second})
-    q = q.withColumn("delta", F.when(raw < -(wrap // 2), raw + wrap).otherwise(raw))
+    q = q.withColumns({"second": second("pcr"), "delta": F.when(raw < -(wrap // 2), raw + wrap).otherwise(raw)})
     jump = ~F.col("announced") & ((F.col("delta") < 0) | (F.col("delta") > PCR_JUMP))
     q = q.withColumn("jump", F.coalesce(jump, F.lit(False)))
     steady = ~F.col("announced") & ~F.col("jump") & (F.col("delta") > 0)
-    q = q.withColumns({"interval": F.when(steady, F.col("delta")), "late": F.coalesce(steady & (F.col("delta") > PCR_LIMIT), F.lit(False)), "turn": (F.lag("second").over(_pid()).isNull() | (F.col("second") != F.lag("second").over(_pid()))).cast("long")})
-    return q.withColumn("seconds", F.sum("turn").over(_so_far()))
+    q = q.withColumns({"interval": F.when(steady, F.col("delta")), "late": F.coalesce(steady & (F.col("delta") > PCR_LIMIT), F.lit(False)), "turn": (F.col("prev_pcr").isNull() | (F.col("second") != second("prev_pcr"))).cast("long")})
+    turns = q.groupBy(*keys).agg(F.sum("turn").alias("turns"))
+    turns = turns.select(*keys, F.coalesce(F.sum("turns").over(chunks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    q = q.join(turns, keys)
+    return q.withColumn("seconds", F.col("before") + F.sum("turn").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("before", "chunk")
 
 
 def bindings(maps: DataFrame) -> DataFrame:
@@ -102,15 +105,25 @@ def reference_clock(clock: DataFrame, maps: DataFrame | None) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: Column, values: list[str], same: bool) -> DataFrame:
     """left with the values of the last right row of the key before packet `at`, or up to it where same.
 
-    A merge: both sides are dealt by key and walked once in order.  right has
-    the keys, packet_no and the values.
+    A merge: both sides are dealt by key and CHUNK packets and walked once in
+    order; what a chunk must know of those before is carried over a table with a
+    row for each.  right has the keys, packet_no and the values.
     """
     rank = 0 if same else 2
-    a = left.withColumns({"_at": at, "_side": F.lit(1), "_row": F.struct(*left.columns), **{f"_v_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values}}).select(*keys, "_at", "_side", "_row", *[f"_v_{v}" for v in values])
-    b = right.select(*keys, F.col("packet_no").alias("_at"), F.lit(rank).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    order = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumns({f"_v_{v}": F.last(f"_v_{v}", ignorenulls=True).over(order) for v in values})
-    return both.filter("_side = 1").select("_row.*", *[F.col(f"_v_{v}").alias(v) for v in values])
+    held = F.struct(*values)
+    a = left.select(*keys, at.alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    b = right.select(*keys, F.col("packet_no").alias("_at"), F.lit(rank).alias("_side"), held.alias("_held"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("_at") / F.lit(CHUNK)))
+    order = W.partitionBy(*keys, "_chunk").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    ends = both.groupBy(*keys, "_chunk").agg(F.max_by("_held", F.when(F.col("_held").isNotNull(), F.col("_at"))).alias("_end"))
+    ends = ends.select(*[F.col(k).alias(f"_e_{k}") for k in (*keys, "_chunk")], F.last("_end", ignorenulls=True).over(earlier).alias("_carried")).filter("_carried IS NOT NULL")
+    found = both.withColumn("_found", F.last("_held", ignorenulls=True).over(order)).filter("_side = 1")
+    here = F.lit(True)
+    for k in (*keys, "_chunk"):
+        here = here & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    found = found.join(ends, here, "left").withColumn("_found", F.coalesce("_found", "_carried"))
+    return found.select("_row.*", *[F.col("_found")[v].alias(v) for v in values])
 
 
 def with_clock(rows: DataFrame, maps: DataFrame | None, reference: DataFrame, same_map: bool) -> DataFrame:

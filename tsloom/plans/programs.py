@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tsloom.functions import text
 from tsloom.operators import events, health, psi
 from tsloom.plans.registry import plain
-from tsloom.session import ship, table
+from tsloom.session import ship, staged, table
 from tsloom.sources import synth as S
 from tsloom.sources.packets import packets_from_raw
 
@@ -82,7 +82,7 @@ SELECT stream_id, crc_errors, dvb_crc_errors, count(*) FILTER (WHERE gap > 13500
 def table_health(spark, d):
     """Checksum failures and repetition of tables on the reference clock."""
     p = table_packets(spark, d)
-    log = psi.table_log(p).persist()
+    log = staged(psi.table_log(p), "table-log")
     return health.stream_stats(p, psi.map_versions(log), log).select("stream_id", "crc_errors", "dvb_crc_errors", "pat_repetition_errors", "pmt_repetition_errors", "max_table_interval")
 
 
@@ -100,7 +100,7 @@ SELECT stream_id, packet_no, event, CAST(pid AS INT) AS pid, CAST(a AS BIGINT) A
 def table_events(spark, d):
     """What changing and late tables say as events."""
     p = table_packets(spark, d)
-    log = psi.table_log(p).persist()
+    log = staged(psi.table_log(p), "table-log")
     found = events.stream_events(p, log, psi.map_versions(log))
     return found.filter("event IN ('table_repetition_error', 'programs_changed', 'service_information_changed')").select("stream_id", "packet_no", "event", "pid", "a")
 

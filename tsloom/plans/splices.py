@@ -114,21 +114,21 @@ def _cue_packets(spark, d):
 def splice_events(spark, d):
     """Cues with the clock and the video time at their arrival."""
     p = _cue_packets(spark, d)
-    maps = psi.map_versions(psi.table_log(p).persist())
+    maps = psi.map_versions(staged(psi.table_log(p), "table-log"))
     return scte.splice_events(p, maps).select("stream_id", "packet_no", "sequence", "splice_time", "arrival_pcr", "arrival_video_pts", "pre_roll_basis", "pre_roll_ticks", "description")
 
 
 @plain("splice_counters", f"{_DUCK_CUES} SELECT stream_id, count(*) FILTER (WHERE NOT spoiled) AS sections_read, count(*) FILTER (WHERE spoiled) AS sections_unreadable, [500::INT] AS splice_pids FROM q GROUP BY stream_id")
 def splice_counters(spark, d):
     p = _cue_packets(spark, d)
-    return scte.counters(scte.splice_sections(p, psi.map_versions(psi.table_log(p).persist())))
+    return scte.counters(scte.splice_sections(p, psi.map_versions(staged(psi.table_log(p), "table-log"))))
 
 
 @plain("splice_pairs", f"""{_DUCK_CUES} SELECT o.stream_id, o.n // 2 AS event_id, o.sequence AS out_sequence, o.pts + 90000 AS out_time, i.sequence AS in_sequence, i.pts + 90000 AS in_time FROM e o LEFT JOIN e i ON i.stream_id = o.stream_id AND i.n = o.n + 1 WHERE o.n % 2 = 0""")
 def splice_pairs(spark, d):
     """Each way out with the way back in."""
     p = _cue_packets(spark, d)
-    maps = psi.map_versions(psi.table_log(p).persist())
+    maps = psi.map_versions(staged(psi.table_log(p), "table-log"))
     return scte.out_in_pairs(scte.splice_events(p, maps)).select("stream_id", "event_id", "out_sequence", "out_time", "in_sequence", "in_time")
 
 

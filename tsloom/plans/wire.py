@@ -74,7 +74,7 @@ class Stream:
     """Packets and what the engine derives from them, lazily and once.
 
     The table log is a sliver of the packets that most operators join with, so
-    it is persisted.  Queries of several passes ingest the packets first: as a
+    it is staged.  Queries of several passes ingest the packets first: as a
     columnar table each pass reads only the header columns that it needs.
     """
 
@@ -88,7 +88,7 @@ class Stream:
 
     @cached_property
     def log(self) -> DataFrame:
-        return psi.table_log(self.packets).persist()
+        return staged(psi.table_log(self.packets), "table-log")
 
     @cached_property
     def maps(self) -> DataFrame:
