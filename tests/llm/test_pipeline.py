@@ -67,3 +67,28 @@ def test_stages_against_brute_force(spark, sf):
     clean = sorted(r.doc_id for r in P.drop_contaminated(spark, docs, sf).collect())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert clean == sorted(r[0] for r in test_decontaminate.brute(rows, items) if not r[-1])
+
+
+def test_run_against_brute_force(spark, sf):
+    """run() on whole tables: the classifiers' scores one by one (held against plain Python elsewhere), all pairs, every window, the library's ids."""
+    import numpy as np
+    import sentencepiece
+
+    from tsloom.llm import quality, sentencepiece_viterbi, toxicity
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one = lambda model, text: float(model.score(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))[0])
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    table = lambda: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.fit_on(table(), labels)
+    rows = [r for r in rows if one(model, r[1]) < model.thresholds.get(r[2], model.default)]
+    model = quality.fit_on(table(), labels)
+    rows = [r for r in rows if one(model, r[1]) >= quality.CUT]
+    kept = set(test_simhash_sets.brute([r[:2] for r in rows]).values())
+    rows = [r for r in rows if r[0] in kept]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {r[0] for r in test_decontaminate.brute([r[:2] for r in rows], items) if not r[-1]}
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_viterbi.MODEL)
+    want = {r[0]: library.encode(r[1]) for r in rows if r[0] in clean}
+    got = {r.doc_id: list(r.ids) for r in P.run(spark, sf).collect()}
+    assert got == want and 50 < len(want) < 200

@@ -44,7 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsloom.llm.textbytes import LOWER, SOLID, runs, words, xxh64
@@ -106,7 +106,7 @@ def _fingerprint(size: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in runs(batch):
-                yield pa.record_batch([part.column(0), pa.array(fingerprints_of(data, offsets, size).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(fingerprints_of(data, offsets, size).view(np.int64))], names=["doc_id", "carried", "fp"])
 
     return prints
 
@@ -283,31 +283,32 @@ def components(edges: DataFrame) -> DataFrame:
         sign = new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] | None = None) -> DataFrame:
-    """Rows (doc_id, fp, root, component_id), one for each document.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] | None = None, carried: Column | None = None) -> DataFrame:
+    """Rows (doc_id, carried, fp, root, component_id), one for each document; carried is a long of the caller's, or null.
 
     With a similarity, a fraction (n, m), texts link where their sets of
     shingles share n / m of their union or more, and fp is a hash of the set.
     """
+    carried = F.lit(None) if carried is None else carried
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.cast("long").alias("carried"), F.col(text_col).cast("string").alias("text"))
     if similarity is not None:
         from tsloom.llm import simhash_sets
 
-        return simhash_sets.near_duplicates(docs, id_col, text_col, shingle, similarity)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = staged(texts.mapInArrow(_fingerprint(shingle), "doc_id long, fp long"), "fingerprints")
+        return simhash_sets.near_duplicates(texts, shingle, similarity)
+    prints = staged(texts.mapInArrow(_fingerprint(shingle), "doc_id long, carried long, fp long"), "fingerprints")
     distinct = staged(collapsed(prints, "fp", ("doc_id", F.min)), "distinct")
     return grouped(prints, distinct, components(links(distinct.select("fp"))))
 
 
 def grouped(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp, root, component_id) for the rows (doc_id, fp), each fingerprint's smallest id and the components of fingerprints."""
+    """Rows (doc_id, carried, fp, root, component_id) for the rows (doc_id, carried, fp), each fingerprint's smallest id and the components of fingerprints."""
     distinct = distinct.withColumnRenamed("doc_id", "low")
     members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     # Tables of their own on the small side: Spark can then split a hot root or fingerprint on the large one.
     ids = staged(members.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
     known = distinct.join(members.join(ids, "root"), "fp", "left")
     classes = staged(known.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "carried", "fp", "root", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsloom.llm.simhash import collapsed, components, grouped, shingles_of
 from tsloom.llm.textbytes import ragged, runs
@@ -49,14 +48,14 @@ from tsloom.session import drop, staged
 #: Texts and shingles that the order is made of.
 SAMPLE, COMMON = 20_000, 200_000
 #: Each round compares with so many times the texts of the one before.
-GROWTH = 8
-#: Words of a sketch; reference sketches.
-WORDS = 8
+GROWTH = 64
+#: Words of a sketch, so many that sets which differ a little too much rarely look nearer; reference sketches.
+WORDS = 64
 PIVOTS = np.random.default_rng(31).integers(0, 1 << 64, (6, WORDS), np.uint64, endpoint=False)
 #: Cells of the filter that tells which sets are wanted, a bit each.
 CELLS = 1 << 24
 #: Texts of a key that a task compares with the others.
-PART = 1 << 14
+PART = 1 << 9
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,22 +94,11 @@ def _prints(shingle: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in runs(batch):
-                yield pa.record_batch([part.column(0), pa.array(sets_of(data, offsets, shingle)[2])], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(sets_of(data, offsets, shingle)[2])], names=["doc_id", "carried", "fp"])
 
     return prints
 
 
-def with_prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """Rows (row, print) of rows (row, text): each with the hash of its text's set, as near_duplicates calls fp."""
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in runs(batch):
-                yield pa.record_batch([part.column(0), pa.array(sets_of(data, offsets, shingle)[2])], names=["row", "print"])
-
-    return rows.select("row", "text").mapInArrow(prints, T.StructType([rows.schema["row"], T.StructField("print", T.LongType())]))
-
-
 def _shingles(shingle: int):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +172,43 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows.combine_chunks().to_batches()
 
 
+def _table(sketch: np.ndarray) -> np.ndarray:
+    """Distances of the sketches to the reference sketches, a column each."""
+    return np.stack([np.bitwise_count(sketch ^ p).sum(axis=1, dtype=np.int64) for p in PIVOTS], axis=1).astype(np.int16)
+
+
+def _near_ones(x: np.ndarray, y: np.ndarray, table_x: np.ndarray, table_y: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the pairs x[i], y[j] whose sketches differ in at most so many bits: by the largest coordinate difference first, then bit by bit."""
+    live = np.flatnonzero(np.abs(table_x[i] - table_y[j]).max(axis=1, initial=0) <= bound)
+    apart = np.bitwise_count(x[i[live]] ^ y[j[live]]).sum(axis=1, dtype=np.int64)
+    ok = apart <= bound[live]
+    return live[ok], apart[ok]
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    flat = pa.concat_arrays([column]).cast(pa.binary(8 * WORDS))
+    return np.frombuffer(flat.buffers()[1], np.uint64)[flat.offset * WORDS :][: len(flat) * WORDS].reshape(-1, WORDS)
+
+
+def _bound(a: np.ndarray, b: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """Shingles in which two linked sets of these sizes differ at most."""
+    less, more = similar
+    return (a.astype(np.int64) + b) * (more - less) // (more + less)
+
+
+def _near(similar: tuple[int, int]):
+    """Rows (u, v, a, b, x, y) of pairs with their sizes and sketches to the pairs that may link, with their distance."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_sketches(batch.column(c)) for c in ("x", "y"))
+            each = np.arange(len(x))
+            ok, apart = _near_ones(x, y, _table(x), _table(y), each, each, _bound(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")), similar))
+            yield pa.record_batch([batch.column("u").take(pa.array(ok)), batch.column("v").take(pa.array(ok)), pa.array(apart)], names=["u", "v", "apart"])
+
+    return near
+
+
 def _pairs(low: int, high: int, similar: tuple[int, int]):
     """Pairs of the texts numbered low <= nth < high of a part of a key with its texts after them, as far as they may link and are in two components."""
     less, more = similar
@@ -194,14 +219,13 @@ def _pairs(low: int, high: int, similar: tuple[int, int]):
             if not batch.num_rows:
                 continue
             key, part, nth, fp, size, place, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "nth", "fp", "size", "place", "root"))
-            sketch = np.frombuffer(pa.concat_arrays([batch.column("sketch")]).cast(pa.binary(8 * WORDS)).buffers()[1], np.uint64)
-            sketch = sketch[batch.column("sketch").offset * WORDS :][: len(key) * WORDS].reshape(-1, WORDS)
-            rows, old = (key, part, nth, fp, size.astype(np.int64), place.astype(np.int64), root, sketch), 0
+            sketched = "sketch" in batch.schema.names
+            rows, old = (key, part, nth, fp, size.astype(np.int64), place.astype(np.int64), root, *([_sketches(batch.column("sketch"))] if sketched else [])), 0
             if begun is not None and (begun[0][0], begun[1][0]) == (key[0], part[0]):
                 old = len(begun[0])
                 rows = tuple(np.concatenate(x) for x in zip(begun, rows, strict=True))
-            key, part, nth, fp, size, place, root, sketch = rows
-            table = np.stack([np.bitwise_count(sketch ^ p).sum(axis=1, dtype=np.int64) for p in PIVOTS])
+            key, part, nth, fp, size, place, root = rows[:7]
+            table = _table(rows[7]) if sketched else None
             fresh = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
             begins = np.flatnonzero(fresh)
             begin = np.repeat(begins, np.diff([*begins, len(key)]))
@@ -215,13 +239,10 @@ def _pairs(low: int, high: int, similar: tuple[int, int]):
                 p, q, a, b = place[c], place[at], size[c], size[at]
                 ok = (root[c] != root[at]) & ((np.minimum(p, q) + np.minimum(a - p, b - q)) * (less + more) >= (a + b) * less)
                 c, at = c[ok], at[ok]
-                # Sketches of sets that link differ in no more than so many bits.
-                bound = (size[c] + size[at]) * (more - less) // (more + less)
-                for coordinate in table:
-                    ok = np.abs(coordinate[c] - coordinate[at]) <= bound
-                    c, at, bound = c[ok], at[ok], bound[ok]
-                ok = np.bitwise_count(sketch[c] ^ sketch[at]).sum(axis=1, dtype=np.int64) <= bound
-                yield pa.record_batch([pa.array(fp[c[ok]]), pa.array(fp[at[ok]])], names=["u", "v"])
+                if sketched:
+                    ok, _ = _near_ones(rows[7], rows[7], table, table, c, at, _bound(size[c], size[at], similar))
+                    c, at = c[ok], at[ok]
+                yield pa.record_batch([pa.array(fp[c]), pa.array(fp[at])], names=["u", "v"])
             begun = tuple(x[begins[-1] :][: high - low] for x in rows)
 
     return pairs
@@ -235,24 +256,40 @@ def _sets(wanted, shingle: int):
                 h, sizes, fp = sets_of(data, offsets, shingle)
                 want = np.zeros(len(fp), bool)
                 want[np.unique(fp, return_index=True)[1]] = True
-                cell = fp.view(np.uint64) >> np.uint64(40)
-                want &= (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool) & ~np.isin(fp, seen)
+                want &= _held(bits, fp) & ~np.isin(fp, seen)
                 at = np.flatnonzero(want)
                 seen = np.union1d(seen, fp[at])
                 flat, many = h[ragged((np.cumsum(sizes) - sizes)[at], sizes[at])], sizes[at]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat.view(np.int64)))
                 coded = pa.Array.from_buffers(pa.binary(8 * WORDS), len(at), [None, pa.py_buffer(sketches_of(flat, many).tobytes())]).cast(pa.binary())
-                yield pa.record_batch([pa.array(fp[at]), lists, coded], names=["fp", "shingles", "sketch"])
+                yield pa.record_batch([pa.array(fp[at]), pa.array(many.astype(np.int32)), lists, coded], names=["fp", "size", "shingles", "sketch"])
 
     return sets
 
 
-def _wanted(buckets: DataFrame) -> np.ndarray:
-    """CELLS bits, set where a fingerprint of the buckets falls: at most CELLS / 64 rows come to the driver, whatever the corpus."""
-    cell = F.shiftrightunsigned("fp", 40)
-    rows = buckets.groupBy(F.shiftrightunsigned(cell, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(fp, 40) & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(CELLS // 64, np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+def _held(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether the fingerprints fall into cells that are set."""
+    cell = fp.view(np.uint64) >> np.uint64(40)
+    return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """CELLS bits, set where a fingerprint of the rows falls, as at most CELLS / 64 rows (word, bits), whatever the corpus."""
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(fp, 40) & 63 AS INT))")
+    return rows.groupBy(F.shiftrightunsigned("fp", 46).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _chosen(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets whose cells the rows' fingerprints set: a few more than theirs.  The words are few enough to broadcast."""
+    words = F.broadcast(_words(rows))
+    held = F.expr("(shiftrightunsigned(bits, CAST(shiftrightunsigned(fp, 40) & 63 AS INT)) & 1) = 1")
+    return sets.join(words, F.shiftrightunsigned(sets["fp"], 46) == words["word"]).filter(held).select(*sets.columns)
+
+
+def _wanted(rows: DataFrame) -> np.ndarray:
+    """The same bits in an array."""
+    found, out = _words(rows).toArrow(), np.zeros(CELLS // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -263,39 +300,64 @@ def links(texts: DataFrame, n: int, shingle: int, similar: tuple[int, int]) -> D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.mapInArrow(_keys(context.broadcast(_order(texts, n, shingle)), shingle, similar), "key long, fp long, size int, place int")
     buckets = staged(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_buckets, "key long, fp long, size int, place int, nth long"), "buckets")
-    sets = texts.mapInArrow(_sets(context.broadcast(_wanted(buckets)), shingle), "fp long, shingles array<long>, sketch binary")
-    sets = staged(collapsed(sets, "fp", ("shingles", F.first), ("sketch", F.first)), "sets")
-    edges = spark.createDataFrame([], "u long, v long")
-    roots = spark.createDataFrame([], "fp long, root long")
-    low, high, before = 0, 1, None
+    sets = texts.mapInArrow(_sets(context.broadcast(_wanted(buckets)), shingle), "fp long, size int, shingles array<long>, sketch binary")
+    sets = staged(sets.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "shingles", "sketch")]), "sets")
+    sketches = lambda fp, size, sketch: sets.select(F.col("fp").alias(fp), F.col("size").alias(size), F.col("sketch").alias(sketch))
+    none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "fp long, root long")
+    found, rows, low, high = none, buckets, 0, 1
     while True:
-        now = buckets.join(roots, "fp", "left").select("key", "fp", "size", "place", "nth", F.coalesce("root", "fp").alias("root"))
+        # A key whose texts are in one component stays so: only what was open is looked at again.
+        now = rows.join(found[1], "fp", "left").select("key", "fp", "size", "place", "nth", F.coalesce("root", "fp").alias("root"))
         tops = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("nth").alias("top")).filter(f"a <> b AND top > {low}").select("key", "top")
         now = staged(now.join(tops, "key"), "open")
+        drop(rows)
         if now.isEmpty():
             drop(now)
-            return roots
+            drop(sets)
+            return found[1]
+        rows = now.drop("root", "top")
+        rows.staged_at = now.staged_at
         # The texts compared with go to every part of their key, the others to one each.
         own = F.array(F.floor(F.col("nth") / PART))
         every = F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / PART))
-        dealt = now.filter(f"nth >= {low}").withColumn("part", F.explode(F.when(F.col("nth") < high, every).otherwise(own))).join(sets.select("fp", "sketch"), "fp")
-        pairs = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "nth").select("key", "part", "nth", "fp", "size", "place", "root", "sketch").mapInArrow(_pairs(low, high, similar), "u long, v long").distinct()
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
-        alike = F.size(F.array_intersect("x", "y")) * sum(similar) >= (F.size("x") + F.size("y")) * similar[0]
-        edges = staged(edges.unionByName(both.filter(alike).select("u", "v")), "verified")
-        drop(now)
-        if before is not None:
-            drop(before)
-        before = edges
-        roots = components(edges)
-        roots = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+        dealt = now.filter(f"nth >= {low}").withColumn("part", F.explode(F.when(F.col("nth") < high, every).otherwise(own)))
+        columns = ["key", "part", "nth", "fp", "size", "place", "root"]
+        if low:  # one pair a row at first needs no sketches yet
+            dealt, columns = dealt.join(sets.select("fp", "sketch"), "fp"), [*columns, "sketch"]
+        pairs = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "nth").select(*columns).mapInArrow(_pairs(low, high, similar), "u long, v long").distinct()
+        both = pairs.join(sketches("u", "a", "x"), "u").join(sketches("v", "b", "y"), "v").select("u", "v", "a", "b", "x", "y")
+        survivors = staged(both.mapInArrow(_near(similar), "u long, v long, apart long"), "survivors")
+        # Each text with its nearest first: most of the other pairs are in one component then.
+        best = survivors.groupBy(F.col("v").alias("w")).agg(F.min_by("u", F.struct("apart", "u")).alias("nearest"))
+        found = _verified(found, sets, survivors.join(best, (F.col("v") == F.col("w")) & (F.col("u") == F.col("nearest"))).select("u", "v"), similar)
+        root = lambda fp, name: found[1].select(F.col("fp").alias(fp), F.col("root").alias(name))
+        rest = survivors.join(root("u", "r"), "u", "left").join(root("v", "s"), "v", "left").filter("coalesce(r, u) <> coalesce(s, v)").select("u", "v")
+        found = _verified(found, sets, rest, similar)
+        drop(survivors)
         low, high = high, high + (high - low) * GROWTH
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Rows (doc_id, fp, root, component_id), one for each document; fp is a hash of its set."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = staged(texts.mapInArrow(_prints(shingle), "doc_id long, fp long"), "prints")
+def _verified(found: tuple[DataFrame, DataFrame], sets: DataFrame, pairs: DataFrame, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) with those of the pairs that are alike on their whole sets."""
+    pairs = staged(pairs, "asked")
+    if pairs.isEmpty():
+        drop(pairs)
+        return found
+    # Only the sets of the pairs are shuffled.
+    chosen = _chosen(sets.select("fp", "shingles"), pairs.select(F.explode(F.array("u", "v")).alias("fp")))
+    both = pairs.join(chosen.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(chosen.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
+    alike = F.size(F.array_intersect("x", "y")) * sum(similar) >= (F.size("x") + F.size("y")) * similar[0]
+    edges = staged(found[0].unionByName(both.filter(alike).select("u", "v")), "verified")
+    drop(pairs)
+    if hasattr(found[0], "staged_at"):
+        drop(found[0])
+    roots = components(edges)
+    return edges, roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+
+
+def near_duplicates(texts: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """Rows (doc_id, carried, fp, root, component_id) of the rows (doc_id, carried, text); fp is a hash of the text's set."""
+    prints = staged(texts.mapInArrow(_prints(shingle), "doc_id long, carried long, fp long"), "prints")
     distinct = staged(collapsed(prints, "fp", ("doc_id", F.min)), "distinct")
     roots = links(texts.select("text"), prints.count(), shingle, similar)
     return grouped(prints, distinct, roots.filter("fp <> root"))
