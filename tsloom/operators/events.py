@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsloom.operators.health import marked, pcr_rows, pes_timing, table_repetition
+from tsloom.operators.health import Scans, marked, pcr_rows, pes_timing, table_repetition
 
 #: Place of each event within its packet.
 ORDER = ["sync_lost", "pid_discovered", "scrambling_changed", "continuity_error", "pcr_discontinuity", "pcr_repetition_error", "table_repetition_error", "programs_changed", "service_information_changed", "events_changed", "pts_repetition_error", "late_timestamp"]
@@ -17,6 +17,7 @@ def _rows(df: DataFrame, event: str, a=None, b=None, c=None) -> DataFrame:
 
 
 def stream_events(packets: DataFrame, log: DataFrame | None = None, maps: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
+    packets = Scans(packets)
     m, q = marked(packets), pcr_rows(packets)
     first = m.groupBy("stream_id", "pid").agg(F.min("packet_no").alias("packet_no"))
     parts = [

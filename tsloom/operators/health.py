@@ -12,13 +12,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsloom.functions.wire import NULL_PID, PAT_PID, PCR_HZ, WRAP33
+from tsloom.session import staged
 
 #: Packets of a stream that a window runs over.
 CHUNK = 1 << 20
 PCR_JUMP, PCR_LIMIT, PTS_LIMIT, TABLE_LIMIT = PCR_HZ // 10, PCR_HZ * 40 // 1000, PCR_HZ * 700 // 1000, PCR_HZ * 500 // 1000
 
 
-def marked(packets: DataFrame) -> DataFrame:
+class Scans:
+    """Packets with their two scans, stored: for figures that need them several times.  Operators here take it for packets."""
+
+    def __init__(self, packets: DataFrame):
+        self.packets = packets
+        self.marked, self.clock = staged(marked(packets), "marked"), staged(pcr_rows(packets), "clock")
+
+
+def marked(packets: DataFrame | Scans) -> DataFrame:
     """Packets (null ones left out) with continuity, random-access and scrambling marks.
 
     The counter moves with the payload flag, not with payload bytes; a packet
@@ -29,6 +38,8 @@ def marked(packets: DataFrame) -> DataFrame:
     scrambling, random-access points so far) is carried over a table with a row
     for each PID and chunk.  A PID of any length is thus spread over many tasks.
     """
+    if isinstance(packets, Scans):
+        return packets.marked
     p = packets.filter(F.col("pid") != NULL_PID).select("stream_id", "packet_no", "tei", "pid", "scrambling_control", "afc", "cc", "discontinuity", "random_access", "pcr", "payload_len")
     p = p.withColumns(
         {
@@ -59,12 +70,14 @@ def marked(packets: DataFrame) -> DataFrame:
     return p.drop("before", "end", "end_scrambled", "points", "chunk", "discontinuity", "random_access", "scrambling_control")
 
 
-def pcr_rows(packets: DataFrame) -> DataFrame:
+def pcr_rows(packets: DataFrame | Scans) -> DataFrame:
     """Clock references with their interval, what it breaches, and the clock's count of seconds seen so far.
 
     Scanned in chunks like marked(): the last reference and the seconds before a
     chunk are carried over a table with a row for each PID and chunk.
     """
+    if isinstance(packets, Scans):
+        return packets.clock
     keys = ["stream_id", "pid", "chunk"]
     q = packets.filter((F.col("pid") != NULL_PID) & ~F.col("tei") & F.col("pcr").isNotNull())
     q = q.select("stream_id", "packet_no", "pid", "pcr", F.coalesce("discontinuity", F.lit(False)).alias("announced"), F.floor(F.col("packet_no") / F.lit(CHUNK)).alias("chunk"))
@@ -209,6 +222,12 @@ def damaged_gops(m: DataFrame) -> DataFrame:
     return m.filter("tei OR cc_error").withColumn("before", before).filter("before > 0").groupBy("stream_id", "pid").agg(F.count_distinct("before").alias("damaged_gops"))
 
 
+def packet_counts(packets: DataFrame) -> DataFrame:
+    """Packets, payload bytes and first packet of each PID: one aggregate, nothing is ordered."""
+    found = packets.filter(F.col("pid") != NULL_PID).groupBy("stream_id", "pid")
+    return found.agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").cast("long").alias("payload_bytes"), F.min("packet_no").alias("first_packet"))
+
+
 def pid_counters(packets: DataFrame) -> DataFrame:
     """Counters of each PID that need no tables: per interval between random-access points first, then per PID."""
     m = marked(packets)
@@ -236,6 +255,7 @@ def clock_counters(packets: DataFrame) -> DataFrame:
 
 def pid_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
     """All figures of each PID; absent values are null."""
+    packets = packets if isinstance(packets, Scans) else Scans(packets)
     keys = ["stream_id", "pid"]
     out = pid_counters(packets).join(clock_counters(packets).drop("observed_seconds"), keys, "left").join(errored_seconds(packets, maps, log, sync_losses)[0], keys, "left")
     zero = ["pcr_count", "pcr_discontinuities", "pcr_repetition_errors", "max_pcr_interval", "errored_seconds"]
@@ -250,13 +270,14 @@ def pid_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFrame
 
 def stream_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
     """All figures of each stream; payload bytes count null packets' too."""
+    scans = Scans(packets)
     totals = packets.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if(F.col("pid") == NULL_PID).alias("null_packets"))
-    pids = pid_stats(packets, maps, log, pes, sync_losses)
+    pids = pid_stats(scans, maps, log, pes, sync_losses)
     sums = ["continuity_errors", "packets_lost", "transport_errors", "duplicates", "pcr_discontinuities", "pcr_repetition_errors", *(["pes_packets", "pts_repetition_errors", "late_timestamps"] if pes is not None else [])]
     out = totals.join(pids.groupBy("stream_id").agg(*[F.sum(c).alias(c) for c in sums]), "stream_id", "left").fillna(0, sums)
-    out = out.join(errored_seconds(packets, maps, log, sync_losses)[1], "stream_id", "left")
-    ref = reference_clock(pcr_rows(packets), maps).withColumnRenamed("ref_pid", "pid")
-    seen = clock_counters(packets).select("stream_id", "pid", "observed_seconds").join(ref, ["stream_id", "pid"], "left_semi").select("stream_id", "observed_seconds")
+    out = out.join(errored_seconds(scans, maps, log, sync_losses)[1], "stream_id", "left")
+    ref = reference_clock(pcr_rows(scans), maps).withColumnRenamed("ref_pid", "pid")
+    seen = clock_counters(scans).select("stream_id", "pid", "observed_seconds").join(ref, ["stream_id", "pid"], "left_semi").select("stream_id", "observed_seconds")
     out, zero = out.join(seen, "stream_id", "left"), ["errored_seconds", "observed_seconds", "sync_losses", "crc_errors", "dvb_crc_errors"]
     if sync_losses is not None:
         out = out.join(sync_losses.groupBy("stream_id").agg(F.count(F.lit(1)).alias("sync_losses")), "stream_id", "left")
@@ -264,7 +285,7 @@ def stream_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFra
         out = out.withColumn("sync_losses", F.lit(0).cast("long"))
     if log is not None:
         ends = log.filter("kind IN ('psi_end', 'dvb_end')").groupBy("stream_id").agg(F.sum(F.when(F.col("kind") == "psi_end", F.col("crc_errors"))).alias("crc_errors"), F.sum(F.when(F.col("kind") == "dvb_end", F.col("crc_errors"))).alias("dvb_crc_errors"))
-        t = table_repetition(packets, log, maps)
+        t = table_repetition(scans, log, maps)
         gaps = t.groupBy("stream_id").agg(F.count_if(F.col("breach") & (F.col("pid") == PAT_PID)).alias("pat_repetition_errors"), F.count_if(F.col("breach") & (F.col("pid") != PAT_PID)).alias("pmt_repetition_errors"), F.coalesce(F.max("interval"), F.lit(0)).alias("max_table_interval"))
         out, zero = out.join(ends, "stream_id", "left").join(gaps, "stream_id", "left"), [*zero, "pat_repetition_errors", "pmt_repetition_errors", "max_table_interval"]
     else:

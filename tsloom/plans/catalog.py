@@ -17,7 +17,7 @@ from tsloom.sources.packets import packets_from_raw
 
 @query("pid_packet_counts", "SELECT stream_id, pid, count(*) AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) AS BIGINT) AS payload_bytes, min(packet_no) AS first_packet FROM wire GROUP BY stream_id, pid")
 def pid_packet_counts(spark, d):
-    return health.pid_counters(Stream.of_events(spark, d).packets).filter(_ES).select("stream_id", "pid", "packets", "payload_bytes", "first_packet")
+    return health.packet_counts(Stream.of_events(spark, d).packets).filter(_ES)
 
 
 @query("stream_totals", "SELECT stream_id, count(*) + 6 AS packets, CAST(sum(CASE WHEN flag THEN size + CASE WHEN pts IS NULL THEN 0 ELSE 14 END ELSE 0 END) + 6 * 184 AS BIGINT) AS payload_bytes, CAST(0 AS BIGINT) AS null_packets FROM wire GROUP BY stream_id")

@@ -16,8 +16,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of a batch that Python workers get, unless the session says otherwise than Spark's 64 MB: texts and payloads are long.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers of this session import the package."""
+    """Let Python workers of this session import the package, and hand them small batches."""
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
