@@ -37,6 +37,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DEFAULT = "allow"
 #: Probes of a sweep.
 ROWS = 512
+SALTS = 64
 #: Repeats of a row that are made at a time.
 REPEATS = 1024
 
@@ -89,9 +90,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     # How many sweeps each host with rules takes.
     many = stacks.groupBy("at").agg(F.count(F.lit(1)).alias("rules")).join(probes.groupBy("at").agg(F.count(F.lit(1)).alias("probes")), "at")
     many = many.select("at", F.ceil(F.col("probes") / F.greatest(F.col("rules"), F.lit(ROWS))).cast("int").alias("sweeps"))
-    dealt = probes.join(many, "at").select("at", F.pmod(F.xxhash64("id", "url"), F.col("sweeps")).cast("int").alias("sweep"), "path", F.lit(1).alias("is_probe"), "id", "url")
+    # A hot host's probes learn that in SALTS tasks.
+    salted = probes.withColumn("salt", F.pmod(F.xxhash64("url", "id"), F.lit(SALTS)).cast("int"))
+    told = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = salted.join(told, ["at", "salt"]).select("at", F.pmod(F.xxhash64("id", "url"), F.col("sweeps")).cast("int").alias("sweep"), "path", F.lit(1).alias("is_probe"), "id", "url")
     copied = stacks.join(many, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)).alias("sweep"), "path", F.lit(0).alias("is_probe"), "stack")
-    both = dealt.unionByName(copied, allowMissingColumns=True)
+    # Dealt by both columns: rows that come sorted by host alone must not stay together.
+    both = dealt.unionByName(copied, allowMissingColumns=True).repartition("at", "sweep")
     order = W.partitionBy("at", "sweep").orderBy("path", "is_probe").rowsBetween(W.unboundedPreceding, 0)
     active = F.filter(F.last("stack", ignorenulls=True).over(order), lambda r: F.startswith(F.col("path"), r["path"]))
     inner = F.try_element_at(F.col("active"), F.lit(-1))
