@@ -48,7 +48,7 @@ def copies(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", (1, 2))
 def test_stage_equal_to_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # keys of many parts
         monkeypatch.setattr(simhash_sets, "PART", 3)
