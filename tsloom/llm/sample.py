@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text that a sample holds at most: rows are taken whole, in their order, until the next would not fit.
-SAMPLE_BYTES = 1 << 26
+SAMPLE_BYTES = 1 << 24
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
@@ -33,5 +33,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
     some = texts.join(chosen, "doc_id").orderBy(*order, "text", "y").limit(sum(bounds))
     # One window over the bounded sample.
     so_far = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(*order, "text", "y").rowsBetween(W.unboundedPreceding, 0))
-    rows = some.withColumn("bytes so far", so_far).filter(F.col("bytes so far") <= SAMPLE_BYTES).orderBy("bytes so far", *order, "text", "y").collect()
-    return [(r["text"], r["lang"], r["y"]) for r in rows], (counts.get(0, 0), counts.get(1, 0))
+    rows = some.withColumn("bytes so far", so_far).filter(F.col("bytes so far") <= SAMPLE_BYTES).orderBy("bytes so far", *order, "text", "y").select("text", "lang", "y").collect()
+    return [tuple(r)[:3] for r in rows], (counts.get(0, 0), counts.get(1, 0))

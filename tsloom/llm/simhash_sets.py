@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsloom.llm.simhash import collapsed, components, grouped, shingles_of
-from tsloom.llm.textbytes import ragged, runs
+from tsloom.llm.textbytes import ragged, release, runs
 from tsloom.session import drop, staged
 
 #: Texts and shingles that the order is made of.
@@ -301,6 +301,7 @@ def links(texts: DataFrame, n: int, shingle: int, similar: tuple[int, int]) -> D
     keyed = texts.mapInArrow(_keys(context.broadcast(_order(texts, n, shingle)), shingle, similar), "key long, fp long, size int, place int")
     buckets = staged(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_buckets, "key long, fp long, size int, place int, nth long"), "buckets")
     sets = texts.mapInArrow(_sets(context.broadcast(_wanted(buckets)), shingle), "fp long, size int, shingles array<long>, sketch binary")
+    release()
     sets = staged(sets.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "shingles", "sketch")]), "sets")
     sketches = lambda fp, size, sketch: sets.select(F.col("fp").alias(fp), F.col("size").alias(size), F.col("sketch").alias(sketch))
     none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "fp long, root long")
