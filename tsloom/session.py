@@ -20,8 +20,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers of this session import the package, and hand them small batches."""
+#: With these, what Python workers free goes back to the system at once: they are reused, and so would be the peak of each task.
+FRUGAL = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
+def ship(spark: SparkSession, frugal: bool = False) -> SparkSession:
+    """Let Python workers of this session import the package, hand them small batches and, if frugal, let them keep no freed memory (some CPU for it)."""
+    for name, value in FRUGAL.items() if frugal else ():
+        spark.sparkContext.environment.setdefault(name, value)
     if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):
         spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
