@@ -10,7 +10,7 @@ from tsloom.functions.wire import decode_packets, pes_header
 from tsloom.operators import fmp4, psi, scte, units
 from tsloom.plans.media import AVC_SPS as SPS
 from tsloom.sources import synth as S
-from tsloom.sources.packets import Realigner, packets_from_raw, read_ts, write_ts
+from tsloom.sources.packets import Realigner, _decode_runs, packets_from_raw, read_ts, write_ts
 
 
 def video(n=50, gop=10):
@@ -56,6 +56,16 @@ def test_sources_agree(spark, tmp_path):
     assert [r["packet_no"] for r in rows_of(bad)] == [0]
 
 
+def test_runs_of_a_batch_are_decoded_together():
+    raw = video(40)
+    cuts = [0, 1, 2, 3, 10, 10, 11, 50, len(raw)]
+    runs = [("s" if a < 11 else "t", 5 * a, b"".join(raw[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    batch = pa.record_batch([pa.array(x) for x in zip(*runs, strict=True)], names=["stream_id", "first", "raw"])
+    got = list(_decode_runs([batch]))
+    want = [r | {"stream_id": s, "packet_no": first + i} for s, first, x in runs if x for i, r in enumerate(rows_of([x]))]
+    assert len(got) == 1 and got[0].to_pylist() == want and list(_decode_runs([batch.slice(0, 0)])) == []
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_realigned_ranges_against_one_pass(spark, tmp_path, seed):
     """Junk with false sync bytes, cut packets and long gaps: ranges of any size give what one pass over the bytes gives."""

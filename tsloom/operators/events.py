@@ -16,8 +16,8 @@ def _rows(df: DataFrame, event: str, a=None, b=None, c=None) -> DataFrame:
     return df.select("stream_id", "packet_no", F.lit(ORDER.index(event)).alias("ordinal"), F.lit(event).alias("event"), "pid", number(a).alias("a"), number(b).alias("b"), number(c).alias("c"))
 
 
-def stream_events(packets: DataFrame, log: DataFrame | None = None, maps: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
-    packets = Scans(packets)
+def stream_events(packets: DataFrame | Scans, log: DataFrame | None = None, maps: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
+    packets = packets if isinstance(packets, Scans) else Scans(packets)
     m, q = marked(packets), pcr_rows(packets)
     first = m.groupBy("stream_id", "pid").agg(F.min("packet_no").alias("packet_no"))
     parts = [

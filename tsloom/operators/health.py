@@ -268,10 +268,10 @@ def pid_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFrame
     return out.fillna(0, zero)
 
 
-def stream_stats(packets: DataFrame, maps: DataFrame | None = None, log: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
+def stream_stats(packets: DataFrame | Scans, maps: DataFrame | None = None, log: DataFrame | None = None, pes: DataFrame | None = None, sync_losses: DataFrame | None = None) -> DataFrame:
     """All figures of each stream; payload bytes count null packets' too."""
-    scans = Scans(packets)
-    totals = packets.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if(F.col("pid") == NULL_PID).alias("null_packets"))
+    scans = packets if isinstance(packets, Scans) else Scans(packets)
+    totals = scans.packets.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").alias("payload_bytes"), F.count_if(F.col("pid") == NULL_PID).alias("null_packets"))
     pids = pid_stats(scans, maps, log, pes, sync_losses)
     sums = ["continuity_errors", "packets_lost", "transport_errors", "duplicates", "pcr_discontinuities", "pcr_repetition_errors", *(["pes_packets", "pts_repetition_errors", "late_timestamps"] if pes is not None else [])]
     out = totals.join(pids.groupBy("stream_id").agg(*[F.sum(c).alias(c) for c in sums]), "stream_id", "left").fillna(0, sums)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tsloom.operators import events, health, psi, units
 from tsloom.plans.registry import plain, query
 from tsloom.plans.wire import Stream, raw_packets
-from tsloom.session import shared_dir, ship, table
+from tsloom.session import shared_dir, ship, staged, table
 from tsloom.sources import synth as S
 from tsloom.sources.packets import packets_from_chunks, packets_from_raw, read_ts, write_ts
 from tsloom.streaming.live import live_events, live_stats, tap
@@ -63,8 +63,9 @@ def sync_lost_events(spark, d):
     """The same junk between chunks of a feed, as events and in the stream's health; how many events a run of junk makes hangs on the chunks."""
     rows = raw_packets(spark, d).selectExpr("*", "floor(packet_no / 2) AS event_id", "row_number() OVER (PARTITION BY stream_id ORDER BY packet_no) AS n", "count(*) OVER (PARTITION BY stream_id) AS total")
     junk = F.unhex(F.when(F.expr(_JUNK), F.expr("repeat('00', CAST(1 + event_id % 400 AS INT))")).otherwise(""))
-    p, losses = packets_from_chunks(rows.select("stream_id", F.col("packet_no").alias("chunk_no"), F.concat("raw", junk).alias("data")))
-    losses = losses.persist()
+    # The feed is written, realigned and scanned once each.
+    p, losses = packets_from_chunks(staged(rows.select("stream_id", F.col("packet_no").alias("chunk_no"), F.concat("raw", junk).alias("data")), "chunks"))
+    p, losses = health.Scans(staged(p.drop("payload"), "packets")), staged(losses, "losses")
     said = events.stream_events(p, sync_losses=losses).filter("event = 'sync_lost'").groupBy("stream_id").agg(F.sum("a").alias("bytes_discarded"), F.count_distinct("packet_no").alias("places"), F.count(F.lit(1)).alias("n"))
     return health.stream_stats(p, sync_losses=losses).join(said, "stream_id").filter("n = sync_losses").select("stream_id", "places", "bytes_discarded", "is_healthy")
 

@@ -78,15 +78,17 @@ class _ChunkFold:
 
 
 def _decode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (stream_id, first, raw) of whole packets to packet rows."""
+    """Runs (stream_id, first, raw) of whole packets to packet rows; the runs of a batch are decoded together, as most may be of one packet."""
     for batch in batches:
-        for row in batch.to_pylist():
-            raw = np.frombuffer(row["raw"], np.uint8)
-            raw = raw[: len(raw) // PACKET * PACKET]
-            n = len(raw) // PACKET
-            for lo in range(0, n, 10000):
-                k = min(10000, n - lo)
-                yield decode_packets(raw[lo * PACKET : (lo + k) * PACKET], row["first"] + lo + np.arange(k), pa.array([row["stream_id"]] * k, pa.string()))
+        raws = batch.column("raw").to_pylist()
+        counts = np.array([len(r) // PACKET for r in raws], np.int64)
+        raw = np.frombuffer(b"".join(r[: n * PACKET] for r, n in zip(raws, counts.tolist(), strict=True)), np.uint8)
+        run = np.repeat(np.arange(len(raws)), counts)
+        numbers = batch.column("first").to_numpy(zero_copy_only=False)[run] + np.arange(len(run)) - (np.cumsum(counts) - counts)[run]
+        streams = batch.column("stream_id").cast(pa.string())
+        for lo in range(0, len(run), 10000):
+            some = slice(lo, lo + 10000)
+            yield decode_packets(raw[lo * PACKET : (lo + 10000) * PACKET], numbers[some], streams.take(pa.array(run[some])))
 
 
 def packets_from_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
