@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from tsloom.functions.wire import decode_packets, pes_header
-from tsloom.operators import fmp4, psi, scte, units
+from tsloom.operators import fmp4, health, psi, scte, units
+from tsloom.plans import splices
 from tsloom.plans.media import AVC_SPS as SPS
 from tsloom.sources import synth as S
 from tsloom.sources.packets import Realigner, _decode_runs, packets_from_raw, read_ts, write_ts
@@ -66,6 +67,33 @@ def test_runs_of_a_batch_are_decoded_together():
     assert len(got) == 1 and got[0].to_pylist() == want and list(_decode_runs([batch.slice(0, 0)])) == []
 
 
+@pytest.mark.parametrize("chunk", [4, 1 << 20])
+def test_cues_where_clocks_begin_anew(spark, monkeypatch, chunk):
+    monkeypatch.setattr(health, "CHUNK", chunk)
+    raw, times = [S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True), S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256), (0x86, 500)]))[0], pusi=True)], [(1 << 33) + 3600 * n for n in range(-3, 4)]
+    for i, t in enumerate(times):
+        insert = (i // 2).to_bytes(4, "big") + b"\x7f" + (b"\x4f" if i % 2 else b"\xcf") + splices._time(t + 90000) + b"\0\1\1\2"
+        raw += [S.packet(256, i, S.pes(0xE0, b"v", t), pusi=True), S.packet(600, 0, None, pcr=300 * t + 5), S.packet(500, i, S.section_payloads(S.splice_info(5, insert))[0], pusi=True)]
+    p = health.unwrapped(frame(spark, raw))
+    found = scte.on_timeline(scte.splice_events(p, psi.map_versions(psi.table_log(p))))
+    assert sorted(tuple(r) for r in found.select("arrival_pcr", "arrival_video_pts", "splice_time", "pre_roll_ticks").collect()) == [(300 * t + 5, t, t + 90000, 90000) for t in times]
+    pairs = scte.out_in_pairs(found).select("event_id", "out_time", "in_time").collect()
+    assert sorted(tuple(r) for r in pairs) == [(i, times[2 * i] + 90000, times[2 * i + 1] + 90000 if i < 3 else None) for i in range(4)]
+
+
+@pytest.mark.parametrize("chunk", [4, 1 << 20])
+def test_tables_where_clocks_begin_anew(spark, monkeypatch, chunk):
+    monkeypatch.setattr(health, "CHUNK", chunk)
+    step = 900_000_000_000
+    times = [step * n for n in range(12)]
+    raw = [x for t in times for x in (S.packet(256, 0, None, pcr=t), S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True))]
+    p = health.unwrapped(frame(spark, raw))
+    assert sorted(r.pcr for r in p.filter("pcr IS NOT NULL").collect()) == times
+    log = psi.table_log(p)
+    gaps = [r.interval for r in health.table_repetition(p, log, psi.map_versions(log)).orderBy("packet_no").collect()]
+    assert gaps == [None] + [b - a for a, b in zip(times, times[1:], strict=False)]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_realigned_ranges_against_one_pass(spark, tmp_path, seed):
     """Junk with false sync bytes, cut packets and long gaps: ranges of any size give what one pass over the bytes gives."""

@@ -98,6 +98,28 @@ def pcr_rows(packets: DataFrame | Scans) -> DataFrame:
     return q.withColumn("seconds", F.col("before") + F.sum("turn").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("before", "chunk")
 
 
+def unwrapped(packets: DataFrame) -> DataFrame:
+    """packets whose clock references count on where their 42 bits begin anew, so that times far apart can be compared.
+
+    Of two references of a PID the step is the short way round, unless the later
+    is announced as discontinuous.  The few packets where a clock turns are found
+    in chunks like pcr_rows; all others meet them as spans of packet numbers.
+    """
+    keys, wrap = ["stream_id", "pid", "chunk"], WRAP33 * 300
+    q = packets.filter((F.col("pid") != NULL_PID) & ~F.col("tei") & F.col("pcr").isNotNull())
+    q = q.select("stream_id", "pid", "packet_no", "pcr", F.coalesce("discontinuity", F.lit(False)).alias("announced"), F.floor(F.col("packet_no") / F.lit(CHUNK)).alias("chunk"))
+    ends = q.groupBy(*keys).agg(F.max_by("pcr", "packet_no").alias("end"))
+    carried = ends.select(*keys, F.lag("end").over(W.partitionBy("stream_id", "pid").orderBy("chunk")).alias("carried"))
+    step = F.col("pcr") - F.coalesce(F.lag("pcr").over(W.partitionBy(*keys).orderBy("packet_no")), F.col("carried"))
+    turn = F.when(~F.col("announced") & (step < -(wrap // 2)), 1).when(~F.col("announced") & (step > wrap // 2), -1)
+    own = W.partitionBy("t_stream", "t_pid").orderBy("from_packet")
+    turns = q.join(carried, keys).withColumn("turn", turn).filter("turn IS NOT NULL").select(F.col("stream_id").alias("t_stream"), F.col("pid").alias("t_pid"), F.col("packet_no").alias("from_packet"), "turn")
+    turns = turns.select("t_stream", "t_pid", "from_packet", F.lead("from_packet").over(own).alias("to_packet"), F.sum("turn").over(own.rowsBetween(W.unboundedPreceding, 0)).alias("turns"))
+    inside = (F.col("stream_id") == F.col("t_stream")) & (F.col("pid") == F.col("t_pid")) & F.col("pcr").isNotNull() & (F.col("packet_no") >= F.col("from_packet")) & (F.col("to_packet").isNull() | (F.col("packet_no") < F.col("to_packet")))
+    # A row for each 26.5 hours of a clock.
+    return packets.join(F.broadcast(turns), inside, "left").withColumn("pcr", F.col("pcr") + F.coalesce("turns", F.lit(0)) * F.lit(wrap)).select(*packets.columns)
+
+
 def bindings(maps: DataFrame) -> DataFrame:
     """Rows (stream_id, from_packet, to_packet, version_no, pid, clock_pid): each PID's program clock by map version; a later program wins."""
     p = maps.filter("programs IS NOT NULL").select("stream_id", "version_no", "from_packet", "to_packet", F.posexplode("programs").alias("pos", "p")).filter(F.col("p.pcr_pid") != NULL_PID)

@@ -191,7 +191,9 @@ def splice_sections(packets: DataFrame, maps: DataFrame) -> DataFrame:
     t = splice_tracks(maps).drop("version_no").withColumnsRenamed({"stream_id": "t_stream", "pid": "t_pid"})
     inside = (F.col("stream_id") == F.col("t_stream")) & (F.col("pid") == F.col("t_pid")) & (F.col("packet_no") >= F.col("from_packet")) & (F.col("packet_no") < F.col("to_packet"))
     own = packets.join(t.select("t_stream", "t_pid", "from_packet", "to_packet").distinct(), inside, "left_semi")
-    return parse_sections(assembled_sections(own).join(t, inside, "left").drop("t_stream", "t_pid", "from_packet", "to_packet"))
+    found = assembled_sections(own).join(t, inside, "left").drop("t_stream", "t_pid", "from_packet", "to_packet")
+    # A stream's sections come out of one task; all tasks parse.
+    return parse_sections(found.repartition("stream_id", "packet_no"))
 
 
 def splice_events(packets: DataFrame, maps: DataFrame) -> DataFrame:
@@ -229,6 +231,15 @@ def with_pre_roll(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"pre_roll_seconds": F.col("pre_roll_ticks") / PTS_HZ, "arrival_seconds": F.col("arrival_pcr") / PCR_HZ, "pre_roll_basis": basis, "description": describe(s)})
 
 
+def on_timeline(events: DataFrame) -> DataFrame:
+    """events, of packets with health.unwrapped clocks, with their splice and video times on the timeline of the arrival clock instead of modulo 33 bits."""
+    now = F.floor(F.col("arrival_pcr") / F.lit(300))
+    video = F.col("arrival_video_pts")
+    events = events.withColumn("arrival_video_pts", F.coalesce(now + ticks_until(F.pmod(now, F.lit(WRAP33)), video), video))
+    # The pre-roll leads from the video's time, or the clock's, to the splice.
+    return events.withColumn("splice_time", F.coalesce(F.coalesce("arrival_video_pts", now) + F.col("pre_roll_ticks"), F.col("splice_time")))
+
+
 def _for(duration: Column) -> Column:
     return F.when(duration.isNotNull(), F.format_string(" for %.1fs", duration / PTS_HZ)).otherwise("")
 

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tsloom.functions import dims, mp4
-from tsloom.operators import psi, scte
+from tsloom.functions.wire import WRAP33
+from tsloom.operators import health, psi, scte
 from tsloom.plans.media import AVC_SPS
 from tsloom.plans.programs import encoded, framed
 from tsloom.plans.registry import plain
@@ -16,7 +17,7 @@ from tsloom.sources import synth as S
 
 
 def _time(ticks: int) -> bytes:
-    return (0xFE << 32 | ticks).to_bytes(5, "big")
+    return (0xFE << 32 | ticks % WRAP33).to_bytes(5, "big")
 
 
 def _written(rows, write):
@@ -80,7 +81,8 @@ def splice_readability(spark, d):
 
 # Orders as cues of three streams, out and in by turns, each behind a picture (every fifth in a corrupt packet) and a
 # clock reference of another PID; every tenth cue is spoiled.  After two thirds of a stream its video is off the map for
-# thirty cues, and its time is forgotten.
+# thirty cues, and its time is forgotten.  Clocks and times on the wire begin anew where their bits end; what the queries
+# read goes on.
 _CUES = """
 c AS (SELECT 'c' || CAST(o_custkey % 3 AS STRING) AS stream_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS n, count(*) OVER (PARTITION BY o_custkey % 3) AS total FROM {orders}),
 q AS (SELECT *, n >= floor(total * 2 / 3.0) AND n < floor(total * 2 / 3.0) + 30 AS away, n = floor(total * 2 / 3.0) OR n = floor(total * 2 / 3.0) + 30 AS changes, n % 10 = 9 AS spoiled FROM c)"""
@@ -89,7 +91,8 @@ _DUCK_CUES = f"WITH {_CUES.format(orders='orders').strip()}, e AS (SELECT *, row
 
 def _cue_packets(spark, d):
     ship(spark)
-    rows = spark.sql(f"WITH {_CUES} SELECT * FROM q", orders=table(spark, d, "orders"))
+    # A stream's orders were counted in one task; all tasks write packets.
+    rows = spark.sql(f"WITH {_CUES} SELECT stream_id, k, n, away, changes, spoiled FROM q", orders=table(spark, d, "orders")).repartition("k")
 
     def write(r):
         stream, n, at = r["stream_id"], r["n"], 8 * r["k"]
@@ -109,13 +112,16 @@ def _cue_packets(spark, d):
     return staged(encoded(rows, write), "cues")
 
 
+def _cue_events(spark, d):
+    p = health.unwrapped(_cue_packets(spark, d))
+    return scte.on_timeline(scte.splice_events(p, psi.map_versions(staged(psi.table_log(p), "table-log"))))
+
+
 @plain("splice_events", f"""{_DUCK_CUES} SELECT stream_id, 8 * k + 4 AS packet_no, sequence, pts + 90000 AS splice_time, pcr AS arrival_pcr, CASE WHEN away THEN NULL ELSE pts END AS arrival_video_pts, CASE WHEN away THEN 'PCR' ELSE 'VIDEO_PTS' END AS pre_roll_basis, CAST(90000 AS BIGINT) AS pre_roll_ticks,
   'event ' || (n // 2) || CASE WHEN n % 2 = 0 THEN ' out for 2.0s' ELSE ' in' END AS description FROM e""")
 def splice_events(spark, d):
     """Cues with the clock and the video time at their arrival."""
-    p = _cue_packets(spark, d)
-    maps = psi.map_versions(staged(psi.table_log(p), "table-log"))
-    return scte.splice_events(p, maps).select("stream_id", "packet_no", "sequence", "splice_time", "arrival_pcr", "arrival_video_pts", "pre_roll_basis", "pre_roll_ticks", "description")
+    return _cue_events(spark, d).select("stream_id", "packet_no", "sequence", "splice_time", "arrival_pcr", "arrival_video_pts", "pre_roll_basis", "pre_roll_ticks", "description")
 
 
 @plain("splice_counters", f"{_DUCK_CUES} SELECT stream_id, count(*) FILTER (WHERE NOT spoiled) AS sections_read, count(*) FILTER (WHERE spoiled) AS sections_unreadable, [500::INT] AS splice_pids FROM q GROUP BY stream_id")
@@ -127,9 +133,7 @@ def splice_counters(spark, d):
 @plain("splice_pairs", f"""{_DUCK_CUES} SELECT o.stream_id, o.n // 2 AS event_id, o.sequence AS out_sequence, o.pts + 90000 AS out_time, i.sequence AS in_sequence, i.pts + 90000 AS in_time FROM e o LEFT JOIN e i ON i.stream_id = o.stream_id AND i.n = o.n + 1 WHERE o.n % 2 = 0""")
 def splice_pairs(spark, d):
     """Each way out with the way back in."""
-    p = _cue_packets(spark, d)
-    maps = psi.map_versions(staged(psi.table_log(p), "table-log"))
-    return scte.out_in_pairs(scte.splice_events(p, maps)).select("stream_id", "event_id", "out_sequence", "out_time", "in_sequence", "in_time")
+    return scte.out_in_pairs(_cue_events(spark, d)).select("stream_id", "event_id", "out_sequence", "out_time", "in_sequence", "in_time")
 
 
 @plain("splice_tracks", f"WITH {_CUES.format(orders='orders').strip()}, v AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY n) AS i, 8 * k + 1 AS from_packet, lead(8 * k + 1) OVER (PARTITION BY stream_id ORDER BY n) AS to_packet, away FROM q WHERE n = 0 OR changes) SELECT stream_id, CAST(i + 1 AS INT) AS version_no, 500::INT AS pid, CASE WHEN away THEN NULL ELSE 256::INT END AS video_pid, from_packet, coalesce(to_packet, 4611686018427387904) AS to_packet FROM v")
