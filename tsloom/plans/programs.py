@@ -34,7 +34,8 @@ def framed(stream: str, number: int, pid: int, section: bytes, **options) -> lis
 
 # Each order is a table of its stream, by the remainder of its key: a PAT that names one program or two, the PMT of
 # program 1, an SDT, or a packet on the PAT's PID that can't be used (corrupt, scrambled, or the tail of a section never
-# begun).  Some tables fail their checksum, some hold for later only.  A clock reference follows each.
+# begun).  Some tables fail their checksum, some hold for later only.  A clock reference follows each; on the wire it
+# begins anew where its bits end, what the queries read goes on.
 _ORDERS = """
 o AS (SELECT 't' || CAST(o_custkey % 3 AS STRING) AS stream_id, o_orderkey AS k, o_custkey AS c, o_orderstatus = 'F' AS two, o_orderpriority AS name,
         CAST(SUM(CASE WHEN o_custkey % 7 = 0 THEN 9000000 ELSE 2000000 END) OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS BIGINT) AS pcr FROM {orders}),
@@ -55,7 +56,8 @@ gaps AS (SELECT *, pcr - lag(pcr) OVER (PARTITION BY stream_id, pid ORDER BY k)
 
 def table_packets(spark, d):
     ship(spark)
-    rows = spark.sql(f"WITH {_ORDERS} SELECT * FROM k", orders=table(spark, d, "orders"))
+    # A stream's clock was summed in one task; all tasks write packets.
+    rows = spark.sql(f"WITH {_ORDERS} SELECT * FROM k", orders=table(spark, d, "orders")).repartition("k")
 
     def write(r):
         stream, at, key = r["stream_id"], 2 * r["k"], r["k"]
@@ -73,7 +75,7 @@ def table_packets(spark, d):
             out.append((stream, at, S.packet(0, 0, payload, pusi=not stray, tei=key % 16 == 3, scrambling=2 if key % 16 in (11, 15) else 0)))
         return out
 
-    return encoded(rows, write)
+    return staged(encoded(rows, write), "tables")
 
 
 @plain("table_health", f"""{_TABLES.strip()}
@@ -81,7 +83,7 @@ crc AS (SELECT stream_id, count(*) FILTER (WHERE spoiled AND (kind = 0 OR kind =
 SELECT stream_id, crc_errors, dvb_crc_errors, count(*) FILTER (WHERE gap > 13500000 AND pid = 0) AS pat_repetition_errors, count(*) FILTER (WHERE gap > 13500000 AND pid = 4096) AS pmt_repetition_errors, max(gap) AS max_table_interval FROM gaps JOIN crc USING (stream_id) GROUP BY ALL""")
 def table_health(spark, d):
     """Checksum failures and repetition of tables on the reference clock."""
-    p = table_packets(spark, d)
+    p = health.unwrapped(table_packets(spark, d))
     log = staged(psi.table_log(p), "table-log")
     return health.stream_stats(p, psi.map_versions(log), log).select("stream_id", "crc_errors", "dvb_crc_errors", "pat_repetition_errors", "pmt_repetition_errors", "max_table_interval")
 
@@ -99,7 +101,7 @@ said AS (SELECT stream_id, 2 * k AS packet_no, 'table_repetition_error' AS event
 SELECT stream_id, packet_no, event, CAST(pid AS INT) AS pid, CAST(a AS BIGINT) AS a FROM said""")
 def table_events(spark, d):
     """What changing and late tables say as events."""
-    p = table_packets(spark, d)
+    p = health.unwrapped(table_packets(spark, d))
     log = staged(psi.table_log(p), "table-log")
     found = events.stream_events(p, log, psi.map_versions(log))
     return found.filter("event IN ('table_repetition_error', 'programs_changed', 'service_information_changed')").select("stream_id", "packet_no", "event", "pid", "a")
