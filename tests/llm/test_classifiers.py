@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 
@@ -63,6 +64,18 @@ def test_edge_cases(spark, module):
         assert len({r.score for r in module.score_texts(docs, constant).collect()}) == 1
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_models_are_learned_off_the_driver(spark, sf, module, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fit = module.fit
+    monkeypatch.setattr(module, "fit", lambda rows, counts: (os.getpid(), rows, counts, fit(rows, counts)))
+    where, rows, counts, model = module.fit_on(docs, labels)
+    name, folds, held_out = ("toxic", 4, 2) if module is toxicity else ("quality", 5, 0)
+    assert where != os.getpid() and (rows, counts) == sample.labelled(docs, labels, name, folds, held_out, module.SAMPLE)
+    data = bytes_of([r[0] for r in rows])
+    assert np.allclose(model.score(*data), fit(rows, counts).score(*data), atol=1e-4)
+
+
 def test_rules_are_the_same_in_spark_and_numpy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = quality.fit_on(docs, spark.read.parquet(f"{sf}/labels.parquet"))

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsloom.llm.sample import labelled, remainder
-from tsloom.llm.textbytes import ALNUM, LOWER, SOLID, hashes, release, runs, words
+from tsloom.llm.sample import learned, remainder
+from tsloom.llm.textbytes import ALNUM, LOWER, SOLID, hashes, runs, words
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 #: Labelled rows learned from, at most: of low quality, of high quality.
@@ -212,9 +212,7 @@ def fit(rows: list[tuple[str, str | None, int]], counts: tuple[int, int]) -> Rul
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> RuleModel:
-    model = fit(*labelled(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE))
-    release()  # the driver keeps what it learned, not what it learned from
-    return model
+    return learned(fit, docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:

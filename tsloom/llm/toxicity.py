@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsloom.llm.sample import labelled, remainder
-from tsloom.llm.textbytes import ALNUM, LOWER, hashes, ragged, release, runs, words
+from tsloom.llm.sample import learned, remainder
+from tsloom.llm.textbytes import ALNUM, LOWER, hashes, ragged, runs, words
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: Labelled rows learned from, at most: not toxic, toxic.
@@ -264,9 +264,7 @@ def fit(rows: list[tuple[str, str | None, int]], counts: tuple[int, int]) -> Cla
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Classifier:
-    model = fit(*labelled(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE))
-    release()  # the driver keeps what it learned, not what it learned from
-    return model
+    return learned(fit, docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)
 
 
 def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
