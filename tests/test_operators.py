@@ -1,6 +1,7 @@
 """Sources, access units, keyframes and splice events on written streams."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,19 @@ def test_tables_where_clocks_begin_anew(spark, monkeypatch, chunk):
     assert gaps == [None] + [b - a for a, b in zip(times, times[1:], strict=False)]
 
 
+@pytest.mark.parametrize("chunk", [4, 1 << 20])
+def test_map_versions_are_numbered_in_chunks(spark, monkeypatch, chunk):
+    """A window over all versions of a stream would hold their maps in memory."""
+    monkeypatch.setattr(health, "CHUNK", chunk)
+    named = [1, 1, 2, 3, 3, 4, 5, 5, 5, 6, 7, 8]
+    raw = [S.packet(0, i, S.section_payloads(S.pat(1, {n: 4096}))[0], pusi=True) for i, n in enumerate(named)]
+    maps = psi.map_versions(psi.table_log(frame(spark, raw)))
+    at = [i for i, n in enumerate(named) if i == 0 or n != named[i - 1]]
+    want = [(i + 1, a, b, named[a]) for i, (a, b) in enumerate(zip(at, [*at[1:], None], strict=True))]
+    assert sorted((r.version_no, r.from_packet, r.to_packet, r.pmt_pids[0].program) for r in maps.collect()) == want
+    assert not re.search(r"windowspecdefinition\(stream_id#\d+, packet_no#", maps._jdf.queryExecution().optimizedPlan().toString())
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_realigned_ranges_against_one_pass(spark, tmp_path, seed):
     """Junk with false sync bytes, cut packets and long gaps: ranges of any size give what one pass over the bytes gives."""

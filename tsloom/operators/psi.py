@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tsloom.functions import dims, tables
 from tsloom.functions.wire import EIT_PID, NIT_PID, NULL_PID, PAT_PID, SDT_PID
-from tsloom.operators.ordered import ordered_fold
+from tsloom.operators import health
+from tsloom.operators.ordered import ordered_fold, parsed
 
 _DESCRIPTORS = "array<struct<tag:int,payload:binary>>"
 MAP = (
@@ -137,10 +138,22 @@ def sections(log: DataFrame) -> DataFrame:
 
 
 def map_versions(log: DataFrame) -> DataFrame:
-    """Program map versions with the packets they hold for: after from_packet, up to and including to_packet."""
-    order = W.partitionBy("stream_id").orderBy("packet_no", "ordinal")
-    rows = log.filter("kind IN ('programs', 'services')")
-    return rows.select("stream_id", F.row_number().over(order).alias("version_no"), "kind", F.col("packet_no").alias("from_packet"), F.lead("packet_no").over(order).alias("to_packet"), "map.*")
+    """Program map versions with the packets they hold for: after from_packet, up to and including to_packet.
+
+    Numbered in chunks like health.marked(): a window keeps its rows in memory
+    that it doesn't give back to what follows in its task, and maps are long.
+    The versions before a chunk and the first packet behind it are carried over
+    a table with a row for each.  The log is read twice, so it is better staged.
+    """
+    rows = log.filter("kind IN ('programs', 'services')").select("stream_id", "kind", "packet_no", "ordinal", F.floor(F.col("packet_no") / F.lit(health.CHUNK)).alias("chunk"), "map.*")
+    chunks = W.partitionBy("stream_id").orderBy("chunk")
+    ends = rows.groupBy("stream_id", "chunk").agg(F.count(F.lit(1)).alias("versions"), F.min("packet_no").alias("first_packet"))
+    before = F.coalesce(F.sum("versions").over(chunks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = ends.select(F.col("stream_id").alias("e_stream"), F.col("chunk").alias("e_chunk"), before.alias("before"), F.lead("first_packet").over(chunks).alias("behind"))
+    rows = rows.join(carried, F.col("stream_id").eqNullSafe(F.col("e_stream")) & (F.col("chunk") == F.col("e_chunk")))
+    order = W.partitionBy("stream_id", "chunk").orderBy("packet_no", "ordinal")
+    version, to_packet = (F.col("before") + F.row_number().over(order)).cast("int"), F.coalesce(F.lead("packet_no").over(order), F.col("behind"))
+    return rows.select("stream_id", version.alias("version_no"), "kind", F.col("packet_no").alias("from_packet"), to_packet.alias("to_packet"), *parsed(MAP).names)
 
 
 def latest_map(log: DataFrame) -> DataFrame:

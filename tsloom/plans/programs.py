@@ -91,7 +91,7 @@ def table_health(spark, d):
 @plain("table_changes", f"{_TABLES.strip()} last AS (SELECT stream_id, packet_no, kind, lead(packet_no) OVER (PARTITION BY stream_id ORDER BY packet_no) AS to_packet, row_number() OVER (PARTITION BY stream_id ORDER BY packet_no) AS version_no FROM changes) SELECT stream_id, CAST(version_no AS INT) AS version_no, kind, packet_no AS from_packet, to_packet FROM last")
 def table_changes(spark, d):
     """The versions of each stream's map: only real changes make one."""
-    return psi.map_versions(psi.table_log(table_packets(spark, d))).select("stream_id", "version_no", "kind", "from_packet", "to_packet")
+    return psi.map_versions(staged(psi.table_log(table_packets(spark, d)), "table-log")).select("stream_id", "version_no", "kind", "from_packet", "to_packet")
 
 
 @plain("table_events", f"""{_TABLES.strip()}

@@ -139,7 +139,7 @@ def splice_pairs(spark, d):
 @plain("splice_tracks", f"WITH {_CUES.format(orders='orders').strip()}, v AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY n) AS i, 8 * k + 1 AS from_packet, lead(8 * k + 1) OVER (PARTITION BY stream_id ORDER BY n) AS to_packet, away FROM q WHERE n = 0 OR changes) SELECT stream_id, CAST(i + 1 AS INT) AS version_no, 500::INT AS pid, CASE WHEN away THEN NULL ELSE 256::INT END AS video_pid, from_packet, coalesce(to_packet, 4611686018427387904) AS to_packet FROM v")
 def splice_tracks(spark, d):
     """Splice tracks by version of the map, with their programs' video."""
-    return scte.splice_tracks(psi.map_versions(psi.table_log(_cue_packets(spark, d))))
+    return scte.splice_tracks(psi.map_versions(staged(psi.table_log(_cue_packets(spark, d)), "table-log")))
 
 
 # Boxes by their standards' sizes: ftyp 36; moov 8, mvhd 108, mvex 8 + 2 x 32; a track 8, tkhd 92, mdia 8, mdhd 32, hdlr 45, minf 8,
