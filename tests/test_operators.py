@@ -11,6 +11,7 @@ from tsloom.functions.wire import decode_packets, pes_header
 from tsloom.operators import fmp4, health, psi, scte, units
 from tsloom.plans import splices
 from tsloom.plans.media import AVC_SPS as SPS
+from tsloom.session import staged
 from tsloom.sources import synth as S
 from tsloom.sources.packets import Realigner, _decode_runs, packets_from_raw, read_ts, write_ts
 
@@ -233,6 +234,15 @@ def test_splice_events(spark):
     assert [(r.out_sequence, r.in_sequence, r.in_time) for r in scte.out_in_pairs(e).orderBy("out_sequence").collect()] == [(1, 4, 583200), (2, 4, 583200)]
 
 
+def test_splice_sections_are_assembled_once(spark):
+    raw = [S.packet(0, 0, S.section_payloads(S.pat(1, {1: 4096}))[0], pusi=True), S.packet(4096, 0, S.section_payloads(S.pmt(1, 256, [(0x1B, 256), (0x86, 500)]))[0], pusi=True)]
+    raw.append(S.packet(500, 0, S.section_payloads(S.splice_info(6, splices._time(5)))[0], pusi=True))
+    p = staged(frame(spark, raw), "packets")
+    found = scte.splice_events(p, psi.map_versions(staged(psi.table_log(p), "log")))
+    assert not re.search("MapInArrow|ArrowEvalPython", found._jdf.queryExecution().optimizedPlan().toString())
+    assert [(r.sequence, r.splice_time) for r in found.collect()] == [(1, 5)]
+
+
 def test_remux_writes_a_file(spark, tmp_path):
     p = frame(spark, video(30))
     segments = fmp4.remux(p, psi.table_log(p))

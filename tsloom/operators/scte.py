@@ -15,6 +15,7 @@ from tsloom.functions.wire import PCR_HZ, PTS_HZ, WRAP33, crc_ok
 from tsloom.operators.health import as_of
 from tsloom.operators.ordered import ordered_fold
 from tsloom.operators.units import pes_headers, track_intervals
+from tsloom.session import staged
 
 TABLE, SCTE35, CUEI = 0xFC, 0x86, b"CUEI"
 INSERT, SIGNAL = 5, 6
@@ -198,7 +199,8 @@ def splice_sections(packets: DataFrame, maps: DataFrame) -> DataFrame:
 
 def splice_events(packets: DataFrame, maps: DataFrame) -> DataFrame:
     """Readable splice sections in order with arrival clock (any PID's), arrival video time (of corrupt packets, too) and pre-roll."""
-    rows = splice_sections(packets, maps).filter("section IS NOT NULL")
+    # Each merge reads its left side twice: stored, the sections are put together and parsed once.
+    rows = staged(splice_sections(packets, maps).filter("section IS NOT NULL"), "sections")
     clock = packets.filter("pcr IS NOT NULL").select("stream_id", "packet_no", F.col("pcr").alias("arrival_pcr"))
     rows = as_of(rows, clock, ["stream_id"], F.col("packet_no"), ["arrival_pcr"], same=True)
     v = video_spans(maps).withColumnsRenamed({"stream_id": "v_stream", "video_pid": "v_pid"})
