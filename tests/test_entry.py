@@ -40,3 +40,9 @@ def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_dir(Fake())
+
+
+def test_driver_gives_freed_memory_back(spark):
+    from tsloom.session import trim
+
+    assert "Trim native heap" in trim(spark)
